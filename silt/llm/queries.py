@@ -8,13 +8,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silt.llm import packing, pieces
+from silt.llm import embdedup, packing, pieces, pii, simhash, topk, urlfilter
 from silt.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The rules of the url query: verdict, host, path.
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("block", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+BASE_KINDS = ["email", "ip", "card", "phone"]
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: base counts, the base spans' digest, and all spans."""
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[count(kind) for kind in BASE_KINDS],
+        F.sha2(pii.listing(F.col("pii"), BASE_KINDS), 256).alias("base_sha256"),
+        pii.listing(F.col("pii")).alias("spans"),
+    )
+
+
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every text and their decoding, as digests."""
     out = pieces.encode_decode(table(spark, sf_dir, "documents"), PIECE_MODEL)
@@ -32,7 +55,32 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.col("crc32").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors at cosine 0.95."""
+    return embdedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all vectors for every vector whose id is divisible by 20."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate documents at two or fewer differing bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, shingle=3)
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's url."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark, URL_RULES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op3_pieces": op3_pieces,
     "op4_packing": op4_packing,
+    "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_topk": op6_topk,
+    "op7_simhash": op7_simhash,
+    "op8_urls": op8_urls,
 }
