@@ -3,14 +3,66 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from silt.llm import langid, packing, pii, quality, simhash
+from silt.llm.common import table
+from silt.llm.queries import WORD_TOKENIZER, grades
+
+#: A document stays if its language has at least this share of the odds.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose top grade is likelier than not."""
+    model = quality.fit(docs, grades(table(spark, sf_dir, "labels")), grades=3)
+    return quality.score(docs, model).filter("accepted").select(docs.columns)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; those without a letter go. All stay if no document says its language."""
+    model = langid.fit(docs)
+    if not model.langs:
+        return docs
+    named = langid.identify(docs, model, keep=[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")])
+    stays = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
+    return named.filter(stays).select("doc.*")
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group, once; documents without an id can't be named and stay."""
+    groups = simhash.near_duplicates(docs, radius=2, shingle=3)
+    kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.filter("doc_id is null")).select(docs.columns)
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every span of personal data replaced by its kind."""
+    out = pii.redact(docs, "text", "__pii")
+    length = {"n_chars": F.char_length("text").cast("long")} if "n_chars" in docs.columns else {}
+    return out.withColumns(length).select(docs.columns) if length else out.select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as pieces in windows of 4,096 ids."""
+    out = packing.pack(docs, WORD_TOKENIZER, end_id=2, window=4096, payload="crc32")
+    return out.select("doc_id", "start", "length", F.col("crc32").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("language", language_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("personal_data", personal_data_stage),
+    ("packing", packing_stage),
+]
+#: No stage can be said in SQL; the tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

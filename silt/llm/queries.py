@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silt.llm import embdedup, langid, packing, pieces, pii, simhash, topk, urlfilter
+from silt.llm import embdedup, langid, licenses, packing, pieces, pii, quality, simhash, topk, urlfilter
 from silt.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -38,6 +38,18 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def grades(labels: DataFrame) -> DataFrame:
+    """Graded ratings of the labels: 0 poor, 1 sound but toxic, 2 sound."""
+    return labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2).alias("grade"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probability of every document, by a model of the labelled ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, grades(table(spark, sf_dir, "labels")), grades=3)
+    return quality.score(docs, model).drop("text")
+
+
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every text and their decoding, as digests."""
     out = pieces.encode_decode(table(spark, sf_dir, "documents"), PIECE_MODEL)
@@ -82,8 +94,27 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=[F.col("held_out")])
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices of every text."""
+    out = licenses.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["phrase"])
+    labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda x: x["label"]))), ",")
+    starts = F.transform(base, lambda x: x["first"].cast("long"))
+    return out.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda x: x["score"])), F.lit(0.0)).alias("score"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_quality": op2_quality,
     "op3_pieces": op3_pieces,
     "op4_packing": op4_packing,
     "op5_embedding_dedup": op5_embedding_dedup,
@@ -91,4 +122,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_urls": op8_urls,
     "op9_language": op9_language,
+    "op10_licenses": op10_licenses,
 }
