@@ -58,6 +58,19 @@ def row_numbers(first: int, count: int) -> np.ndarray:
     return (np.int64(TaskContext.get().partitionId()) << 33) + np.arange(first, first + count, dtype=np.int64)
 
 
+def hash_sample(df: DataFrame, rows: int, *cols: str) -> DataFrame:
+    """All rows if there are at most ``rows``, else about that many and no more, chosen by a hash of ``cols``.
+
+    The hash picks where a row lies, so nothing is sorted or moved; equal values
+    of ``cols`` are chosen together and should be distinct.
+    """
+    n = df.count()
+    if n <= rows:
+        return df
+    below = int(2**32 * 0.95 * rows / n)
+    return df.filter(F.pmod(F.xxhash64(*cols), F.lit(2**32)) < below).limit(rows)
+
+
 class WordTable:
     """Ids of distinct words, segmented once each; bounded, and kept across batches by a worker.
 

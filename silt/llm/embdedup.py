@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silt.llm.common import components, cut
+from silt.llm.common import components, cut, hash_sample
 
 #: Pivots: one for so many classes, and at least and at most so many.
 CLASSES_PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 16, 64, 4096
@@ -142,7 +142,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, nearest: int = NEARE
 def _linked(spark, classes: DataFrame, threshold: float, nearest: int) -> DataFrame:
     """Rows (sig, n, other) of classes with vectors of one length: numbers of links to sum up, and links of a spanning forest."""
     wanted = min(MOST_PIVOTS, max(LEAST_PIVOTS, classes.count() // CLASSES_PER_PIVOT))
-    pivots = np.stack([np.frombuffer(r["vec"], np.float64) for r in classes.orderBy("sig").limit(wanted).select("vec").collect()])  # at most MOST_PIVOTS rows
+    pivots = np.stack([np.frombuffer(r["vec"], np.float64) for r in hash_sample(classes, wanted, "sig").select("sig", "vec").orderBy("sig").collect()])  # at most MOST_PIVOTS rows
     shared = spark.sparkContext.broadcast(pivots.astype(np.float32))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

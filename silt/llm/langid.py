@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silt.llm.common import cut
+from silt.llm.common import cut, hash_sample
 
 UNKNOWN = "und"
 #: Labelled rows that the model is fitted on at most.
@@ -112,11 +112,12 @@ def _tables(counts: DataFrame, most: int, by: list[str]) -> list:
 def fit(df: DataFrame, sample_rows: int = SAMPLE_ROWS, text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from rows with a text and a language.
 
-    At most ``sample_rows`` rows are used, those with the smallest hash of their
-    text. Without any, the model has no language and predicts ``und``.
+    About ``sample_rows`` rows at most are used, chosen by a hash of their text;
+    equal rows count once. Without any, the model has no language and predicts
+    ``und``.
     """
     rows = df.select(F.lower(F.col(text_col)).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
-    sample = cut(rows.orderBy(F.xxhash64("text"), "lang").limit(sample_rows).repartition(F.xxhash64("text")))
+    sample = cut(hash_sample(rows.select(F.xxhash64("text").alias("h"), "text", "lang"), sample_rows, "h").drop("h").distinct())
     words = sample.select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("token"))
     counts = cut(words.groupBy("lang", "token").agg(F.count("*").alias("n")))
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}

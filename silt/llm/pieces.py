@@ -42,7 +42,7 @@ class ChunkTable:
         if crossing:
             raise ValueError(f"pieces cross whitespace markers: {crossing[:3]}")
         self.mark_id = self.model.piece_to_id(MARK)
-        self.words = WordTable(self.segment, limit=700_000)
+        self.words = WordTable(self.segment, limit=450_000)
 
     def segment(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The library puts one marker before a text by itself, none before an empty one."""

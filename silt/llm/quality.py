@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silt.llm.common import cut
+from silt.llm.common import cut, hash_sample
 
 #: Graded rows that the model is fitted on at most; hashed weights; tokens that a worker remembers.
 SAMPLE_ROWS, BUCKETS, MEMORY = 8_000, 1 << 16, 300_000
@@ -129,12 +129,11 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int, pas
 def fit(docs: DataFrame, graded: DataFrame, grades: int, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from ``graded`` rows (id, grade) and their texts in ``docs``.
 
-    At most ``sample_rows`` graded ids are used, those with the smallest hash; an
-    id graded more than once counts with its lowest grade. Null ids and grades
+    At most ``sample_rows`` graded ids are used, chosen by a hash; an id graded more than once counts with its lowest grade. Null ids and grades
     don't count. Without two different grades the model accepts everything.
     """
     once = graded.select(F.col(id_col).alias("id"), F.col("grade").cast("int").alias("grade")).filter("id is not null and grade is not null").groupBy("id").agg(F.min("grade").alias("grade"))
-    sample = F.broadcast(cut(once.orderBy(F.xxhash64("id"), "id").limit(sample_rows)))  # at most sample_rows rows
+    sample = F.broadcast(cut(hash_sample(once, sample_rows, "id")))  # at most sample_rows rows
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id").select("text", "grade")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
