@@ -58,18 +58,28 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.stack([np.frombuffer(x.as_buffer(), np.float64) for x in column])
 
 
-def keys_of(units: np.ndarray, pivots: np.ndarray, nearest: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
-    """Each vector's nearest pivots in order of distance, and the codes of all pairs of them."""
+def _pivots_of(column: pa.Array) -> np.ndarray:
+    """Rows of pivot numbers."""
+    return np.stack([np.frombuffer(x.as_buffer(), np.int16) for x in column]).astype(np.int64)
+
+
+def nearest_pivots(units: np.ndarray, pivots: np.ndarray, nearest: int = NEAREST) -> np.ndarray:
+    """The numbers of each vector's nearest pivots in order of distance."""
     nearest = min(nearest, len(pivots))
-    near = np.empty((len(units), nearest), np.int64)
+    near = np.empty((len(units), nearest), np.int16)
     for at in range(0, len(units), 512):
         cosines = units[at : at + 512].astype(np.float32) @ pivots.T.astype(np.float32)
         some = np.argpartition(-cosines, nearest - 1, axis=1)[:, :nearest]
         order = np.argsort(-np.take_along_axis(cosines, some, axis=1), axis=1, kind="stable")
         near[at : at + 512] = np.take_along_axis(some, order, axis=1)
+    return near
+
+
+def pair_keys(near: np.ndarray) -> np.ndarray:
+    """The codes of all pairs of each vector's nearest pivots; of a single pivot, its own."""
     rising = np.sort(near, axis=1)
-    pairs = [rising[:, a] << 16 | rising[:, b] for a, b in combinations(range(nearest), 2)]
-    return near, np.stack(pairs, axis=1) if pairs else rising[:, :1] << 16 | rising[:, :1]
+    pairs = [rising[:, a] << 16 | rising[:, b] for a, b in combinations(range(near.shape[1]), 2)]
+    return np.stack(pairs, axis=1) if pairs else rising[:, :1] << 16 | rising[:, :1]
 
 
 def shared_pivots(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
@@ -147,18 +157,23 @@ def _linked(spark, classes: DataFrame, threshold: float, nearest: int) -> DataFr
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            near, keys = keys_of(_matrix(batch.column(1)), shared.value, nearest)
-            row = np.repeat(np.arange(len(near)), keys.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(pa.array(row))], ["key", "sig"])
+            if batch.num_rows:
+                near = nearest_pivots(_matrix(batch.column(2)), shared.value, nearest)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in near], pa.binary())], ["sig", "copies", "vec", "near"])
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                made = pair_keys(_pivots_of(batch.column(1)))
+                yield pa.RecordBatch.from_arrays([pa.array(made.ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(len(made)), made.shape[1])))], ["key", "sig"])
 
-    listed = classes.select("sig", "vec").mapInArrow(describe, "key long, sig string")
+    described = cut(classes.select("sig", "copies", "vec").mapInArrow(describe, "sig string, copies long, vec binary, near binary"))
+    listed = described.select("sig", "near").mapInArrow(keys, "key long, sig string")
     sizes = listed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     placed = listed.join(sizes, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     placed = cut(placed.select("key", "sig", "blocks", F.pmod(F.xxhash64("sig", "key"), F.col("blocks")).cast("int").alias("block")))
-    with_vectors = placed.join(classes.select("sig", "copies", "vec"), "sig")
-    packed = cut(with_vectors.groupBy("key", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("sig", "copies", "vec")).alias("members")))
+    with_vectors = placed.join(described, "sig")
+    packed = cut(with_vectors.groupBy("key", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("sig", "copies", "vec", "near")).alias("members")))
     inner = packed.filter("size(members) > 1").select("key", "members", F.lit(None).cast(packed.schema["members"].dataType).alias("others"))
     left = packed.filter("blocks > 1").select("key", "block", "members", F.explode(F.expr("sequence(0, blocks - 1)")).alias("with")).filter(F.col("block") < F.col("with"))
     right = packed.filter("blocks > 1").select("key", F.col("block").alias("with"), F.col("members").alias("others"))
@@ -173,8 +188,7 @@ def _linked(spark, classes: DataFrame, threshold: float, nearest: int) -> DataFr
                 sides = [block.values.flatten() for block in (blocks * 2 if same else blocks)]
                 names = [side[0].to_pylist() for side in sides]
                 units = [_matrix(side[2]) for side in sides]
-                near = [keys_of(u, shared.value, nearest)[0] for u in (units[:1] if same else units)]
-                near = near * 2 if same else near
+                near = [_pivots_of(side[3]) for side in sides]
                 n, m, forest = link_blocks(near, units, [side[1].to_numpy() for side in sides], key, threshold, same)
                 sigs, counts, others = [], [], []
                 for name, number in [*zip(names[0], n.tolist(), strict=True), *zip(names[1] if not same else [], m.tolist(), strict=True)]:
