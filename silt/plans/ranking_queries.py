@@ -37,7 +37,7 @@ def bm25_search(spark, sf_dir):
 
 
 _BARE = "lower(regexp_replace(w, '[^\\p{L}\\p{N}./_\\-]', '', 'g'))"
-_LEX = f"""{_BM25}, wanted AS (SELECT qid, list_transform(list_distinct(list_filter(list_transform(string_split(query, ' '), lambda w: {_BARE}), lambda w: w <> '' AND NOT list_contains({array(W.STOPWORDS)}, w))), lambda w: {_STEM}) AS ws FROM asked),
+_LEX = f"""{_BM25}, wanted AS (SELECT qid, list_transform(list_distinct(list_filter(list_transform(string_split_regex(query, '[ \\n]+'), lambda w: {_BARE}), lambda w: w <> '' AND NOT list_contains({array(W.STOPWORDS)}, w))), lambda w: {_STEM}) AS ws FROM asked),
  words_ AS (SELECT doc_id AS id, list_distinct(list_filter(list_transform(list_transform(string_split_regex(text, '[ \\n]+'), lambda w: {_BARE}), lambda w: {_STEM}), lambda w: w <> '')) AS held FROM documents WHERE lang = 'en'),
  best AS (SELECT *, min(rank) OVER (PARTITION BY qid) AS best FROM top WHERE place <= 500),
  lex AS (SELECT b.qid, b.id, CASE WHEN best >= 0 THEN 0.5 ELSE greatest(0, least(1, rank / best)) END * len(list_filter(w.ws, lambda t: len(list_filter(d.held, lambda h: contains(h, t))) > 0)) / len(w.ws) AS lexical FROM best b JOIN wanted w USING (qid) JOIN words_ d ON d.id = b.id)"""

@@ -150,7 +150,7 @@ def redact_literal(spark, sf_dir):
     return landing.redact(tables.turns(spark, sf_dir), "the").select("session", "cursor", "text")
 
 
-@query("""WITH RECURSIVE v AS (SELECT user_id AS model, round(value / 40, 4) AS ratio, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE round(value / 40, 4) BETWEEN 0.25 AND 3.0),
+@query("""WITH RECURSIVE v AS (SELECT user_id AS model, floor(value / 40 * 1000 + 0.5) / 1000 AS ratio, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE floor(value / 40 * 1000 + 0.5) / 1000 BETWEEN 0.25 AND 3.0),
  r AS (SELECT model, 1.0::DOUBLE AS factor, 0::BIGINT AS n FROM (SELECT DISTINCT user_id AS model FROM events)
  UNION ALL SELECT r.model, greatest(0.5, least(8.0, 0.7 * r.factor + 0.3 * v.ratio)), r.n + 1 FROM r JOIN v ON v.model = r.model AND v.n = r.n + 1)
  SELECT model, round(max_by(factor, n), 6) AS factor FROM r GROUP BY model""")
@@ -158,7 +158,7 @@ def fold_factor_ewma(spark, sf_dir):
     """A model's token factor folded over its measured ratios in order."""
     from silt.functions import score
 
-    raw = tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("model"), "event_id", F.round(F.col("value") / 40, 4).alias("ratio"))
+    raw = tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("model"), "event_id", (F.floor(F.col("value") / 40 * 1000 + 0.5) / 1000).alias("ratio"))
     ordered = raw.groupBy("model").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "ratio"))), lambda x: x["ratio"]).alias("ratios"))
     return ordered.select("model", F.round(score.fold_factor(F.col("ratios")), 6).alias("factor"))
 
