@@ -1,3 +1,61 @@
-"""DuckDB oracles of the opN queries that SQL can express."""
+"""DuckDB oracles of the opN queries that SQL can express.
 
-ORACLE: dict[str, str] = {}
+The others are held against brute force in the tests: they need the library's
+tokenizers, XXH64 or a fitted model.
+"""
+
+from __future__ import annotations
+
+from silt.llm.queries import URL_RULES
+
+# Each base or own kind: its expression as RE2 takes it, what confirms a match x, its score, context words, whether it is a base kind.
+_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {_DIGITS}[length({_DIGITS}) + 1 - i]::INT WHEN {_DIGITS}[length({_DIGITS}) + 1 - i]::INT > 4 THEN 2 * {_DIGITS}[length({_DIGITS}) + 1 - i]::INT - 9 ELSE 2 * {_DIGITS}[length({_DIGITS}) + 1 - i]::INT END)) % 10 = 0"
+_FLAT = "replace(x, ' ', '')"
+_MOD97 = f"list_reduce(list_prepend(0, list_transform(string_split(substr({_FLAT}, 5) || left({_FLAT}, 4), ''), lambda c: (CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END)::BIGINT)), lambda a, c: (a * CASE WHEN c > 9 THEN 100 ELSE 10 END + c) % 97) = 1"
+_KINDS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", 0.9, "mail|contact|write", True),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(x, '.'), lambda p: NOT (regexp_full_match(p, '0*[0-9]{1,3}') AND right(p, 3)::INT <= 255))) = 0", 0.6, "ip|host|server|address|from", True),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}", 0.8, "card|visa|credit|pay", True),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15", 0.7, "phone|tel|call|mobile|fax", True),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", f"length({_FLAT}) BETWEEN 15 AND 34 AND {_MOD97}", 0.9, "iban|account|bank", False),
+    ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "NOT regexp_matches(x, '^(000|666|9..)-|-00-|-0000$')", 0.3, "ssn|social|security|tax", False),
+    ("secret", r"\b(?i:token|secret|password|api[_-]?key)[\x22\x27]?\x20?[:=]\x20?[\x22\x27]?[A-Za-z0-9_/+.-]{16,}", "true", 0.6, "access|auth|login|key", False),
+]
+
+
+def _pii() -> str:
+    parts, kinds = [], []
+    for kind, pattern, confirm, score, words, base in _KINDS:
+        parts.append(f"regexp_extract_all(t, '{pattern}') AS m_{kind}, string_split_regex(t, '{pattern}') AS g_{kind}")
+        at = f"list_transform(range(1, len(m_{kind}) + 1), lambda i: {{'s': (list_sum(list_transform(g_{kind}[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m_{kind}[1:i - 1], lambda y: length(y))), 0))::BIGINT, 'x': m_{kind}[i]}})"
+        kept = f"list_filter({at}, lambda r: list_transform([r.x], lambda x: {confirm})[1])"
+        if not base:
+            before = "lower(substr(t, greatest(r.s - 40, 0) + 1, r.s - greatest(r.s - 40, 0)))"
+            kept = f"list_filter({kept}, lambda r: {score} + CASE WHEN regexp_matches({before}, '\\b({words})') THEN 0.35 ELSE 0 END >= 0.5)"
+        kinds.append((kind, base, f"list_transform({kept}, lambda r: '{kind}:' || r.s || ':' || (r.s + length(r.x)))"))
+    spans = ", ".join(f"{sql} AS s_{kind}" for kind, _, sql in kinds)
+    base = " || ".join(f"s_{k}" for k, b, _ in kinds if b)
+    every = " || ".join(f"s_{k}" for k, _, _ in kinds)
+    counts = ", ".join(f"len(s_{k})::BIGINT AS n_{k}" for k, b, _ in kinds if b)
+    return f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT doc_id, t, {', '.join(parts)} FROM d), s AS (SELECT doc_id, {spans} FROM f) SELECT doc_id, {counts}, sha256(array_to_string({base}, ',')) AS base_sha256, array_to_string({every}, ',') AS spans FROM s"
+
+
+_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+_URLS = f"""WITH r(verdict, h, p) AS (VALUES {_RULES}),
+ a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+ b AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(coalesce(rest, ''), length(regexp_extract(coalesce(rest, ''), '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM a),
+ f AS (SELECT b.page_id, b.host, b.path, r.h || r.p AS rule, r.verdict, length(r.h) + length(r.p) AS n FROM b LEFT JOIN r ON (b.host = r.h OR ends_with(b.host, '.' || r.h)) AND starts_with(b.path, r.p))
+ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n DESC NULLS LAST) = 1"""
+
+_TOP = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20"""
+
+_LINKS = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+ c AS (SELECT vec_id AS node, vec_id AS reached FROM embeddings UNION SELECT c.node, l.b FROM c JOIN l ON l.a = c.reached),
+ m AS (SELECT node, min(reached) AS component_id FROM c GROUP BY node), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+ SELECT node AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, node = component_id AS kept FROM m LEFT JOIN n ON n.a = m.node"""
+
+ORACLE: dict[str, str] = {"op1_pii": _pii(), "op5_embedding_dedup": _LINKS, "op6_topk": _TOP, "op8_urls": _URLS}

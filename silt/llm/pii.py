@@ -58,8 +58,8 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"text rlike '[0-9]\\.[0-9]'", r"forall(split(x.v, '\\.'), p -> p rlike '^0*[0-9]{1,3}$' and int(right(p, 3)) <= 255)", 0.6, "ip|host|server|address|from"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "text rlike '[0-9](?:[ -]?[0-9]){12}'", f"length({_CARD_DIGITS}) between 13 and 19 and {_luhn(_CARD_DIGITS)}", 0.8, "card|visa|credit|pay"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "contains(text, '+')", f"length({_CARD_DIGITS}) between 9 and 15", 0.7, "phone|tel|call|mobile|fax"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "text rlike '[A-Z]{2}[0-9]{2} ?[A-Z0-9]'", f"length(replace(x.v, ' ', '')) between 15 and 34 and {_mod97('x.v')}", 0.9, "iban|account|bank", False),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "text rlike '[0-9]-[0-9]{2}-[0-9]'", "not x.v rlike '^(000|666|9..)-|-00-|-0000$'", 0.3, "ssn|social|security|tax", False),
+    Kind("iban", r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9_])", "text rlike '[A-Z]{2}[0-9]{2} ?[A-Z0-9]'", f"length(replace(x.v, ' ', '')) between 15 and 34 and {_mod97('x.v')}", 0.9, "iban|account|bank", False),
+    Kind("ssn", r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])", "text rlike '[0-9]-[0-9]{2}-[0-9]'", "not x.v rlike '^(000|666|9..)-|-00-|-0000$'", 0.3, "ssn|social|security|tax", False),
     Kind("secret", r"(?<![A-Za-z0-9_])(?i:token|secret|password|api[_-]?key)[\x22']?\x20?[:=]\x20?[\x22']?[A-Za-z0-9_/+.-]{16,}+", "text rlike '(?i)token|secret|password|api[_-]?key'", "true", 0.6, "access|auth|login|key", False),
 )
 _SPAN = "array<struct<s:int,e:int,v:string>>"
