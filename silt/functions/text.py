@@ -231,12 +231,16 @@ def terms_of(query: Column) -> Column:
     return F.slice(F.array_distinct(F.filter(bare, lambda w: (w != "") & ~_in(w, W.STOPWORDS))), 1, 64)
 
 
-def coverage(wanted: Column, text: Column) -> Column:
-    """The share of wanted terms whose stem a word of the text is or holds; 1 if nothing is wanted."""
+def held_words(text: Column) -> Column:
+    """The distinct stemmed words that a text holds, joined by spaces."""
     held = F.transform(split_words(text), lambda w: search_stem(F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}./_\-]", ""))))
-    held = F.filter(held, lambda w: w != "")
-    hit = F.filter(F.transform(wanted, search_stem), lambda t: F.exists(held, lambda w: F.contains(w, t)))
-    return F.when(F.size(wanted) == 0, 1.0).otherwise(F.size(hit) / F.size(wanted))
+    return F.array_join(F.array_distinct(F.filter(held, lambda w: w != "")), " ")
+
+
+def covered(stems: Column, held: Column) -> Column:
+    """The share of stems (without spaces) that a word of ``held_words`` is or holds; 1 if there are none."""
+    hit = F.filter(stems, lambda t: F.contains(held, t))
+    return F.when(F.size(stems) == 0, 1.0).otherwise(F.size(hit) / F.size(stems))
 
 
 def tokens(text: Column) -> Column:

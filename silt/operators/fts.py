@@ -64,9 +64,11 @@ def lexical(memories: DataFrame, queries: DataFrame, candidates: int = CANDIDATE
     """Rows (qid, id, lexical): relative bm25 times the share of the query's terms that the text covers."""
     hits = bm25(memories, queries, candidates)
     best = F.min("rank").over(Window.partitionBy("qid"))
-    asked = queries.select("qid", text.terms_of(F.col("query")).alias("wanted"))
-    covered = hits.withColumn("best", best).join(memories.select("id", "text"), "id").join(asked, "qid")
-    return covered.select("qid", "id", (score.relative(F.col("rank"), F.col("best")) * text.coverage(F.col("wanted"), F.col("text"))).alias("lexical"))
+    asked = queries.select("qid", F.transform(text.terms_of(F.col("query")), text.search_stem).alias("wanted"))
+    # the words of a candidate are split once, below the join, not for every query and term
+    held = memories.join(hits.select("id").distinct(), "id", "left_semi").select("id", text.held_words(F.col("text")).alias("held"))
+    covered = hits.withColumn("best", best).join(held, "id").join(asked, "qid")
+    return covered.select("qid", "id", (score.relative(F.col("rank"), F.col("best")) * text.covered(F.col("wanted"), F.col("held"))).alias("lexical"))
 
 
 def recall(memories: DataFrame, queries: DataFrame, now: Column, limit: int = 20, least_relevance: float = 0.0, entity: DataFrame | None = None) -> DataFrame:
