@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from silt.llm.common import cut, hash_sample
 
 #: Graded rows that the model is fitted on at most; hashed weights; tokens that a worker remembers.
-SAMPLE_ROWS, BUCKETS, MEMORY = 8_000, 1 << 16, 300_000
-#: Words in fewer sampled texts than this get no weight.
-LEAST_TEXTS = 8
+SAMPLE_ROWS, BUCKETS, MEMORY = 8_000, 1 << 20, 300_000
+#: Words in fewer sampled texts than this, or as common above as below every threshold (by this many deviations), get no weight.
+LEAST_TEXTS, LEAST_DEVIATIONS = 8, 4.5
 _TRAITS = ("caps", "tails", "marks", "again", "plain")
 #: A token's punctuation ends are cut to see its word.
 _ENDS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”’…"
@@ -65,7 +65,7 @@ class Featurizer:
         words = np.unique(made[:, 0])
         share = np.bincount(made[:, 1], minlength=4)[1:4] / len(tokens)
         again = (made[1:, 0] == made[:-1, 0]).mean() if len(tokens) > 1 else 0.0
-        values = np.concatenate([np.full(len(words), 1 / np.sqrt(4 + np.sqrt(len(words)))), 4 * share, [4 * again, 1.0]])
+        values = np.concatenate([np.full(len(words), 0.5), 4 * share, [4 * again, 0.5]])
         return np.concatenate([words, self.traits]), values.astype(np.float32)
 
 
@@ -85,7 +85,7 @@ class Model:
         return float(above.sum()), float(above[-1])
 
 
-def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int, passes: int = 300, rate: float = 0.15, decay: float = 5e-4) -> Model:
+def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int, passes: int = 300, rate: float = 0.15, decay: float = 4e-4) -> Model:
     """Maximum likelihood of the cumulative link, by Adam over all rows at once.
 
     Thresholds are the first one and positive steps, so they stay ordered. Grades
@@ -97,17 +97,27 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int, pas
     owner = np.repeat(np.arange(len(rows)), [len(b) for b, *_ in rows])
     at, x = np.concatenate([b for b, *_ in rows]), np.concatenate([v for _, v, _ in rows]).astype(np.float64)
     texts = np.bincount(at, minlength=BUCKETS)
-    used = texts[at] >= LEAST_TEXTS
-    owner, at, x = owner[used], at[used], x[used]
+    apart = np.zeros(BUCKETS)
+    for k in range(grades - 1):
+        low = y <= k
+        share = low.mean()
+        chance = np.sqrt(np.maximum(texts * share * (1 - share), 1e-9))
+        apart = np.maximum(apart, np.abs(np.bincount(at[low[owner]], minlength=BUCKETS) - texts * share) / chance)
+    apart[[bucket(f"trait {t}") for t in _TRAITS]] = np.inf  # every text has them; their values tell
+    names = np.flatnonzero((texts >= LEAST_TEXTS) & (apart >= LEAST_DEVIATIONS))
+    place = np.full(BUCKETS, -1)
+    place[names] = np.arange(len(names))
+    used = place[at] >= 0
+    owner, at, x, size = owner[used], place[at[used]], x[used], len(names)
     rarity = np.sqrt(len(y) / (grades * np.maximum(np.bincount(y, minlength=grades), 1)))[y]
     rarity /= rarity.sum()
     share = np.cumsum(np.bincount(y, minlength=grades))[:-1] / len(y)
     start = np.log((share + 0.01) / (1.01 - share))
-    state = np.concatenate([np.zeros(BUCKETS), start[:1], np.log(np.maximum(np.diff(start), 0.1))])
+    state = np.concatenate([np.zeros(size), start[:1], np.log(np.maximum(np.diff(start), 0.1))])
     first, second = np.zeros_like(state), np.zeros_like(state)
     for step in range(1, passes + 1):
-        steps = np.exp(state[BUCKETS + 1 :])
-        t = state[BUCKETS] + np.concatenate([[0.0], np.cumsum(steps)])
+        steps = np.exp(state[size + 1 :])
+        t = state[size] + np.concatenate([[0.0], np.cumsum(steps)])
         score = np.bincount(owner, x * state[at], minlength=len(y))
         edges = np.concatenate([np.full((len(y), 1), -40.0), np.clip(t[None, :] - score[:, None], -40, 40), np.full((len(y), 1), 40.0)], axis=1)
         below = 1 / (1 + np.exp(-edges))
@@ -118,11 +128,12 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int, pas
         d_score = d_high - d_low  # of the loss, by the score
         d_t = np.array([d_low[y == k + 1].sum() - d_high[y == k].sum() for k in range(grades - 1)])
         tail = np.cumsum(d_t[::-1])[::-1]
-        slope = np.concatenate([np.bincount(at, x * d_score[owner], minlength=BUCKETS) + decay * state[:BUCKETS], tail[:1], tail[1:] * steps])
+        slope = np.concatenate([np.bincount(at, x * d_score[owner], minlength=size) + decay * state[:size], tail[:1], tail[1:] * steps])
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         state = state - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    weights = state[:BUCKETS].astype(np.float32)
-    thresholds = state[BUCKETS] + np.concatenate([[0.0], np.cumsum(np.exp(state[BUCKETS + 1 :]))])
+    weights = np.zeros(BUCKETS, np.float32)
+    weights[names] = state[:size]
+    thresholds = state[size] + np.concatenate([[0.0], np.cumsum(np.exp(state[size + 1 :]))])
     return Model(weights, thresholds, hashlib.sha256(weights.tobytes() + thresholds.tobytes()).hexdigest())
 
 
