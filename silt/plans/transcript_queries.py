@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from silt.operators import context, landing, transcripts
+from silt.operators import consolidation, context, landing, notes, transcripts
 from silt.plans.registry import query
 from silt.sources import journals, tables
 from silt.streaming import observe
@@ -180,3 +180,42 @@ def _is_folder(spark, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+
+
+@query("SELECT conv_id AS session, turn AS cursor, NOT ends_with(rtrim(text, ' '), '?') AND (len(list_intersect(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), ['must', 'shall', 'always', 'never'])) > 0 OR contains(lower(text), 'from now on') OR contains(lower(text), 'do not ') OR contains(lower(text), 'don''t ') OR contains(lower(text), 'standing rule')) AS obliges FROM conversations")
+def obliging_turns(spark, sf_dir):
+    """Turns that lay something down."""
+    return tables.turns(spark, sf_dir).select("session", "cursor", notes.obliges(F.col("text")).alias("obliges"))
+
+
+@query("""WITH j AS (SELECT o_custkey AS session, o_orderkey AS id, ['curate', 'extract', 'summarise', 'working', 'contradict', 'retitle', 'tidy'][o_orderkey % 7 + 1] AS kind, CASE WHEN o_orderstatus = 'F' THEN 'issued' ELSE 'queued' END AS state, o_orderkey % 19 = 0 AS blocking, o_orderkey % 7 + 1 AS rank FROM orders),
+ r AS (SELECT *, count(*) FILTER (state = 'issued') OVER (PARTITION BY session) AS running FROM j), q AS (SELECT *, row_number() OVER (PARTITION BY session, kind ORDER BY id) AS nth FROM r WHERE state = 'queued'),
+ p AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY rank, id) AS place FROM q WHERE nth = 1 OR blocking) SELECT session, id, kind, place FROM p WHERE place + running <= 3 OR blocking""")
+def job_schedule(spark, sf_dir):
+    """Background work to hand out, orders standing in for jobs."""
+    kinds = F.array(*[F.lit(k) for k in notes.JOB_ORDER])
+    raw = tables.table(spark, sf_dir, "orders")
+    jobs = raw.select(F.col("o_custkey").alias("session"), F.col("o_orderkey").alias("id"), F.element_at(kinds, (F.col("o_orderkey") % 7 + 1).cast("int")).alias("kind"), F.when(F.col("o_orderstatus") == "F", "issued").otherwise("queued").alias("state"), (F.col("o_orderkey") % 19 == 0).alias("blocking"))
+    return notes.schedule(jobs).withColumn("place", F.col("place").cast("long"))
+
+
+@query()
+def eligible_lines(spark, sf_dir):
+    """Lines of turns in a person's own words."""
+    return notes.eligible_lines(tables.turns(spark, sf_dir), ["session", "cursor"], "text")
+
+
+@query()
+def consolidated_facts(spark, sf_dir):
+    """Facts that recurring openings of a scope become."""
+    held = tables.memories(spark, sf_dir).filter("lang = 'en'").withColumn("text", F.substring("text", 1, 300))
+    return consolidation.consolidate(held)
+
+
+@query("""SELECT event_type AS arm, count(*) AS encounters, round(count(*) FILTER (value > 30) / count(*)::DOUBLE, 6) AS hit_rate, round(count(*) FILTER (value > 60) / count(*) FILTER (value > 60 OR value < 5)::DOUBLE, 6) AS precision, round(count(*) FILTER (value > 20) / count(*)::DOUBLE, 6) AS relevance,
+ round((count(*) FILTER (value > 60 OR value < 5) - count(*) FILTER (value < 1)) / count(*) FILTER (value > 60 OR value < 5)::DOUBLE, 6) AS assertion_accuracy, count(*) FILTER (value < 1) AS stale_served, sum(floor(value))::BIGINT AS injected_tokens FROM events GROUP BY event_type""")
+def evaluation_measures(spark, sf_dir):
+    """Measures of evaluation arms, events standing in for encounters."""
+    v = F.col("value")
+    rows_ = tables.table(spark, sf_dir, "events").select(F.col("event_type").alias("arm"), (v > 30).alias("known"), (v > 60).alias("right"), (v < 5).alias("wrong"), (v > 20).alias("found"), (v < 1).alias("stale"), (v < 1).alias("old"), F.floor(v).alias("tokens"))
+    return consolidation.measures(rows_, ["arm"])

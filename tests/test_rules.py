@@ -182,3 +182,36 @@ def test_attacks_do_not_succeed(spark):
     w = spark.createDataFrame([(1, "s", None, "external-content"), (2, "s", None, "external-content")], "memory long, session string, domain string, channel string")
     sus = spark.createDataFrame([(1, True)], "memory long, suspicious boolean")
     assert {r["memory"]: r["presentation"] for r in evidence.presentation(w, sus).collect()} == {1: "quarantined", 2: "evidence"}
+
+
+def test_eligible_lines(spark):
+    from silt.operators import notes
+
+    said = "keep this\n```\ncode\n```\n> quoted\n    indented\n- item\n<b>x</b>\na < b\n~~~~\nin\n~~~\nstill in\n~~~~\nlast"
+    got = notes.eligible_lines(spark.createDataFrame([(1, said), (2, None), (3, "")], "id long, text string"), ["id"], "text").collect()
+    assert [r["line"] for r in sorted(got, key=lambda r: r["place"])] == ["keep this", "item", "a < b", "last"]
+
+
+def test_notes(spark):
+    from silt.operators import notes
+
+    assert one(spark, notes.pasted_conversation(F.col("t")), t="User: hi\nAssistant : yes")
+    assert not one(spark, notes.pasted_conversation(F.col("t")), t="user hi\nme: x")
+    assert one(spark, notes.asks_for_generation(F.col("t")), t="Please write a poem") and not one(spark, notes.asks_for_generation(F.col("t")), t="write tests")
+    assert one(spark, notes.obliges(F.col("t")), t="every name must start with zq_") and not one(spark, notes.obliges(F.col("t")), t="must it?")
+    assert one(spark, notes.wording(F.col("t")), t=" Use  make. ") == "use make"
+    new = spark.createDataFrame([(1, 1, "always run the make tests"), (1, 2, "cats sleep all day long")], "session long, id long, text string")
+    kept = spark.createDataFrame([(1, 9, "Always run the make tests!")], "session long, id long, text string")
+    assert [r["id"] for r in notes.echoes(new, kept).collect()] == [1]
+    state = "session long, kind string, what string, stage string, evidenced boolean"
+    was = spark.createDataFrame([(1, "work", "a", "open", False), (1, "check", "t", "failed", True)], state)
+    now = spark.createDataFrame([(1, "work", "b", "done", False), (1, "check", "t", "passed", True)], state)
+    assert {(r["reason"], r["what"]) for r in notes.may_replace(now, was).collect()} == {("unevidenced", "b"), ("work dropped", "a")}
+
+
+def test_consolidation(spark):
+    from silt.operators import consolidation
+
+    rows = [(1, "s", 1, "The deploy script needs credentials", 5), (2, "s", 2, "the deploy script needs credentials.", 6), (3, "s", 3, "deploy script needs the credentials", 7), (4, "s", 4, "deploy script never needs credentials", 8), (5, "s", 1, "ok go ahead", 1), (6, "s", 2, "ok, go ahead", 1)]
+    got = consolidation.consolidate(spark.createDataFrame(rows, "id long, scope string, session long, text string, observed_at long")).collect()
+    assert [(r["n_sessions"], r["first_seen"]) for r in got] == [(3, 5)]
