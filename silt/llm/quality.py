@@ -170,7 +170,8 @@ def score(df: DataFrame, model: Model, least: float = 0.5, text_col: str = "text
     """
     names = ["expected_grade", "tail_prob", "accepted"]
     rest = [c for c in df.columns if c not in names]
-    cols = df.select(F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in rest if c != text_col], F.lit(0).alias("none")).alias("kept"))
+    numbered = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest) if c != text_col]
+    cols = df.select(F.col(f"`{text_col}`").alias("text"), F.struct(*numbered, F.lit(0).alias("none")).alias("kept"))
     shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights
     key = model.key
 
@@ -186,4 +187,4 @@ def score(df: DataFrame, model: Model, least: float = 0.5, text_col: str = "text
 
     schema = f"text string, kept {cols.schema['kept'].dataType.simpleString()}, expected_grade double, tail_prob double"
     out = cols.mapInArrow(run, schema)
-    return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"kept.`{c}`") for c in rest], *names[:2], (F.col("tail_prob") >= least).alias(names[2]))
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"kept.c{i}").alias(c) for i, c in enumerate(rest)], *names[:2], (F.col("tail_prob") >= least).alias(names[2]))

@@ -217,8 +217,8 @@ def test_quality_held_out(spark):
     share = out.groupby("grade")["accepted"].mean()
     assert share[0] < 0.05 and share[2] > 0.98 and share[1] < 0.5
     assert out["expected_grade"].between(0, 2).all()
-    odd = quality.score(rows_of(spark, ODD), model)
-    assert odd.count() == len(ODD) and set(odd.columns) >= {"kept", "pos", "id"}
+    odd = quality.score(rows_of(spark, ODD).withColumn("none", F.lit(1)), model)
+    assert odd.filter("kept = 'k' and none = 1 and id = -doc_id").count() == len(ODD) and odd.columns[:6] == ["doc_id", "text", "kept", "id", "pos", "none"]
     none = quality.fit(docs, graded.filter("false"), 3)
     assert quality.score(docs.limit(5), none).filter("accepted").count() == 5
 
