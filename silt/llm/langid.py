@@ -28,7 +28,7 @@ SAMPLE_ROWS = 10_000
 WORDS, GRAMS = 10_000, 5_000
 LONGEST = 5
 #: Words that a worker remembers the scores of.
-MEMORY = 200_000
+MEMORY = 120_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 

@@ -96,7 +96,7 @@ def byte_letters() -> dict[str, int]:
 @lru_cache(maxsize=2)
 def word_table(tokenizer_path: str) -> WordTable:
     """A worker's distinct words. Tokens never cross a space, so words are segmented alone."""
-    return WordTable(Segmenter(tokenizer_path), limit=700_000)
+    return WordTable(Segmenter(tokenizer_path), limit=450_000)
 
 
 def token_ids(texts: pa.Array, known: WordTable) -> tuple[np.ndarray, np.ndarray]:

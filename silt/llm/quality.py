@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from silt.llm.common import cut, hash_sample
 
 #: Graded rows that the model is fitted on at most; hashed weights; tokens that a worker remembers.
-SAMPLE_ROWS, BUCKETS, MEMORY = 8_000, 1 << 20, 300_000
+SAMPLE_ROWS, BUCKETS, MEMORY = 8_000, 1 << 18, 150_000
 #: Words in fewer sampled texts than this, or as common above as below every threshold (by this many deviations), get no weight.
 LEAST_TEXTS, LEAST_DEVIATIONS = 8, 4.5
 _TRAITS = ("caps", "tails", "marks", "again", "plain")
