@@ -27,6 +27,8 @@ from silt.llm.common import components, cut, hash_sample
 
 #: Pivots: one for so many classes, and at least and at most so many.
 CLASSES_PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 16, 64, 4096
+#: Pivots closer than this to one already taken are left out: many in one cluster would tell its members apart.
+PIVOTS_APART = 0.8
 #: Nearest pivots that describe a vector.
 NEAREST = 8
 #: Vectors in a block of an inverted list.
@@ -63,6 +65,14 @@ def _pivots_of(column: pa.Array) -> np.ndarray:
     return np.stack([np.frombuffer(x.as_buffer(), np.int16) for x in column]).astype(np.int64)
 
 
+def apart(pivots: np.ndarray) -> np.ndarray:
+    """Pivots of which no two are closer than PIVOTS_APART; the first of a cluster stands for it."""
+    near, kept = pivots @ pivots.T >= PIVOTS_APART, np.zeros(len(pivots), bool)
+    for i in range(len(pivots)):
+        kept[i] = not (near[i] & kept).any()
+    return pivots[kept]
+
+
 def nearest_pivots(units: np.ndarray, pivots: np.ndarray, nearest: int = NEAREST) -> np.ndarray:
     """The numbers of each vector's nearest pivots in order of distance."""
     nearest = min(nearest, len(pivots))
@@ -153,7 +163,7 @@ def _linked(spark, classes: DataFrame, threshold: float, nearest: int) -> DataFr
     """Rows (sig, n, other) of classes with vectors of one length: numbers of links to sum up, and links of a spanning forest."""
     wanted = min(MOST_PIVOTS, max(LEAST_PIVOTS, classes.count() // CLASSES_PER_PIVOT))
     pivots = np.stack([np.frombuffer(r["vec"], np.float64) for r in hash_sample(classes, wanted, "sig").select("sig", "vec").orderBy("sig").collect()])  # at most MOST_PIVOTS rows
-    shared = spark.sparkContext.broadcast(pivots.astype(np.float32))
+    shared = spark.sparkContext.broadcast(apart(pivots).astype(np.float32))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

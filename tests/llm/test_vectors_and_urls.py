@@ -138,3 +138,13 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_dense_cluster_keeps_its_links(spark):
+    """A third of all vectors in one tight cluster must not take up the pivots."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=64)
+    vectors = [(base + rng.normal(size=64) * 0.03).astype(np.float32).tolist() for _ in range(300)] + rng.normal(size=(600, 64)).astype(np.float32).tolist()
+    df = spark.createDataFrame([(i, v, 0, 0) for i, v in enumerate(vectors)], SCHEMA)
+    got = embdedup.near_duplicates(df).toPandas().sort_values("vec_id")["n_links"].to_numpy()
+    assert (got == brute_links(vectors, 0.95).sum(axis=1)).all()
