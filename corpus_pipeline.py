@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silt.llm import langid, packing, pii, quality, simhash
-from silt.llm.common import table
+from silt.llm import langid, packing, pii, quality, similar, simhash
+from silt.llm.common import components, table
 from silt.llm.queries import WORD_TOKENIZER, grades
 
 #: A document stays if its language has at least this share of the odds.
@@ -36,6 +36,15 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.filter("doc_id is null")).select(docs.columns)
 
 
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As ``near_duplicate_stage``, with documents of five-word similarity 0.8 and more linked as well."""
+    groups = simhash.near_duplicates(docs, radius=2, shingle=3).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    linked = components(groups.union(similar.similar_links(docs, size=5, tenths=8)))
+    gone = linked.filter("node <> root").select(F.col("node").alias("doc_id"))
+    kept = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return kept.select(docs.columns).union(docs.filter("doc_id is null").select(docs.columns))
+
+
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every span of personal data replaced by its kind."""
     out = pii.redact(docs, "text", "__pii")
@@ -52,7 +61,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality", quality_stage),
     ("language", language_stage),
-    ("near_duplicates", near_duplicate_stage),
+    ("near_duplicates", near_copy_stage),
     ("personal_data", personal_data_stage),
     ("packing", packing_stage),
 ]

@@ -1,0 +1,128 @@
+"""Documents whose sets of word shingles have a Jaccard similarity of at least some share, linked exactly.
+
+In any one order of all shingles, two sets of similarity t share a shingle among
+the first n - ceil(t n) + 1 of each. Shingles are ordered by their hash, those
+that a sample shows to be common last; the sample steers the work, not the
+result. The documents of a prefix shingle are first compared with one of them,
+that with most copies; after that only those still in different groups are
+compared with each other. A pair whose shared prefix shingles are too few to
+reach the similarity, were all the rest shared, is not compared: no link is lost
+by that. Every comparison is of the whole sets.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from silt.llm.common import components, cut, hash_sample, slices
+from silt.llm.simhash import _LOWER, _SPACES
+
+#: Documents looked at for common shingles, in how many of them one is common, and how many are told apart.
+SAMPLE_ROWS, COMMON_IN, COMMON = 4_000, 3, 100_000
+
+
+def shingles(text: bytes, size: int = 5) -> np.ndarray:
+    """Hashes of a text's distinct word shingles, sorted; a text of fewer words is one, a wordless one has none."""
+    import xxhash
+
+    clean = _SPACES.sub(b" ", text.translate(_LOWER)).strip(b" ")
+    if not clean:
+        return np.zeros(0, np.int64)
+    starts = np.concatenate([[0], np.flatnonzero(np.frombuffer(clean, np.uint8) == 32) + 1])
+    ends = np.append(starts[1:] - 1, len(clean))
+    if len(starts) > size:
+        starts, ends = starts[: 1 - size], ends[size - 1 :]
+    else:
+        starts, ends = starts[:1], ends[-1:]
+    digest = xxhash.xxh64_intdigest
+    made = {digest(clean[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)}
+    return np.sort(np.fromiter(made, np.uint64, len(made)).view(np.int64))
+
+
+def prefix(sorted_hashes: np.ndarray, tenths: int, common: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, of which two sets of that similarity share one."""
+    n = len(sorted_hashes)
+    late = np.isin(sorted_hashes, common, assume_unique=True)
+    return np.concatenate([sorted_hashes[~late], sorted_hashes[late]])[: n - (n * tenths + 9) // 10 + 1]
+
+
+def _each(df: DataFrame, size: int, schema: str, row) -> DataFrame:
+    """Rows made of each (id, text) by ``row(shingles)``, after the id."""
+    arrow = [f.split(" ", 1)[1] for f in schema.split(", ")]
+    kinds = [{"long": pa.int64(), "array<long>": pa.list_(pa.int64())}[k] for k in arrow]
+    names = [f.split(" ", 1)[0] for f in schema.split(", ")]
+    id_type = df.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            made = [row(shingles(t.as_buffer().to_pybytes() if t.is_valid else b"", size)) for t in batch.column(1)]
+            columns = [pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", *names])
+
+    return df.select("id", "text").mapInArrow(run, f"id {id_type}, {schema}")
+
+
+def _close(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
+    """Of pairs (a, b) those whose whole sets have the similarity."""
+    x, y = sets.select(F.col("set").alias("a"), F.col("all").alias("x")), sets.select(F.col("set").alias("b"), F.col("all").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    both = pairs.join(x, "a").join(y, "b").withColumn("shared", shared)
+    return both.filter(10 * F.col("shared") >= tenths * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b")
+
+
+def similar_links(df: DataFrame, size: int = 5, tenths: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Edges (a, b) between ids, connecting exactly what pairs of documents of at least that similarity connect.
+
+    Rows without an id or a word have no edge.
+    """
+    docs = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    seen = _each(hash_sample(docs, SAMPLE_ROWS, "id"), size, "all array<long>", lambda s: (s,)).select(F.explode("all").alias("key"))
+    often = seen.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON_IN)
+    common = np.array([r["key"] for r in often.orderBy(F.col("n").desc(), "key").limit(COMMON).collect()], np.int64)
+
+    def describe(s: np.ndarray) -> tuple:
+        import xxhash
+
+        return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64)), len(s), prefix(s, tenths, common)
+
+    made = cut(_each(docs, size, "set long, n long, first array<long>", describe).filter("n > 0"))
+    distinct = cut(made.groupBy("set").agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("first").alias("first")))
+    keyed = distinct.select(F.explode("first").alias("key"), F.struct((-F.col("copies")).alias("c"), "set", "n").alias("m"))
+    lists = keyed.groupBy("key").agg(F.array_sort(F.collect_list("m")).alias("ms")).filter("size(ms) > 1")
+    keys = cut(lists.groupBy("ms").agg(F.min("key").alias("key"), F.count("*").alias("w")))
+
+    def whole(pairs: DataFrame) -> DataFrame:
+        """The sets that the pairs name, made again from one text each."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+        held = docs.join(distinct.join(wanted, "set", "left_semi").select(F.col("low").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+        return cut(_each(held, size, "set long, all array<long>", lambda s: (describe(s)[0], s)).select("set", "all"))
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Pairs that share enough prefix shingles (w of them) to reach the similarity if the rest of the sets agrees."""
+        n, m = F.col("na"), F.col("nb")
+        beyond = F.greatest(*[F.ceil(x * tenths / 10) - 1 for x in (n, m)])
+        a, b = F.when(F.col("a") < F.col("b"), F.struct("a", "b", "na", "nb")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("na"), F.col("na").alias("nb"))
+        told = pairs.filter(10 * F.least(n, m) >= tenths * F.greatest(n, m)).select(F.coalesce(a, b).alias("p"), "w").select("p.*", "w")
+        summed = told.groupBy("a", "b", "na", "nb").agg(F.sum("w").alias("w"))
+        return cut(summed.filter((10 + tenths) * (F.col("w") + beyond) >= tenths * (n + m)).select("a", "b"))
+
+    first = keys.select(F.col("ms")[0].alias("p"), F.explode(F.slice("ms", 2, 2**31 - 1)).alias("m"), "w")
+    star = possible(first.select(F.col("p.set").alias("a"), F.col("m.set").alias("b"), F.col("p.n").alias("na"), F.col("m.n").alias("nb"), "w"))
+    starred = cut(_close(star, whole(star), tenths))
+    roots = components(starred).withColumnRenamed("node", "set")
+    split = keys.select("key", "w", F.explode("ms").alias("m")).select("key", "w", "m.set", "m.n").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    mixed = split.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
+    apart = cut(split.join(mixed, "key", "left_semi"))
+    x = apart.select("key", "w", F.col("set").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    y = apart.select("key", F.col("set").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    rest = possible(x.join(y, "key").filter("ra < rb"))
+    found = starred.union(_close(rest, whole(rest), tenths))
+    low = distinct.select("set", "low")
+    named = found.join(low.toDF("a", "la"), "a").join(low.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    same = made.join(distinct.filter("copies > 1").select("set", "low"), "set").filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
+    return named.union(same)
