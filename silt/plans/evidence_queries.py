@@ -143,9 +143,9 @@ LINKS = """r AS (SELECT * FROM slot QUALIFY row_number() OVER (PARTITION BY subj
  settled AS (SELECT src, dst FROM c WHERE (src + dst) % 5 = 0)"""
 
 
-def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contradictions among the newest three answers of each slot; every fifth pair reconciled."""
-    found = slots.contradictions(tables.slots(spark, sf_dir))
+def links(spark: SparkSession, sf_dir: str, newest: int | None = 3) -> DataFrame:
+    """Contradictions among the newest three answers of each slot, or all if None; every fifth pair reconciled."""
+    found = slots.contradictions(tables.slots(spark, sf_dir), newest)
     return found.union(found.filter((F.col("src") + F.col("dst")) % 5 == 0).withColumn("rel", F.lit("reconciled")))
 
 
@@ -162,6 +162,19 @@ def contradiction_pressure(spark, sf_dir):
     return slots.pressure(links(spark, sf_dir), held).select("memory", F.round("pressure", 6).alias("pressure"))
 
 
+@query()
+def open_disagreements_all(spark, sf_dir):
+    """``open_disagreements`` over every answer of a slot, not the newest three."""
+    return slots.open_disagreements(links(spark, sf_dir, None))
+
+
+@query()
+def contradiction_pressure_all(spark, sf_dir):
+    """``contradiction_pressure`` over every answer of a slot."""
+    held = tables.slots(spark, sf_dir).select("id", (F.col("id") % 10 / 10.0).alias("confidence"))
+    return slots.pressure(links(spark, sf_dir, None), held).select("memory", F.round("pressure", 6).alias("pressure"))
+
+
 @query("""WITH $ACTION, last AS (SELECT memory, id AS outcome_id, outcome, at AS outcome_at FROM action_ WHERE outcome IS NOT NULL QUALIFY row_number() OVER (PARTITION BY memory ORDER BY at DESC, id DESC) = 1),
  n AS (SELECT memory, count(*) AS n_actions FROM action_ GROUP BY ALL) SELECT memory, n_actions, outcome_id, outcome, outcome_at FROM n LEFT JOIN last USING (memory)""")
 def latest_outcome(spark, sf_dir):
