@@ -46,6 +46,13 @@ def claim_content(spark, sf_dir):
     return heads(spark, sf_dir).select("id", F.size(ws).alias("n_content"), F.sha2(F.array_join(ws, " "), 256).alias("content"))
 
 
+@query()
+def claim_content_all(spark, sf_dir):
+    """``claim_content`` of whole texts in every language."""
+    ws = F.array_sort(text.content_words(F.col("text")))
+    return tables.memories(spark, sf_dir).select("id", F.size(ws).alias("n_content"), F.sha2(F.array_join(ws, " "), 256).alias("content"))
+
+
 def _flag_sql(parts: list[str], column: str = "t") -> str:
     return " OR ".join("contains({}, '{}')".format(column, p.replace("'", "''")) for p in parts)
 
@@ -105,6 +112,20 @@ def claim_overlap_pairs(spark, sf_dir):
     return relations.alike(held, text.distinctive(F.col("text")), jaccard=True).select("src", "dst", "shared", F.round("weight", 6).alias("weight"))
 
 
+@query()
+def word_overlap_edges_all(spark, sf_dir):
+    """``word_overlap_edges`` between whole texts in every language."""
+    held = tables.memories(spark, sf_dir)
+    return relations.alike(held, text.distinctive(F.col("text")), jaccard=False).select("src", "dst", "shared", F.round("weight", 6).alias("weight"))
+
+
+@query()
+def claim_overlap_pairs_all(spark, sf_dir):
+    """``claim_overlap_pairs`` between whole texts in every language."""
+    held = tables.memories(spark, sf_dir)
+    return relations.alike(held, text.distinctive(F.col("text")), jaccard=True).select("src", "dst", "shared", F.round("weight", 6).alias("weight"))
+
+
 @query("""WITH $MEMORY, p AS (SELECT id AS src, lead(id) OVER w AS dst, observed_at AS at, lead(observed_at) OVER w AS then_ FROM memory WINDOW w AS (PARTITION BY scope ORDER BY observed_at, id))
  SELECT src, dst, CASE WHEN abs(then_ - at) <= 300 THEN 'overlaps' ELSE 'before' END AS kind, 0.5::DOUBLE AS weight FROM p WHERE dst IS NOT NULL""")
 def temporal_edges(spark, sf_dir):

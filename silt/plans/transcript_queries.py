@@ -207,9 +207,8 @@ def eligible_lines(spark, sf_dir):
 
 @query()
 def consolidated_facts(spark, sf_dir):
-    """Facts that recurring openings of a scope become."""
-    held = tables.memories(spark, sf_dir).filter("lang = 'en'").withColumn("text", F.substring("text", 1, 300))
-    return consolidation.consolidate(held)
+    """Facts that recurring texts of a scope become."""
+    return consolidation.consolidate(tables.memories(spark, sf_dir))
 
 
 @query("""SELECT event_type AS arm, count(*) AS encounters, round(count(*) FILTER (value > 30) / count(*)::DOUBLE, 6) AS hit_rate, round(count(*) FILTER (value > 60) / count(*) FILTER (value > 60 OR value < 5)::DOUBLE, 6) AS precision, round(count(*) FILTER (value > 20) / count(*)::DOUBLE, 6) AS relevance,
