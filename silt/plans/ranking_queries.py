@@ -36,6 +36,12 @@ def bm25_search(spark, sf_dir):
     return fts.bm25(english(spark, sf_dir), asked(spark, sf_dir), 10).select("qid", F.col("place").cast("long").alias("place"), "id", "rank")
 
 
+@query()
+def bm25_search_all(spark, sf_dir):
+    """``bm25_search`` over memories in every language."""
+    return fts.bm25(tables.memories(spark, sf_dir), asked(spark, sf_dir), 10).select("qid", F.col("place").cast("long").alias("place"), "id", "rank")
+
+
 _BARE = "lower(regexp_replace(w, '[^\\p{L}\\p{N}./_\\-]', '', 'g'))"
 _LEX = f"""{_BM25}, wanted AS (SELECT qid, list_transform(list_distinct(list_filter(list_transform(string_split_regex(query, '[ \\n]+'), lambda w: {_BARE}), lambda w: w <> '' AND NOT list_contains({array(W.STOPWORDS)}, w))), lambda w: {_STEM}) AS ws FROM asked),
  words_ AS (SELECT doc_id AS id, list_distinct(list_filter(list_transform(list_transform(string_split_regex(text, '[ \\n]+'), lambda w: {_BARE}), lambda w: {_STEM}), lambda w: w <> '')) AS held FROM documents WHERE lang = 'en'),
@@ -55,6 +61,14 @@ def recall_score(spark, sf_dir):
     return out.withColumn("place", F.col("place").cast("long"))
 
 
+@query()
+def recall_score_all(spark, sf_dir):
+    """``recall_score`` over memories in every language."""
+    held = tables.memories(spark, sf_dir).withColumns({"confidence": F.col("id") % 10 / 10.0, "near": F.col("scope") != "src0"})
+    out = fts.recall(held, asked(spark, sf_dir), F.lit(NOW), 20)
+    return out.withColumn("place", F.col("place").cast("long"))
+
+
 @query("""WITH q AS (SELECT item_id AS qid, list_distinct(list_filter(string_split_regex(lower(array_to_string(string_split(text, ' ')[1:2], ' ')), '[^a-z0-9]+'), lambda w: w <> '')) AS terms FROM benchmark),
  t AS (SELECT conv_id AS session, turn AS cursor, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS ws FROM conversations)
  SELECT qid, session, cursor FROM q, t WHERE len(terms) > 0 AND len(list_filter(terms, lambda x: len(list_filter(ws, lambda w: starts_with(w, x))) > 0)) = len(terms)""")

@@ -39,6 +39,19 @@ def scratch_clusters(spark, sf_dir):
     return evidence.scratch_clusters(rows, text.content_hash(F.col("text"))).drop("text")
 
 
+@query()
+def content_hash_dups_all(spark, sf_dir):
+    """``content_hash_dups`` in every language."""
+    hashed = tables.memories(spark, sf_dir).select("id", text.content_hash(F.col("text")).alias("content_hash"))
+    return hashed.groupBy("content_hash").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).filter("n > 1")
+
+
+@query()
+def scratch_clusters_all(spark, sf_dir):
+    """``scratch_clusters`` in every language."""
+    return evidence.scratch_clusters(tables.memories(spark, sf_dir), text.content_hash(F.col("text"))).drop("text")
+
+
 @query(f"WITH {ENGLISH}, c AS (SELECT id, list_sort(list_distinct({CONTENT})) AS ws FROM doc) SELECT id, len(list_filter(ws, lambda x: x <> ''))::INT AS n_content, sha256(array_to_string(list_filter(ws, lambda x: x <> ''), ' ')) AS content FROM c")
 def claim_content(spark, sf_dir):
     """What each opening is about: its distinct content words."""
