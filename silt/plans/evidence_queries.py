@@ -123,6 +123,14 @@ def slot_asof_join(spark, sf_dir):
     return slots.as_of_join(asks, held, slots.SLOT).select("ask_id", "subject", "predicate", "at", "id", "object")
 
 
+@query()
+def slot_asof_join_all(spark, sf_dir):
+    """``slot_asof_join`` after every answer."""
+    held = tables.slots(spark, sf_dir)
+    asks = held.select("subject", "predicate", (F.col("valid_from") + 43_200).alias("at"), F.col("id").alias("ask_id"))
+    return slots.as_of_join(asks, held, slots.SLOT).select("ask_id", "subject", "predicate", "at", "id", "object")
+
+
 @query("""WITH $SLOT SELECT id, subject, predicate, object, valid_from, lead(valid_from) OVER w AS valid_to, row_number() OVER w AS version FROM slot
  WINDOW w AS (PARTITION BY subject, predicate ORDER BY valid_from, id)""")
 def slot_scd2(spark, sf_dir):

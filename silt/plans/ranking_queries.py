@@ -30,6 +30,11 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "benchmark").filter("item_id % 4 = 0").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("query"))
 
 
+def asked_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark passage with its whole text, as queries."""
+    return tables.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
 @query(f"WITH {_BM25} SELECT qid, place, id, rank FROM top WHERE place <= 10")
 def bm25_search(spark, sf_dir):
     """The ten best memories of each query by bm25."""
@@ -38,8 +43,8 @@ def bm25_search(spark, sf_dir):
 
 @query()
 def bm25_search_all(spark, sf_dir):
-    """``bm25_search`` over memories in every language."""
-    return fts.bm25(tables.memories(spark, sf_dir), asked(spark, sf_dir), 10).select("qid", F.col("place").cast("long").alias("place"), "id", "rank")
+    """``bm25_search`` of every whole passage, over memories in every language."""
+    return fts.bm25(tables.memories(spark, sf_dir), asked_all(spark, sf_dir), 10).select("qid", F.col("place").cast("long").alias("place"), "id", "rank")
 
 
 _BARE = "lower(regexp_replace(w, '[^\\p{L}\\p{N}./_\\-]', '', 'g'))"
@@ -63,9 +68,9 @@ def recall_score(spark, sf_dir):
 
 @query()
 def recall_score_all(spark, sf_dir):
-    """``recall_score`` over memories in every language."""
+    """``recall_score`` of every whole passage, over memories in every language."""
     held = tables.memories(spark, sf_dir).withColumns({"confidence": F.col("id") % 10 / 10.0, "near": F.col("scope") != "src0"})
-    out = fts.recall(held, asked(spark, sf_dir), F.lit(NOW), 20)
+    out = fts.recall(held, asked_all(spark, sf_dir), F.lit(NOW), 20)
     return out.withColumn("place", F.col("place").cast("long"))
 
 
@@ -86,6 +91,13 @@ def cosine_topk(spark, sf_dir):
     return fts.cosine_top(vectors, vectors.filter("id < 20"), 10).withColumn("place", F.col("place").cast("long"))
 
 
+@query()
+def cosine_topk_all(spark, sf_dir):
+    """The ten nearest vectors of each whose id is divisible by 50."""
+    vectors = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return fts.cosine_top(vectors, vectors.filter("id % 50 = 0"), 10).withColumn("place", F.col("place").cast("long"))
+
+
 _EDGES = """l AS (SELECT o_orderkey AS id, o_custkey AS c, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nx FROM orders),
  e AS (SELECT id AS src, nx AS dst, (0.2 + (id % 8) / 10.0)::DOUBLE AS w FROM l WHERE nx IS NOT NULL UNION ALL SELECT nx, id, (0.2 + (id % 8) / 10.0)::DOUBLE FROM l WHERE nx IS NOT NULL)"""
 
@@ -118,7 +130,7 @@ def traverse_2hop(spark, sf_dir):
 
 @query("""WITH RECURSIVE l AS (SELECT o_orderkey AS child, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent FROM orders),
  d AS (SELECT o_orderkey AS root, o_orderkey AS node FROM orders WHERE o_orderkey % 100 = 0 UNION SELECT d.root, l.child FROM d JOIN l ON l.parent = d.node) SELECT root, node FROM d""")
-def derived_closure(spark, sf_dir):
+def derived_closure(spark, sf_dir, roots="o_orderkey % 100 = 0"):
     """Everything derived from every hundredth order, level by level."""
     from pyspark.sql import Window
 
@@ -126,7 +138,13 @@ def derived_closure(spark, sf_dir):
     parent = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     links = raw.select(F.col("o_orderkey").alias("src"), F.lit("derived_from").alias("rel"), parent.alias("dst")).filter("dst is not null")
     _ensure_checkpoints(spark)
-    return relations.descendants(links, raw.filter("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("id")))
+    return relations.descendants(links, raw.filter(roots).select(F.col("o_orderkey").alias("id")))
+
+
+@query()
+def derived_closure_all(spark, sf_dir):
+    """Everything derived from every order."""
+    return derived_closure(spark, sf_dir, "true")
 
 
 @query("""WITH $MEMORY, r AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY observed_at DESC, id DESC) AS place FROM memory WHERE valid_to IS NULL AND archived_at IS NULL AND tier IN ('fact', 'habit') AND (id % 10) / 10.0 >= 0.35)
