@@ -19,12 +19,15 @@ SLICE_BYTES = 8 << 20
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the folder named by ``spark.checkpoint.dir`` and forget its lineage.
 
-    The folder is shared by all executors, so a lost executor loses nothing. A
-    folder of our own is set only where the session names none (tests).
+    The folder is shared by all executors, so a lost executor loses nothing.
+    Where the session names none it is one in the warehouse, or with a local
+    master, whose executors are the driver, a temporary one.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        own = tempfile.mkdtemp(prefix="ckpt") if sc.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
     return df.checkpoint(eager=True)
 
 
@@ -59,16 +62,29 @@ def row_numbers(first: int, count: int) -> np.ndarray:
 
 
 def hash_sample(df: DataFrame, rows: int, *cols: str) -> DataFrame:
-    """All rows if there are at most ``rows``, else about that many and no more, chosen by a hash of ``cols``.
+    """Rows with distinct values of ``cols``: all if there are at most about ``rows`` values, else at most ``rows``, chosen by their hash.
 
-    The hash picks where a row lies, so nothing is sorted or moved; equal values
-    of ``cols`` are chosen together and should be distinct.
+    Equal values count once before anything is chosen, so large groups of copies
+    neither crowd the sample nor empty it. Rows below the hash's bound are
+    picked where they lie; only those are shuffled. Of rows with equal values any
+    one stays; columns beyond ``cols`` should follow from them.
     """
-    n = df.count()
-    if n <= rows:
-        return df
-    below = int(2**32 * 0.95 * rows / n)
-    return df.filter(F.pmod(F.xxhash64(*cols), F.lit(2**32)) < below).limit(rows)
+    hashed = df.withColumn("_hash", F.pmod(F.xxhash64(*cols), F.lit(2**32)))
+    n = hashed.agg(F.approx_count_distinct("_hash", 0.02)).first()[0]
+    below = hashed if n <= rows else hashed.filter(F.col("_hash") < int(2**32 * 0.95 * rows / n))
+    return below.dropDuplicates(list(cols)).orderBy("_hash", *cols).limit(rows).drop("_hash")
+
+
+#: What a worker holds across batches and tasks: one table at a time, by its key.
+_held: dict = {}
+
+
+def held(key, make):
+    """The worker's table of this key, made if it isn't there; tables of other keys go, so memory holds one."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
 
 
 class WordTable:

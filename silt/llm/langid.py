@@ -2,34 +2,52 @@
 
 For a known word, each language's log frequency counts; an unseen word is
 scored by its longest character n-grams that are known, falling back from five
-letters to one. The model is fitted on a bounded, hash-ordered sample of the
-labelled rows and has a bounded number of words and n-grams for each language,
-so it can be sent to every executor.
+letters to one. Words are runs of letters (Unicode category L), cut by one rule
+in fitting and in prediction. The model is fitted on a bounded, hash-ordered
+sample of distinct labelled texts and has a bounded number of words and n-grams
+for each language of that sample, so it can be sent to every executor.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silt.llm.common import cut, hash_sample
+from silt.llm.common import cut, hash_sample, slices, texts_of
 
 UNKNOWN = "und"
-#: Labelled rows that the model is fitted on at most.
+#: Labelled texts that the model is fitted on at most.
 SAMPLE_ROWS = 10_000
 #: Words, and n-grams of each length, that each language keeps at most.
 WORDS, GRAMS = 10_000, 5_000
 LONGEST = 5
-#: Words that a worker remembers the scores of.
-MEMORY = 120_000
-_WORD = re.compile(r"[^\W\d_]+")
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """The lower-cased words of texts: whose each is, the distinct ones, and which of them each is."""
+    parts = pc.split_pattern_regex(pc.utf8_lower(texts), r"[^\pL]+")
+    owner, words = np.repeat(np.arange(len(texts)), np.diff(np.asarray(parts.offsets, dtype=np.int64))), parts.flatten()
+    full = pc.not_equal(pc.binary_length(words), 0)
+    coded = words.filter(full).dictionary_encode()
+    return owner[full.to_numpy(zero_copy_only=False)], coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+
+
+def gram_codes(letters: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit code of each run of ``size`` code points."""
+    made = np.zeros(max(len(letters) - size + 1, 0), np.uint64)
+    for j in range(size):
+        made = (made ^ (made >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + letters[j : j + len(made)] + np.uint64(size)
+    return made
+
+
+def letters_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
 @dataclass
@@ -40,112 +58,129 @@ class Model:
     words: dict[str, int]
     grams: dict[str, int]
     logs: np.ndarray
-    key: str = ""
-
-    def of(self, word: str) -> np.ndarray:
-        """Log frequencies of a word; an unseen one's are the mean of its longest known n-grams'."""
-        row = self.words.get(word)
-        if row is not None:
-            return self.logs[row]
+    #: For each length the sorted codes of its n-grams and their rows.
+    sizes: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+
+    def __post_init__(self):
+        for size in range(1, LONGEST + 1):
+            own = [(g, r) for g, r in self.grams.items() if len(g) == size]
+            codes = gram_codes(letters_of("".join(g for g, _ in own)), size)[::size] if own else np.zeros(0, np.uint64)
+            order = np.argsort(codes, kind="stable")
+            self.sizes.append((codes[order], np.array([r for _, r in own], np.int64)[order]))
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """Log frequencies of words, a row each; an unseen one's are the mean of its longest known n-grams'."""
+        out = np.zeros((len(words), len(self.langs)), np.float64)
+        rows = np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words))
+        out[rows >= 0] = self.logs[rows[rows >= 0]]
+        left = np.flatnonzero(rows < 0)
+        for size in range(LONGEST, 0, -1):
+            codes, at = self.sizes[size - 1]
+            if not len(left) or not len(codes):
+                continue
+            marked = [f"<{words[i]}>" for i in left]
+            letters, lengths = letters_of("".join(marked)), np.fromiter(map(len, marked), np.int64, len(marked))
+            owner = np.repeat(np.arange(len(left)), lengths)
+            found = gram_codes(letters, size)
+            inside = np.flatnonzero(owner[: len(found)] == owner[size - 1 :])  # not across two words
+            place = np.minimum(np.searchsorted(codes, found[inside]), len(codes) - 1)
+            known = codes[place] == found[inside]
+            mine, hit = owner[inside[known]], at[place[known]]
+            times = np.bincount(mine, minlength=len(left))
+            sums = np.stack([np.bincount(mine, self.logs[hit, k], minlength=len(left)) for k in range(len(self.langs))], axis=1)
+            out[left[times > 0]] = sums[times > 0] / times[times > 0, None]
+            left = left[times == 0]
+        return out
+
+
+def classify(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text.
+
+    The score is the winner's share of the odds that the mean log frequency of
+    a word gives, sharpened by the square root of the number of words. Of
+    languages with equal odds the alphabetically first wins.
+    """
+    named, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    owner, words, which = words_of(texts)
+    if not len(owner) or not model.langs:
+        return named, scores
+    counts = np.bincount(owner, minlength=len(texts))
+    some = np.flatnonzero(counts)
+    starts = np.cumsum(counts[some]) - counts[some]
+    mean = np.add.reduceat(model.of(words)[which], starts, axis=0) / np.sqrt(counts[some])[:, None]
+    odds = np.exp(mean - mean.max(axis=1, keepdims=True))
+    best = odds.argmax(axis=1)
+    scores[some] = odds.max(axis=1) / odds.sum(axis=1)
+    for i, k in zip(some.tolist(), best.tolist(), strict=True):
+        named[i] = model.langs[k]
+    return named, scores
+
+
+def count_tokens(words: list[str], counts: np.ndarray) -> dict[tuple[int, str], int]:
+    """How often words (length 0) and the n-grams of marked words (by their length) stand in a text of these word counts."""
+    out: dict[tuple[int, str], int] = {}
+    for word, n in zip(words, counts.tolist(), strict=True):
+        out[0, word] = n
         marked = f"<{word}>"
-        for n in range(LONGEST, 0, -1):
-            found = [r for r in (self.grams.get(marked[i : i + n]) for i in range(len(marked) - n + 1)) if r is not None]
-            if found:
-                return self.logs[found].mean(axis=0)
-        return np.zeros(len(self.langs), np.float32)
-
-
-class Scorer:
-    """A model with the words met so far; emptied at MEMORY words."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(self.model.langs)), np.float32)
-
-    def rows(self, words: list[str]) -> np.ndarray:
-        out = list(map(self.at.get, words))
-        new = list({w for w, r in zip(words, out, strict=True) if r is None})
-        if not new:
-            return np.array(out, np.int64)
-        if len(self.at) + len(new) > MEMORY and self.at:
-            self.clear()
-            return self.rows(words)
-        first = len(self.at)
-        if first + len(new) > len(self.scores):
-            self.scores = np.concatenate([self.scores, np.zeros((max(len(self.scores), len(new)), self.scores.shape[1]), np.float32)])
-        self.at.update(zip(new, range(first, first + len(new)), strict=True))
-        self.scores[first : first + len(new)] = [self.model.of(w) for w in new]
-        return np.array(list(map(self.at.get, words)), np.int64)
-
-    def classify(self, text: str | None) -> tuple[str, float]:
-        """Language and score of one text.
-
-        The score is the winner's share of the odds that the mean log frequency
-        of a word gives, sharpened by the square root of the number of words.
-        """
-        words = _WORD.findall(text.lower()) if text and self.model.langs else []
-        if not words:
-            return UNKNOWN, 0.0
-        rows = self.rows(words)
-        mean = self.scores[rows].mean(axis=0, dtype=np.float64) * np.sqrt(len(words))
-        odds = np.exp(mean - mean.max())
-        best = int(np.argmax(odds))
-        return self.model.langs[best], float(odds[best] / odds.sum())
-
-
-#: A worker's scorer, by its model's key.
-_scorers: dict[str, Scorer] = {}
-
-
-def _tables(counts: DataFrame, most: int, by: list[str]) -> list:
-    """The ``most`` commonest entries of each language, ties to the smaller text: a bounded list of rows."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(*by).orderBy(F.col("n").desc(), "token")
-    return counts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("lang", "token", "n").collect()
+        for size in range(1, LONGEST + 1):
+            for i in range(max(1, len(marked) - size + 1)):
+                gram = len(marked[i : i + size]), marked[i : i + size]
+                out[gram] = out.get(gram, 0) + n
+    return out
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, size, token, n) of a batch's (lang, text)."""
+    for batch in batches:
+        langs = batch.column(0).to_pylist()
+        for lang in sorted(set(langs)):
+            _, words, which = words_of(texts_of(batch.filter(pa.array([x == lang for x in langs])), 1))
+            counts = count_tokens(words, np.bincount(which, minlength=len(words)))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array([k[0] for k in counts], pa.int32()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "size", "token", "n"])
 
 
 def fit(df: DataFrame, sample_rows: int = SAMPLE_ROWS, text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from rows with a text and a language.
 
-    About ``sample_rows`` rows at most are used, chosen by a hash of their text;
-    equal rows count once. Without any, the model has no language and predicts
-    ``und``.
+    At most ``sample_rows`` distinct (text, language) are used, chosen by a hash
+    of the text; copies count once. Entries that are counted as often as the
+    first one beyond WORDS or GRAMS are left out together. Without any, the model has no language and
+    predicts ``und``.
     """
-    rows = df.select(F.lower(F.col(text_col)).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
-    sample = cut(hash_sample(rows.select(F.xxhash64("text").alias("h"), "text", "lang"), sample_rows, "h").drop("h").distinct())
-    words = sample.select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("token"))
-    counts = cut(words.groupBy("lang", "token").agg(F.count("*").alias("n")))
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    langs = sorted(totals)
+    rows = df.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("text is not null and lang is not null")
+    sample = hash_sample(rows.withColumn("h", F.xxhash64("text")), sample_rows, "h", "lang").select("lang", "text", "h")
+    counts = cut(sample.repartition(16, "h").drop("h").mapInArrow(_count, "lang string, size int, token string, n long").groupBy("lang", "size", "token").agg(F.sum("n").alias("n")))
+    # as many rows as the sample has different counts: it tells how often the last entry that is kept stands, so no language is sorted in one task
+    seen: dict[tuple, int] = {}
+    total: dict[tuple, int] = {}
+    least: dict[tuple, int] = {}
+    for r in sorted(counts.groupBy("lang", "size", "n").agg(F.count("*").alias("m")).collect(), key=lambda r: -r["n"]):
+        key = (r["lang"], r["size"])
+        seen[key], total[key] = seen.get(key, 0) + r["m"], total.get(key, 0) + r["m"] * r["n"]
+        if seen[key] <= (GRAMS if r["size"] else WORDS):
+            least[key] = r["n"]
+    langs = sorted({lang for lang, _ in total})
     if not langs:
         return Model([], {}, {}, np.zeros((0, 0), np.float32))
-    marked = F.concat(F.lit("<"), "token", F.lit(">"))
-    spans = F.flatten(F.transform(F.array(*[F.lit(n) for n in range(1, LONGEST + 1)]), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1))), lambda i: F.substr(marked, i, n))))
-    grams = counts.select("lang", "n", F.explode(spans).alias("token")).groupBy("lang", "token").agg(F.sum("n").alias("n"))
-    grams = grams.withColumn("size", F.length("token"))
+    bounds = df.sparkSession.createDataFrame([(*k, n) for k, n in least.items()], "lang string, size int, least long")
+    kept = counts.join(F.broadcast(bounds), ["lang", "size"]).filter("n >= least").select("lang", "size", "token", "n").collect()  # at most WORDS + 5 GRAMS rows a language
 
     logs: list[np.ndarray] = []
 
-    def table(rows: list, scale: dict[str, float]) -> dict[str, int]:
+    def table(rows: list, scale: list[float]) -> dict[str, int]:
         """Rows of new log frequencies, with half a count added to each."""
-        seen: dict[str, np.ndarray] = {}
-        for r in rows:
-            seen.setdefault(r["token"], np.zeros(len(langs)))[langs.index(r["lang"])] = r["n"]
-        total = np.array([scale[x] for x in langs], float)
-        first = len(logs)
-        logs.extend(np.log((c + 0.5) / (total + 0.5 * len(seen))).astype(np.float32) for c in seen.values())
-        return {t: first + i for i, t in enumerate(seen)}
+        found: dict[str, np.ndarray] = {}
+        for r in sorted(rows, key=lambda r: (r["lang"], -r["n"], r["token"])):
+            found.setdefault(r["token"], np.zeros(len(langs)))[langs.index(r["lang"])] = r["n"]
+        first, scaled = len(logs), np.array(scale, float) + 0.5 * len(found)
+        logs.extend(np.log((c + 0.5) / scaled).astype(np.float32) for c in found.values())
+        return {t: first + i for i, t in enumerate(found)}
 
-    per_size = grams.groupBy("lang", "size").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.max("n").alias("n")).collect()
-    words_at = table(_tables(counts, WORDS, ["lang"]), totals)
-    grams_at = table(_tables(grams, GRAMS, ["lang", "size"]), {r["lang"]: r["n"] for r in per_size})
-    matrix = np.stack(logs)
-    return Model(langs, words_at, grams_at, matrix, hashlib.sha256(matrix.tobytes() + repr((langs, list(words_at))).encode()).hexdigest())
+    words_at = table([r for r in kept if not r["size"]], [total.get((x, 0), 0) for x in langs])
+    most = [max(total.get((x, n), 0) for n in range(1, LONGEST + 1)) for x in langs]
+    grams_at = table([r for r in kept if r["size"]], most)
+    matrix = np.stack(logs) if logs else np.zeros((0, len(langs)), np.float32)
+    return Model(langs, words_at, grams_at, matrix)
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
@@ -153,26 +188,18 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     ``und`` with score 0 where the text is null or has no letter, or the model
     no language; of equal scores the alphabetically first language wins. Only
-    the text counts. Repeated rows stay; other columns are kept if ``keep``
-    names them.
+    the text counts. Repeated rows stay, a null id stays null; other columns are
+    kept if ``keep`` names them. An empty table gives no rows.
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by WORDS, GRAMS and the number of languages
-    key = model.key
     cols = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*(keep or [F.lit(0).alias("none")])).alias("kept"))
     fields = cols.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _scorers.get(key)
-        if held is None:
-            _scorers.clear()
-            held = _scorers[key] = Scorer(shared.value)
-        for batch in batches:
-            made = [held.classify(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())],
-                ["id", "kept", "lang_pred", "score"],
-            )
+        for batch in (part for whole in batches for part in slices(whole, 1, 4 << 20)):
+            named, scores = classify(shared.value, texts_of(batch, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(named, pa.string()), pa.array(scores)], ["id", "kept", "lang_pred", "score"])
 
     schema = f"id {fields['id'].dataType.simpleString()}, kept {fields['kept'].dataType.simpleString()}, lang_pred string, score double"
     out = cols.mapInArrow(run, schema)

@@ -12,61 +12,81 @@ of weights, so it can be sent to every executor.
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silt.llm.common import cut, hash_sample
+from silt.llm.common import cut, hash_sample, slices, texts_of
 
-#: Graded rows that the model is fitted on at most; hashed weights; tokens that a worker remembers.
-SAMPLE_ROWS, BUCKETS, MEMORY = 8_000, 1 << 18, 150_000
+#: Graded rows that the model is fitted on at most; hashed weights.
+SAMPLE_ROWS, BUCKETS = 8_000, 1 << 18
 #: Words in fewer sampled texts than this, or as common above as below every threshold (by this many deviations), get no weight.
 LEAST_TEXTS, LEAST_DEVIATIONS = 8, 4.5
-_TRAITS = ("caps", "tails", "marks", "again", "plain")
+#: Letters of a word's openings that are features as the word is.
+OPENINGS = (4, 6)
+#: Weights after the hashed ones: shouted words, tails, signs alone, words repeated at once, and one of every text.
+TRAITS = range(BUCKETS, BUCKETS + 5)
+WEIGHTS = BUCKETS + len(TRAITS)
 #: A token's punctuation ends are cut to see its word.
 _ENDS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”’…"
 
 
-def bucket(name: str) -> int:
-    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS
-
-
-class Featurizer:
-    """Hashed features of texts, remembering tokens."""
-
-    def __init__(self):
-        self.seen: dict[str, tuple[int, int]] = {}
-        self.traits = np.array([bucket(f"trait {t}") for t in _TRAITS])
-
-    def token(self, token: str) -> tuple[int, int]:
-        """A token's word bucket and its trait: 1 shouted, 2 a tail of two or more signs, 3 signs alone, else 0."""
-        got = self.seen.get(token)
-        if got is None:
-            if len(self.seen) >= MEMORY:
-                self.seen.clear()
-            word = token.strip(_ENDS)
-            tail = len(token) - len(token.rstrip(_ENDS))
-            trait = 3 if not word else 2 if tail >= 2 else 1 if len(word) > 1 and word.isupper() else 0
-            got = self.seen[token] = (bucket(f"word {word.lower()}"), trait)
-        return got
-
-    def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets and values: words by presence, traits by their share of the tokens."""
-        tokens = (text or "").split()
-        if not tokens:
-            return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        made = np.array([self.token(t) for t in tokens], np.int64)
-        words = np.unique(made[:, 0])
-        share = np.bincount(made[:, 1], minlength=4)[1:4] / len(tokens)
-        again = (made[1:, 0] == made[:-1, 0]).mean() if len(tokens) > 1 else 0.0
-        values = np.concatenate([np.full(len(words), 0.5), 4 * share, [4 * again, 0.5]])
-        return np.concatenate([words, self.traits]), values.astype(np.float32)
+#: Powers of an odd number: the weights of a word's letters in its hash.
+_POWERS = np.cumprod(np.full(256, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def hashed(words: pa.Array, *openings: int) -> np.ndarray:
+    """Buckets of words, and of their first letters for each of ``openings``: a column each."""
+    lengths = pc.fill_null(pc.utf8_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    letters = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    place = np.arange(len(letters)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    terms = (letters + np.uint64(1)) * _POWERS[place % 256] * (place // 256 + 1).astype(np.uint64)
+    ends, out = np.concatenate([[0], np.cumsum(lengths)]), []
+    for salt, most in enumerate((None, *openings)):
+        running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms if most is None else terms * (place < most))])
+        sums = running[ends[1:]] - running[ends[:-1]]
+        mixed = (sums + np.uint64(salt)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        out.append(((mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % BUCKETS)
+    return np.stack(out, axis=1)
+
+
+def describe(tokens: pa.Array) -> np.ndarray:
+    """A row each: a token's trait - 1 shouted, 2 a tail of two or more signs, 3 signs alone, else 0 - and the buckets of its word and the word's openings."""
+    number = lambda x: x.to_numpy(zero_copy_only=False)
+    word = pc.utf8_trim(tokens, characters=_ENDS)
+    size = number(pc.utf8_length(word))
+    tail = number(pc.utf8_length(tokens)) - number(pc.utf8_length(pc.utf8_rtrim(tokens, characters=_ENDS)))
+    trait = np.select([size == 0, tail >= 2, (size > 1) & number(pc.utf8_is_upper(word))], [3, 2, 1], 0)
+    return np.column_stack([trait, hashed(pc.utf8_lower(word), *OPENINGS)])
+
+
+def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whose, bucket and value of all features of texts, by text: words and openings by presence, traits by their share of the tokens."""
+    parts = pc.utf8_split_whitespace(texts)
+    counts = np.diff(np.asarray(parts.offsets, dtype=np.int64))
+    owner, tokens = np.repeat(np.arange(len(texts)), counts), parts.flatten()
+    full = pc.not_equal(pc.binary_length(tokens), 0)  # an empty text has one empty token
+    owner, coded = owner[full.to_numpy(zero_copy_only=False)], tokens.filter(full).dictionary_encode()
+    if not len(owner):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    told = describe(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+    every = np.sort((owner[:, None] * BUCKETS + told[:, 1:]).ravel())
+    present = every[np.concatenate([[True], every[1:] != every[:-1]])]
+    n = np.bincount(owner, minlength=len(texts))
+    some = np.flatnonzero(n)
+    shares = [4 * np.bincount(owner[told[:, 0] == k], minlength=len(texts)) / np.maximum(n, 1) for k in (1, 2, 3)]
+    again = np.flatnonzero((told[1:, 1] == told[:-1, 1]) & (owner[1:] == owner[:-1]))
+    shares += [4 * np.bincount(owner[again], minlength=len(texts)) / np.maximum(n - 1, 1), np.full(len(texts), 0.5)]
+    whose = np.concatenate([present // BUCKETS, *[some] * len(TRAITS)])
+    at = np.concatenate([present % BUCKETS, *[np.full(len(some), t) for t in TRAITS]])
+    value = np.concatenate([np.full(len(present), 0.5), *[share[some] for share in shares]])
+    order = np.argsort(whose, kind="stable")
+    return whose[order], at[order], value[order].astype(np.float32)
 
 
 @dataclass
@@ -75,14 +95,15 @@ class Model:
 
     weights: np.ndarray
     thresholds: np.ndarray
-    key: str = ""
 
-    def grade(self, buckets: np.ndarray, values: np.ndarray) -> tuple[float, float]:
-        """Expected grade, and the probability of the top grade."""
+    def grade(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Expected grade of each text, and the probability of the top grade."""
         if not len(self.thresholds):
-            return 0.0, 1.0
-        above = 1 / (1 + np.exp(np.clip(self.thresholds - float(self.weights[buckets] @ values), -40, 40)))
-        return float(above.sum()), float(above[-1])
+            return np.zeros(len(texts)), np.ones(len(texts))
+        whose, at, value = features(texts)
+        score = np.bincount(whose, self.weights[at].astype(np.float64) * value, minlength=len(texts))
+        above = 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
+        return above.sum(axis=1), above[:, -1]
 
 
 def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int, passes: int = 300, rate: float = 0.15, decay: float = 4e-4) -> Model:
@@ -93,19 +114,19 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int, pas
     """
     y = np.array([g for *_, g in rows])
     if len(set(y.tolist())) < 2:
-        return Model(np.zeros(BUCKETS, np.float32), np.zeros(0))
+        return Model(np.zeros(WEIGHTS, np.float32), np.zeros(0))
     owner = np.repeat(np.arange(len(rows)), [len(b) for b, *_ in rows])
     at, x = np.concatenate([b for b, *_ in rows]), np.concatenate([v for _, v, _ in rows]).astype(np.float64)
-    texts = np.bincount(at, minlength=BUCKETS)
-    apart = np.zeros(BUCKETS)
+    texts = np.bincount(at, minlength=WEIGHTS)
+    apart = np.zeros(WEIGHTS)
     for k in range(grades - 1):
         low = y <= k
         share = low.mean()
         chance = np.sqrt(np.maximum(texts * share * (1 - share), 1e-9))
-        apart = np.maximum(apart, np.abs(np.bincount(at[low[owner]], minlength=BUCKETS) - texts * share) / chance)
-    apart[[bucket(f"trait {t}") for t in _TRAITS]] = np.inf  # every text has them; their values tell
+        apart = np.maximum(apart, np.abs(np.bincount(at[low[owner]], minlength=WEIGHTS) - texts * share) / chance)
+    apart[list(TRAITS)] = np.inf  # every text has them; their values tell
     names = np.flatnonzero((texts >= LEAST_TEXTS) & (apart >= LEAST_DEVIATIONS))
-    place = np.full(BUCKETS, -1)
+    place = np.full(WEIGHTS, -1)
     place[names] = np.arange(len(names))
     used = place[at] >= 0
     owner, at, x, size = owner[used], place[at[used]], x[used], len(names)
@@ -131,59 +152,55 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int, pas
         slope = np.concatenate([np.bincount(at, x * d_score[owner], minlength=size) + decay * state[:size], tail[:1], tail[1:] * steps])
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         state = state - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    weights = np.zeros(BUCKETS, np.float32)
+    weights = np.zeros(WEIGHTS, np.float32)
     weights[names] = state[:size]
     thresholds = state[size] + np.concatenate([[0.0], np.cumsum(np.exp(state[size + 1 :]))])
-    return Model(weights, thresholds, hashlib.sha256(weights.tobytes() + thresholds.tobytes()).hexdigest())
+    return Model(weights, thresholds)
 
 
 def fit(docs: DataFrame, graded: DataFrame, grades: int, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from ``graded`` rows (id, grade) and their texts in ``docs``.
 
-    At most ``sample_rows`` graded ids are used, chosen by a hash; an id graded more than once counts with its lowest grade. Null ids and grades
-    don't count. Without two different grades the model accepts everything.
+    At most ``sample_rows`` graded ids are used, chosen by a hash; an id graded
+    more than once counts with its lowest grade. Of texts that several rows have
+    for one id, the one with the smallest hash counts. Null ids and grades don't
+    count. Without two different grades the model accepts everything.
     """
     once = graded.select(F.col(id_col).alias("id"), F.col("grade").cast("int").alias("grade")).filter("id is not null and grade is not null").groupBy("id").agg(F.min("grade").alias("grade"))
     sample = F.broadcast(cut(hash_sample(once, sample_rows, "id")))  # at most sample_rows rows
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id").select("text", "grade")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = Featurizer()
-        for batch in batches:
-            made = [maker.features(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([b.astype(np.int32).tobytes() for b, _ in made], pa.binary()), pa.array([v.tobytes() for _, v in made], pa.binary()), batch.column(1)], ["b", "v", "grade"])
-
-    rows = texts.mapInArrow(run, "b binary, v binary, grade int").orderBy("grade", "b").limit(2 * sample_rows).collect()
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            whose, at, value = features(texts_of(batch, 1))
+            ends = np.searchsorted(whose, np.arange(len(batch) + 1))
+            made = [[x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)] for x in (at.astype(np.int32), value)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(m, pa.binary()) for m in made), batch.column(2)], ["id", "b", "v", "grade"])
+
+    id_type = texts.schema["id"].dataType.simpleString()
+    made = texts.select("id", "text", "grade").mapInArrow(run, f"id {id_type}, b binary, v binary, grade int")
+    once = made.groupBy("id").agg(F.min(F.struct(F.xxhash64("b"), "b", "v", "grade")).alias("r")).select("r.*")
+    rows = once.orderBy("grade", "b").collect()  # at most sample_rows rows
     return fit_ordinal([(np.frombuffer(r["b"], np.int32).astype(np.int64), np.frombuffer(r["v"], np.float32), r["grade"]) for r in rows], grades)
 
 
-#: A worker's model and featurizer, by the model's key.
-_held: dict[str, Featurizer] = {}
-
-
 def score(df: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """All columns of ``df`` and expected_grade, tail_prob (of the top grade) and accepted (tail_prob >= least).
 
     A null or empty text has no features and is graded by the thresholds alone.
     Rows are never dropped or repeated; columns named like the results are
-    replaced.
+    replaced. An empty table gives no rows.
     """
     names = ["expected_grade", "tail_prob", "accepted"]
     rest = [c for c in df.columns if c not in names]
     numbered = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest) if c != text_col]
     cols = df.select(F.col(f"`{text_col}`").alias("text"), F.struct(*numbered, F.lit(0).alias("none")).alias("kept"))
-    shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights
-    key = model.key
+    shared = df.sparkSession.sparkContext.broadcast(model)  # WEIGHTS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = _held.get(key)
-        if maker is None:
-            _held.clear()
-            maker = _held[key] = Featurizer()
-        for batch in batches:
-            made = [shared.value.grade(*maker.features(t.as_py())) for t in batch.column(0)]
-            expected, tail = pa.array([e for e, _ in made], pa.float64()), pa.array([t for _, t in made], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, expected, tail], ["text", "kept", *names[:2]])
+        for batch in (part for whole in batches for part in slices(whole, 0, 4 << 20)):
+            expected, tail = shared.value.grade(texts_of(batch, 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected), pa.array(tail)], ["text", "kept", *names[:2]])
 
     schema = f"text string, kept {cols.schema['kept'].dataType.simpleString()}, expected_grade double, tail_prob double"
     out = cols.mapInArrow(run, schema)

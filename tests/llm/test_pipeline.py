@@ -2,8 +2,10 @@
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
-from test_text_operators import ODD, PRIVATE, brute_base, brute_components, brute_fingerprint
+from test_similar import brute_roots, word_sets
+from test_text_operators import ODD, PRIVATE, brute_base, brute_grade, brute_language
 
 import corpus_pipeline
 from silt.llm import langid, packing, quality, queries
@@ -24,16 +26,15 @@ def ids(df):
 def test_quality_stage(spark, sf):
     docs = documents(spark, sf)
     model = quality.fit(docs, queries.grades(spark.read.parquet(f"{sf}/labels.parquet")), 3)
-    maker = quality.Featurizer()
-    want = sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in docs.collect() if model.grade(*maker.features(r["text"]))[1] >= 0.5)
+    want = sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in docs.collect() if brute_grade(model, r["text"])[1] >= 0.5)
     got = corpus_pipeline.quality_stage(spark, docs, sf)
     assert got.columns == docs.columns and ids(got) == want
 
 
 def test_language_stage(spark, sf):
     docs = documents(spark, sf)
-    scorer = langid.Scorer(langid.fit(docs))
-    named = [(-1 if r["doc_id"] is None else r["doc_id"], *scorer.classify(r["text"])) for r in docs.collect()]
+    model = langid.fit(docs)
+    named = [(-1 if r["doc_id"] is None else r["doc_id"], *brute_language(model, r["text"])) for r in docs.collect()]
     got = corpus_pipeline.language_stage(spark, docs, sf)
     assert got.columns == docs.columns and ids(got) == sorted(i for i, lang, s in named if lang != "und" and s >= 0.5)
     assert ids(corpus_pipeline.language_stage(spark, docs.withColumn("lang", F.lit(None).cast("string")), sf)) == ids(docs)
@@ -41,11 +42,9 @@ def test_language_stage(spark, sf):
 
 def test_near_duplicate_stage(spark, sf):
     docs = documents(spark, sf).filter("doc_id is null or doc_id <> 10001 or text = 'the of and is'")
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] is not None]
-    groups = brute_components([brute_fingerprint(t) for _, t in rows], [i for i, _ in rows], 2)
-    again = docs.union(docs.filter("doc_id = 3"))
-    got = corpus_pipeline.near_duplicate_stage(spark, again, sf)
-    assert ids(got) == sorted([i for i, low in groups.items() if i == low] + [-1])
+    _, roots = brute_roots(word_sets([(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] is not None]))
+    got = corpus_pipeline.near_duplicate_stage(spark, docs.union(docs.filter("doc_id = 3")), sf)
+    assert ids(got) == sorted([i for i, low in roots.items() if i == low] + [-1])
 
 
 def test_personal_data_stage(spark, sf):
@@ -63,8 +62,6 @@ def test_packing_stage(spark, sf):
     docs = documents(spark, sf)
     got = corpus_pipeline.packing_stage(spark, docs, sf).collect()
     table = packing.word_table(queries.WORD_TOKENIZER)
-    import pyarrow as pa
-
     texts = [r["text"] or "" for r in docs.collect()]
     flat, _ = packing.token_ids(pa.array(texts, pa.large_string()), table)
     assert sum(r["length"] for r in got) == len(flat) + len(texts)

@@ -1,22 +1,24 @@
-"""The pipeline's near copies against all pairs of whole shingle sets."""
+"""Documents of similar shingle sets against all pairs of whole sets."""
 
 import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from silt.llm import similar
+from silt.llm import simhash
 
 
 def word_sets(rows, size=5):
     out = {}
     for i, t in rows:
         w = re.sub(r"[\x20\x09-\x0D]+", " ", "".join(c.lower() if c.isascii() else c for c in t or "")).strip(" ").split(" ")
-        out[i] = {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} - {("",)}
+        out[i] = {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))}
     return out
 
 
-def brute_roots(sets, links):
+def brute_roots(sets):
     at = {i: i for i in sets}
 
     def root(i):
@@ -25,8 +27,8 @@ def brute_roots(sets, links):
         return i
 
     names = sorted(sets)
-    near = [(a, b) for k, a in enumerate(names) for b in names[:k] if sets[a] and sets[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
-    for a, b in [*near, *links]:
+    near = [(a, b) for k, a in enumerate(names) for b in names[:k] if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    for a, b in near:
         a, b = sorted((root(a), root(b)))
         at[b] = a
     return near, {i: root(i) for i in sets}
@@ -34,23 +36,52 @@ def brute_roots(sets, links):
 
 def test_near_copies_go_with_the_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    two_bits = corpus_pipeline.simhash.near_duplicates(docs).collect()
-    near, roots = brute_roots(word_sets(rows), [(r["doc_id"], r["component_id"]) for r in two_bits])
+    near, roots = brute_roots(word_sets([(r["doc_id"], r["text"]) for r in docs.collect()]))
     stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
     got = stage(spark, docs, sf)
-    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(i for i, r in roots.items() if i == r)
-    before = corpus_pipeline.near_duplicate_stage(spark, docs, sf).count()
-    assert near and got.count() < before
+    assert near and got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(i for i, r in roots.items() if i == r)
 
 
-def test_links_of_chains_and_hot_shingles(spark):
+@pytest.mark.parametrize("block", [512, 3])
+def test_links_of_chains_and_hot_shingles(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
     line = "this very common line stands in every text of the group and says nothing"
     base = [f"w{k}" for k in range(60)]
     rows = [(n, " ".join([*base[:n], "x", *base[n + 1 :]])) for n in range(30)] + [(100, " ".join(base)), (101, "  ".join(base).upper())]
     rows += [(200 + n, f"{line} {n} and then a{n} b{n}") for n in range(12)] + [(300, "two words"), (301, "Two  words"), (302, ""), (303, None)]
-    near, roots = brute_roots(word_sets(rows), [])
-    df = spark.createDataFrame(rows + [(None, "two words")], "doc_id long, text string")
-    got = similar.components(similar.similar_links(df)).filter("node <> root").select("node", "root").collect()
-    assert {(r["node"], r["root"]) for r in got} == {(i, r) for i, r in roots.items() if i != r} and len(got) > 30
-    assert similar.similar_links(df.filter(F.lit(False))).count() == 0
+    near, roots = brute_roots(word_sets(rows))
+    df = spark.createDataFrame(rows + [(None, "two words"), (300, "two words")], "doc_id long, text string").withColumns({"id": F.lit(0), "ref": F.lit("x"), "fp": F.lit(None).cast("int")})
+    got = simhash.similar_documents(df).collect()
+    assert len(got) == len(rows) + 1 and {r["doc_id"]: r["component_id"] for r in got} == roots and len(near) > 30
+    assert all(r["leads"] == (r["doc_id"] == r["component_id"]) for r in got)
+    assert simhash.similar_documents(df.filter(F.lit(False))).count() == 0
+
+
+def test_many_near_copies_without_their_base(spark):
+    """A family whose members are alike only in pairs, beside texts that share most of a passage with all of them."""
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for n in range(80):
+        words = list(base)
+        for at in rng.choice(120, size=rng.integers(0, 4), replace=False):
+            words[at] = f"x{n}"
+        rows.append((n, " ".join(words)))
+    rows += [(1000 + n, " ".join(base[:60] + [f"y{n}z{k}" for k in range(60)])) for n in range(40)]
+    _, roots = brute_roots(word_sets(rows))
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == roots
+
+
+def test_rows_of_one_id(spark, sf):
+    rows = [(1, "one two three four five six", "b"), (1, "one two three four five six", "a"), (1, "another text of the same id", "c"), (2, "another  text of the SAME id", "d"), (None, "no id", "e"), (None, "no id", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.near_duplicate_stage(spark, df, sf).collect()
+    assert sorted(r["source"] for r in got) == ["a", "c", "e", "e"]
+
+
+def test_long_and_repeated_texts(spark):
+    long = " ".join(f"word{k % 9973}q{k % 7}" for k in range(120_000))
+    rows = [(0, long), (1, long + " end"), (2, "same " * 5000), (3, "same " * 4000)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2}
