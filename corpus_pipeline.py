@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from silt.llm import langid, packing, pii, quality, similar, simhash
-from silt.llm.common import components, table
+from silt.llm import langid, packing, pii, quality, simhash
+from silt.llm.common import table
 from silt.llm.queries import WORD_TOKENIZER, grades
 
 #: A document stays if its language has at least this share of the odds.
@@ -30,19 +30,18 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group, once; documents without an id can't be named and stay."""
-    groups = simhash.near_duplicates(docs, radius=2, shingle=3)
-    kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.filter("doc_id is null")).select(docs.columns)
+    """One document of each group linked by a five-word similarity of 0.8 or more: that with the smallest id.
 
-
-def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As ``near_duplicate_stage``, with documents of five-word similarity 0.8 and more linked as well."""
-    groups = simhash.near_duplicates(docs, radius=2, shingle=3).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    linked = components(groups.union(similar.similar_links(docs, size=5, tenths=8)))
-    gone = linked.filter("node <> root").select(F.col("node").alias("doc_id"))
-    kept = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).union(docs.filter("doc_id is null").select(docs.columns))
+    Texts without a word are one group. Rows of one id are told apart by their
+    text; of rows with equal id and text the first by its other columns stays.
+    Documents without an id can't be named and stay.
+    """
+    leads = simhash.similar_documents(docs, shingle=5, tenths=8).filter("leads").select("doc_id", F.col("text_hash").alias("__hash")).distinct()
+    kept = docs.withColumn("__hash", F.xxhash64("text")).join(leads, ["doc_id", "__hash"], "left_semi")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    first = F.row_number().over(Window.partitionBy("doc_id", "__hash").orderBy(*others, F.lit(0)))
+    once = kept.withColumn("__first", first).filter("__first = 1")
+    return once.select(docs.columns).union(docs.filter("doc_id is null").select(docs.columns))
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +60,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality", quality_stage),
     ("language", language_stage),
-    ("near_duplicates", near_copy_stage),
+    ("near_duplicates", near_duplicate_stage),
     ("personal_data", personal_data_stage),
     ("packing", packing_stage),
 ]
