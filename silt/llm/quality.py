@@ -106,30 +106,29 @@ class Model:
         return above.sum(axis=1), above[:, -1]
 
 
-def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int, passes: int = 300, rate: float = 0.15, decay: float = 4e-4) -> Model:
-    """Maximum likelihood of the cumulative link, by Adam over all rows at once.
+def telling(texts: np.ndarray, grades: np.ndarray) -> np.ndarray:
+    """Features that get a weight; texts[i, k] is how many texts of grade k have feature i, grades[k] how many there are."""
+    held, apart = texts.sum(axis=1), np.zeros(len(texts))
+    for k in range(len(grades) - 1):
+        share = grades[: k + 1].sum() / grades.sum()
+        chance = np.sqrt(np.maximum(held * share * (1 - share), 1e-9))
+        apart = np.maximum(apart, np.abs(texts[:, : k + 1].sum(axis=1) - held * share) / chance)
+    apart[list(TRAITS)] = np.inf  # every text has them; their values tell
+    return np.flatnonzero((held >= LEAST_TEXTS) & (apart >= LEAST_DEVIATIONS))
+
+
+def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray, int]], names: np.ndarray, grades: int, passes: int = 300, rate: float = 0.15, decay: float = 4e-4) -> Model:
+    """Maximum likelihood of the cumulative link over the features ``names``, by Adam over all rows at once.
 
-    Thresholds are the first one and positive steps, so they stay ordered. Grades
-    are weighed by the square root of how rare they are.
+    Rows are (places in ``names``, values, grade). Thresholds are the first one
+    and positive steps, so they stay ordered. Grades are weighed by the square
+    root of how rare they are.
     """
     y = np.array([g for *_, g in rows])
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(WEIGHTS, np.float32), np.zeros(0))
     owner = np.repeat(np.arange(len(rows)), [len(b) for b, *_ in rows])
-    at, x = np.concatenate([b for b, *_ in rows]), np.concatenate([v for _, v, _ in rows]).astype(np.float64)
-    texts = np.bincount(at, minlength=WEIGHTS)
-    apart = np.zeros(WEIGHTS)
-    for k in range(grades - 1):
-        low = y <= k
-        share = low.mean()
-        chance = np.sqrt(np.maximum(texts * share * (1 - share), 1e-9))
-        apart = np.maximum(apart, np.abs(np.bincount(at[low[owner]], minlength=WEIGHTS) - texts * share) / chance)
-    apart[list(TRAITS)] = np.inf  # every text has them; their values tell
-    names = np.flatnonzero((texts >= LEAST_TEXTS) & (apart >= LEAST_DEVIATIONS))
-    place = np.full(WEIGHTS, -1)
-    place[names] = np.arange(len(names))
-    used = place[at] >= 0
-    owner, at, x, size = owner[used], place[at[used]], x[used], len(names)
+    at, x, size = np.concatenate([b for b, *_ in rows]), np.concatenate([v for _, v, _ in rows]).astype(np.float64), len(names)
     rarity = np.sqrt(len(y) / (grades * np.maximum(np.bincount(y, minlength=grades), 1)))[y]
     rarity /= rarity.sum()
     share = np.cumsum(np.bincount(y, minlength=grades))[:-1] / len(y)
@@ -163,10 +162,10 @@ def fit(docs: DataFrame, graded: DataFrame, grades: int, sample_rows: int = SAMP
 
     At most ``sample_rows`` graded ids are used, chosen by a hash; an id graded
     more than once counts with its lowest grade. Of texts that several rows have
-    for one id, the one with the smallest hash counts. Null ids and grades don't
+    for one id, the one with the smallest hash counts. Null ids and grades beyond 0 to grades - 1 don't
     count. Without two different grades the model accepts everything.
     """
-    once = graded.select(F.col(id_col).alias("id"), F.col("grade").cast("int").alias("grade")).filter("id is not null and grade is not null").groupBy("id").agg(F.min("grade").alias("grade"))
+    once = graded.select(F.col(id_col).alias("id"), F.col("grade").cast("int").alias("grade")).filter(f"id is not null and grade between 0 and {grades - 1}").groupBy("id").agg(F.min("grade").alias("grade"))
     sample = F.broadcast(cut(hash_sample(once, sample_rows, "id")))  # at most sample_rows rows
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id")
 
@@ -177,11 +176,37 @@ def fit(docs: DataFrame, graded: DataFrame, grades: int, sample_rows: int = SAMP
             made = [[x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)] for x in (at.astype(np.int32), value)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(m, pa.binary()) for m in made), batch.column(2)], ["id", "b", "v", "grade"])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (at, grade, n) of a batch."""
+        for batch in batches:
+            codes = [np.frombuffer(b, np.int32) * np.int64(grades) + g for b, g in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            code, n = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array((code // grades).astype(np.int32)), pa.array((code % grades).astype(np.int32)), pa.array(n.astype(np.int64))], ["at", "grade", "n"])
+
     id_type = texts.schema["id"].dataType.simpleString()
     made = texts.select("id", "text", "grade").mapInArrow(run, f"id {id_type}, b binary, v binary, grade int")
-    once = made.groupBy("id").agg(F.min(F.struct(F.xxhash64("b"), "b", "v", "grade")).alias("r")).select("r.*")
-    rows = once.orderBy("grade", "b").collect()  # at most sample_rows rows
-    return fit_ordinal([(np.frombuffer(r["b"], np.int32).astype(np.int64), np.frombuffer(r["v"], np.float32), r["grade"]) for r in rows], grades)
+    made = cut(made.groupBy("id").agg(F.min(F.struct(F.xxhash64("b"), "b", "v", "grade")).alias("r")).select("r.b", "r.v", "r.grade"))
+    sizes = np.zeros(grades)
+    for r in made.groupBy("grade").count().collect():
+        sizes[r["grade"]] = r["count"]
+    counted = made.mapInArrow(count, "at int, grade int, n long").groupBy("at").agg(*[F.sum(F.when(F.col("grade") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(grades)], F.sum("n").alias("n"))
+    counts = counted.filter(F.col("n") >= LEAST_TEXTS).drop("n").toPandas()  # at most WEIGHTS rows
+    held = np.zeros((WEIGHTS, grades))
+    held[counts["at"].to_numpy(np.int64)] = counts.drop(columns="at").to_numpy(float)
+    names = telling(held, sizes)
+    place = np.full(WEIGHTS, -1, np.int32)
+    place[names] = np.arange(len(names), dtype=np.int32)
+
+    def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The features that get a weight, by their place among those."""
+        for batch in batches:
+            at = [place[np.frombuffer(b, np.int32)] for b in batch.column(0).to_pylist()]
+            value = [np.frombuffer(v, np.float32)[k >= 0].tobytes() for v, k in zip(batch.column(1).to_pylist(), at, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([k[k >= 0].tobytes() for k in at], pa.binary()), pa.array(value, pa.binary()), batch.column(2)], ["b", "v", "grade"])
+
+    rows = made.mapInArrow(used, "b binary, v binary, grade int").collect()  # at most sample_rows rows
+    rows = sorted((r["grade"], r["b"], r["v"]) for r in rows)
+    return fit_ordinal([(np.frombuffer(b, np.int32).astype(np.int64), np.frombuffer(v, np.float32), g) for g, b, v in rows], names, grades)
 
 
 def score(df: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
