@@ -36,6 +36,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a few numbers that are sent to every executor at most.
+MOST_SENT = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, marked for sending to every executor if it has at most MOST_SENT rows; a larger one is joined by shuffle."""
+    return F.broadcast(df) if df.limit(MOST_SENT + 1).count() <= MOST_SENT else df
+
+
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose text stays under ``limit`` bytes; a longer text stands alone."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -75,18 +84,6 @@ def hash_sample(df: DataFrame, rows: int, *cols: str) -> DataFrame:
     return below.dropDuplicates(list(cols)).orderBy("_hash", *cols).limit(rows).drop("_hash")
 
 
-#: What a worker holds across batches and tasks: one table at a time, by its key.
-_held: dict = {}
-
-
-def held(key, make):
-    """The worker's table of this key, made if it isn't there; tables of other keys go, so memory holds one."""
-    if key not in _held:
-        _held.clear()
-        _held[key] = make()
-    return _held[key]
-
-
 class WordTable:
     """Ids of distinct words, segmented once each; bounded, and kept across batches by a worker.
 

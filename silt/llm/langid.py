@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silt.llm.common import cut, hash_sample, slices, texts_of
@@ -27,6 +27,8 @@ SAMPLE_ROWS = 10_000
 #: Words, and n-grams of each length, that each language keeps at most.
 WORDS, GRAMS = 10_000, 5_000
 LONGEST = 5
+#: Bytes of text that are looked at in one step.
+STEP = 1 << 20
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
@@ -131,7 +133,7 @@ def count_tokens(words: list[str], counts: np.ndarray) -> dict[tuple[int, str],
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (lang, size, token, n) of a batch's (lang, text)."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 1, STEP)):
         langs = batch.column(0).to_pylist()
         for lang in sorted(set(langs)):
             _, words, which = words_of(texts_of(batch.filter(pa.array([x == lang for x in langs])), 1))
@@ -183,25 +185,27 @@ def fit(df: DataFrame, sample_rows: int = SAMPLE_ROWS, text_col: str = "text", l
     return Model(langs, words_at, grams_at, matrix)
 
 
-def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
+def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """All rows as (id, *keep, lang_pred, score).
 
     ``und`` with score 0 where the text is null or has no letter, or the model
     no language; of equal scores the alphabetically first language wins. Only
     the text counts. Repeated rows stay, a null id stays null; other columns are
-    kept if ``keep`` names them. An empty table gives no rows.
+    kept if ``keep`` names them, whatever their names. An empty table gives no
+    rows.
     """
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by WORDS, GRAMS and the number of languages
-    cols = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*(keep or [F.lit(0).alias("none")])).alias("kept"))
-    fields = cols.schema
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS, GRAMS and the number of languages
+    names = keep or []
+    numbered = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != text_col]  # a text is handed over once
+    cols = df.select(F.col(f"`{text_col}`").alias("text"), F.struct(F.col(f"`{id_col}`").alias("id"), *numbered).alias("kept"))
+    whole = text_col in names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, 1, 4 << 20)):
-            named, scores = classify(shared.value, texts_of(batch, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(named, pa.string()), pa.array(scores)], ["id", "kept", "lang_pred", "score"])
+        for batch in (part for b in batches for part in slices(b, 0, STEP)):
+            named, scores = classify(shared.value, texts_of(batch, 0))
+            yield pa.RecordBatch.from_arrays([*(batch.columns[:1] if whole else []), batch.column(1), pa.array(named, pa.string()), pa.array(scores)], [*["text"] * whole, "kept", "lang_pred", "score"])
 
-    schema = f"id {fields['id'].dataType.simpleString()}, kept {fields['kept'].dataType.simpleString()}, lang_pred string, score double"
+    schema = f"{'text string, ' * whole}kept {cols.schema['kept'].dataType.simpleString()}, lang_pred string, score double"
     out = cols.mapInArrow(run, schema)
-    names = [F.col(f"kept.`{n}`") for n in fields["kept"].dataType.names] if keep else []
-    return out.select(F.col("id").alias(id_col), *names, "lang_pred", "score")
+    kept = [F.col("text").alias(c) if c == text_col else F.col(f"kept.c{i}").alias(c) for i, c in enumerate(names)]
+    return out.select(F.col("kept.id").alias(id_col), *kept, "lang_pred", "score")

@@ -25,6 +25,8 @@ from silt.llm.common import cut, hash_sample, slices, texts_of
 
 #: Graded rows that the model is fitted on at most; hashed weights.
 SAMPLE_ROWS, BUCKETS = 8_000, 1 << 18
+#: Bytes of text that are looked at in one step.
+STEP = 1 << 20
 #: Words in fewer sampled texts than this, or as common above as below every threshold (by this many deviations), get no weight.
 LEAST_TEXTS, LEAST_DEVIATIONS = 8, 4.5
 #: Letters of a word's openings that are features as the word is.
@@ -170,7 +172,7 @@ def fit(docs: DataFrame, graded: DataFrame, grades: int, sample_rows: int = SAMP
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, 1)):
+        for batch in (part for whole in batches for part in slices(whole, 1, STEP)):
             whose, at, value = features(texts_of(batch, 1))
             ends = np.searchsorted(whose, np.arange(len(batch) + 1))
             made = [[x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)] for x in (at.astype(np.int32), value)]
@@ -223,7 +225,7 @@ def score(df: DataFrame, model: Model, least: float = 0.5, text_col: str = "text
     shared = df.sparkSession.sparkContext.broadcast(model)  # WEIGHTS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, 0, 4 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, 0, STEP)):
             expected, tail = shared.value.grade(texts_of(batch, 0))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected), pa.array(tail)], ["text", "kept", *names[:2]])
 

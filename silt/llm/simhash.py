@@ -269,19 +269,23 @@ def _wanted(ids: DataFrame) -> np.ndarray:
 
 
 def _meetings(rows: DataFrame, radius: int, tenths: int) -> DataFrame:
-    """Pairs (a, b) of the members (key, ref, fp, n, root) of each key that differ in root and pass the distance tables.
+    """Pairs (a, b) of the members (key, m, ref, fp, n, root) of each key that differ in root and pass the distance tables.
 
-    A root's many members fill blocks of their own, which needn't meet each
-    other; the others share blocks. Two blocks meet as one row, so a common key
-    is spread over many tasks; only surviving pairs leave a meeting.
+    The members of a key of at most BLOCK of them meet as one row. Of a larger
+    key, a root's many members fill blocks of their own, which needn't meet each
+    other; the others share blocks. Two blocks meet as one row, so a common key is
+    spread over many tasks; only surviving pairs leave a meeting.
     """
     families, _ = references(ALL, 4)
-    sized = rows.groupBy("key", "root").agg(F.count("*").alias("m"))
-    pooled = sized.groupBy("key").agg(F.sum(F.when(F.col("m") <= BLOCK, F.col("m"))).alias("pool"))
-    placed = rows.join(sized, ["key", "root"]).join(pooled, "key").withColumn("large", F.col("m") > BLOCK)
+    members = F.collect_list(F.struct("ref", "fp", "n", "root")).alias("members")
+    few = rows.filter(F.col("m") <= BLOCK).groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), members).filter("r0 <> r1").select("members", F.col("members").alias("others"))
+    many = rows.filter(F.col("m") > BLOCK).drop("m")
+    sized = many.groupBy("key", "root").agg(F.count("*").alias("m"))
+    pooled = sized.groupBy("key").agg(F.sum(F.when(F.col("m") <= BLOCK, F.col("m"))).alias("pool"), F.count("*").alias("roots")).filter("roots > 1")
+    placed = many.join(sized, ["key", "root"]).join(pooled, "key").withColumn("large", F.col("m") > BLOCK)
     own = F.when(F.col("large"), F.col("root")).otherwise(F.lit(-1).cast("long"))
     part = F.when(F.col("large"), F.pmod(F.xxhash64("ref"), F.ceil(F.col("m") / BLOCK))).otherwise(F.pmod(F.xxhash64("root"), F.ceil(F.col("pool") / BLOCK)))
-    packed = cut(placed.groupBy("key", own.alias("own"), part.alias("part")).agg(F.collect_list(F.struct("ref", "fp", "n", "root")).alias("members")))
+    packed = cut(placed.groupBy("key", own.alias("own"), part.alias("part")).agg(members))
     inner = packed.filter("own = -1 and size(members) > 1").select("members", F.col("members").alias("others"))
     left, right = packed.alias("l"), packed.alias("r")
     after = (F.col("l.own") < F.col("r.own")) | ((F.col("l.own") == F.col("r.own")) & (F.col("l.part") < F.col("r.part")) & (F.col("l.own") == -1))
@@ -295,7 +299,7 @@ def _meetings(rows: DataFrame, radius: int, tenths: int) -> DataFrame:
                 i, j = discard(fa.view(np.uint64), fb.view(np.uint64), i, j, families, radius)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], b[j])), pa.array(np.maximum(a[i], b[j]))], ["a", "b"])
 
-    return inner.union(across).mapInArrow(meet, "a long, b long").distinct()
+    return few.union(inner).union(across).mapInArrow(meet, "a long, b long").distinct()
 
 
 def discard(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, families: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -343,7 +347,7 @@ def similar_documents(df: DataFrame, shingle: int = 5, tenths: int = 8, radius:
     texts = cut(texts.select(*same, F.col("low.id").alias("low"), F.col("low.fp").alias("fp"), "first", ref.cast("long").alias("ref")))
     told = texts.select("ref", "fp", "n")
     keyed = texts.filter("n > 0").select(F.explode("first").alias("key"), "ref")
-    heads = keyed.groupBy("key").agg(F.min("ref").alias("head"), F.max("ref").alias("last")).filter("head < last").select("key", "head")
+    heads = keyed.groupBy("key").agg(F.min("ref").alias("head"), F.max("ref").alias("last"), F.count("*").alias("m")).filter("head < last").select("key", "head", "m")
     shared = cut(keyed.join(heads, "key"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,10 +368,8 @@ def similar_documents(df: DataFrame, shingle: int = 5, tenths: int = 8, radius:
     star = shared.filter("ref <> head").select(F.col("head").alias("a"), F.col("ref").alias("b")).distinct()
     star = star.join(told.toDF("a", "fa", "na"), "a").join(told.toDF("b", "fb", "nb"), "b").filter(10 * F.least("na", "nb") >= tenths * F.greatest("na", "nb"))
     starred = close(cut(star.select("a", "b", "fa", "fb").mapInArrow(near, "a long, b long")))
-    roots = components(starred).withColumnRenamed("node", "ref")
-    split = shared.select("key", "ref").join(roots, "ref", "left").withColumn("root", F.coalesce("root", "ref"))
-    mixed = split.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-    apart = split.join(mixed, "key", "left_semi").join(told, "ref").select("key", "ref", "fp", "n", "root")
+    roots = told.join(components(starred), F.col("ref") == F.col("node"), "left").select("ref", "fp", "n", F.coalesce("root", "ref").alias("root"))
+    apart = shared.select("key", "m", "ref").join(roots, "ref")
     found = starred.union(close(cut(_meetings(apart, radius, tenths))))
     labels = texts.select("ref", *same, "low").join(_labels(texts.select("ref", "low"), components(found), "ref"), "ref").select(*same, "component_id")
     return rows.join(labels, same).select(F.col("id.id").alias(id_col), F.col("id.hash").alias("text_hash"), _hex("fp"), F.col("component_id.id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("leads"))

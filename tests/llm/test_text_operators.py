@@ -231,7 +231,7 @@ def test_language_held_out(spark, many):
     df = many[0].select("doc_id", "text", "lang")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     model = langid.fit(df.filter(~held))
-    out = langid.identify(df.filter(held), model, keep=[F.col("lang"), F.col("text")]).collect()
+    out = langid.identify(df.filter(held), model, keep=["lang", "text"]).collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in out]) > 0.97 and all(0 <= r["score"] <= 1 for r in out)
     for r in out[:150]:
         lang, score = brute_language(model, r["text"])
