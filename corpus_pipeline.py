@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from silt.llm import langid, packing, pii, quality, simhash
-from silt.llm.common import table
+from silt.llm.common import cut, small, table
 from silt.llm.queries import WORD_TOKENIZER, grades
 
 #: A document stays if its language has at least this share of the odds.
@@ -24,9 +24,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = langid.fit(docs)
     if not model.langs:
         return docs
-    named = langid.identify(docs, model, keep=[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")])
+    numbered = docs.toDF(*[f"{c}" if c in ("doc_id", "text") else f"__{i}" for i, c in enumerate(docs.columns)])
+    named = langid.identify(numbered, model, keep=[c for c in numbered.columns if c != "doc_id"])
     stays = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
-    return named.filter(stays).select("doc.*")
+    return named.filter(stays).select(numbered.columns).toDF(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +37,16 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     text; of rows with equal id and text the first by its other columns stays.
     Documents without an id can't be named and stay.
     """
-    leads = simhash.similar_documents(docs, shingle=5, tenths=8).filter("leads").select("doc_id", F.col("text_hash").alias("__hash")).distinct()
-    kept = docs.withColumn("__hash", F.xxhash64("text")).join(leads, ["doc_id", "__hash"], "left_semi")
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    first = F.row_number().over(Window.partitionBy("doc_id", "__hash").orderBy(*others, F.lit(0)))
-    once = kept.withColumn("__first", first).filter("__first = 1")
-    return once.select(docs.columns).union(docs.filter("doc_id is null").select(docs.columns))
+    groups = simhash.similar_documents(docs, shingle=5, tenths=8).groupBy("doc_id", F.col("text_hash").alias("__hash"))
+    groups = cut(groups.agg(F.max("leads").alias("leads"), F.count("*").alias("n")))
+    hashed = docs.withColumn("__hash", F.xxhash64("text"))
+    kept = hashed.join(small(groups.filter("not leads or n > 1").select("doc_id", "__hash")), ["doc_id", "__hash"], "left_anti")
+    again = groups.filter("leads and n > 1").select("doc_id", "__hash")
+    if not again.isEmpty():  # rows of equal id and text are brought together, no others
+        others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+        first = F.row_number().over(Window.partitionBy("doc_id", "__hash").orderBy(*others, F.lit(0)))
+        kept = kept.union(hashed.join(small(again), ["doc_id", "__hash"], "left_semi").withColumn("__first", first).filter("__first = 1").select(kept.columns))
+    return kept.select(docs.columns)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
