@@ -60,12 +60,39 @@ def test_embedding_edge_cases(spark):
     assert {(r["n_links"], r["component_id"]) for r in embdedup.near_duplicates(same).collect()} == {(4, 0)}
 
 
-def test_embedding_recall_on_the_table(spark, sf):
-    vectors = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").filter("vec_id < 3000")
-    rows = vectors.select("vec_id", "embedding").toPandas().sort_values("vec_id")
-    want = brute_links(rows["embedding"].tolist(), 0.95).sum(axis=1)
-    got = embdedup.near_duplicates(vectors).toPandas().sort_values("vec_id")["n_links"].to_numpy()
-    assert (got <= want).all() and got.sum() >= 0.95 * want.sum()
+def shapes():
+    """Vectors of several shapes, each with pairs around the threshold."""
+    rng = np.random.default_rng(11)
+    mean = rng.normal(size=64)
+    one_way = mean / np.linalg.norm(mean) * 2.6 + rng.normal(size=(900, 64)) / 8  # around a common mean, few pairs apart
+    close = one_way[:300] + rng.normal(size=(300, 64)) * rng.choice([0.01, 0.03, 0.06], size=(300, 1))
+    centres = rng.normal(size=(20, 64))
+    clustered = centres[rng.integers(0, 20, 900)] + rng.normal(size=(900, 64)) * rng.choice([0.1, 0.2, 0.3], size=(900, 1))
+    loose = rng.normal(size=(900, 64))
+    pairs = loose[:300] + rng.normal(size=(300, 64)) * rng.choice([0.1, 0.2, 0.3], size=(300, 1))
+    flat = rng.normal(size=(900, 64)) * np.geomspace(1, 0.05, 64)
+    copies = np.repeat(rng.normal(size=(30, 64)), 30, axis=0)
+    return {"one way": np.vstack([one_way, close]), "clustered": clustered, "loose": np.vstack([loose, pairs]), "flat": np.vstack([flat, flat[:300] + rng.normal(size=(300, 64)) * 0.03]), "copies": copies}
+
+
+@pytest.mark.parametrize("shape", ["one way", "clustered", "loose", "flat", "copies"])
+def test_embedding_recall(spark, shape):
+    vectors = shapes()[shape].astype(np.float32)
+    want = brute_links(vectors, 0.95).sum(axis=1)
+    got = embdedup.near_duplicates(spark.createDataFrame([(i, v, 0, 0) for i, v in enumerate(vectors.tolist())], SCHEMA)).toPandas().sort_values("vec_id")["n_links"].to_numpy()
+    assert want.sum() > 100 and (got <= want).all() and got.sum() >= 0.97 * want.sum(), got.sum() / want.sum()
+
+
+def test_pivots_of_one_way_vectors():
+    """Vectors around a common mean keep many pivots, so no list holds most of them."""
+    rng = np.random.default_rng(2)
+    mean = rng.normal(size=64)
+    units = mean / np.linalg.norm(mean) * 2.6 + rng.normal(size=(500, 64)) / 8
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    index = embdedup.Index(units, 0.95, 64)
+    keys = embdedup.pair_keys(index.describe(units).astype(np.int64))
+    assert np.median((units @ units.T)[np.triu_indices(500, 1)]) > 0.8 and len(index.pivots) == 64
+    assert np.unique(keys.ravel(), return_counts=True)[1].max() < 250
 
 
 def brute_top(rows, k):
