@@ -1,16 +1,18 @@
 """Exact inner-product top-k with vector-approximation files.
 
-Vectors are made integers; each component is kept again as the number of a cell
-of its dimension (16 cells, their edges from the block's own extremes). A block
-of candidates is scanned by its cells first: with the lower and upper edge of
-every cell, the inner product with a query lies between two bounds. The k-th
-largest lower bound is a floor under the k-th result, so only candidates whose
-upper bound reaches it are read exactly, in falling order of upper bound, until
-the k-th exact score is above every bound left.
-
-Queries and candidates both come in blocks of fixed size; every candidate block
-meets every query block as one row of a few hundred kilobytes, and each meeting
-leaves at most k rows a query. The k best of all blocks follow by rank.
+Vectors are made integers. The approximation file keeps of each component only
+the number of its cell, one byte; a dimension's range is cut into up to 256 cells
+of equal width, the same for the whole table. With a cell's lower edge for every
+component, a query's inner product is bounded from below and above, and the two
+bounds of one query are always equally far apart - so one matrix product gives
+both. The file is scanned alone, in blocks: a block leaves the candidates whose
+upper bound reaches its k-th largest lower bound. Over all blocks the k-th
+largest lower bound of a query is a floor under its k-th result, and only
+candidates whose upper bound reaches that floor are read exactly and ranked.
+
+Of equal vectors in a block only the k + 1 with the smallest ids can be results,
+so a vector that a third of all rows have leaves no more than others. Candidate
+and query blocks meet by number; a meeting ships a few hundred kilobytes.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 from silt.llm.common import cut, row_numbers
 
-#: Vectors in a block of queries and in a block of candidates; cells of a dimension; exact reads of a query at once.
-QUERIES, CANDIDATES, CELLS, READ = 1024, 4096, 16, 64
+#: Vectors in a block of queries and in a block of candidates; cells of a dimension; parts that a query block is sent to.
+QUERIES, CANDIDATES, CELLS, PARTS = 1024, 4096, 256, 32
 
 
 def integers(vector: Column, scale: int) -> Column:
@@ -34,89 +36,93 @@ def integers(vector: Column, scale: int) -> Column:
     return F.when(vector.isNotNull() & ~bad, F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")))
 
 
-def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Vectors of one partition packed into rows (block, dims, ids, values) of at most ``size``, one length each."""
+def _edges(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each vector length the lowest edge and the cell width of every dimension."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, open_ = 0, {}
+        seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for dims, values in _by_length(batch.column(0)):
+                low, high = values.min(axis=0), values.max(axis=0)
+                if dims in seen:
+                    low, high = np.minimum(low, seen[dims][0]), np.maximum(high, seen[dims][1])
+                seen[dims] = low, high
+        for dims, (low, high) in seen.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(dims, dims, np.int32)), pa.array(np.arange(dims, dtype=np.int32)), pa.array(low), pa.array(high)], ["dims", "at", "low", "high"])
+
+    found = rows.select("v").mapInArrow(run, "dims int, at int, low long, high long").groupBy("dims", "at").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    out: dict[int, list] = {}
+    for r in sorted(found.collect()):  # a row for each dimension
+        out.setdefault(r["dims"], []).append((r["low"], max(1, -(-(r["high"] - r["low"] + 1) // CELLS))))
+    return {dims: tuple(np.array(x, np.int64) for x in zip(*pairs, strict=True)) for dims, pairs in out.items()}
+
+
+def _by_length(column: pa.Array, *others: pa.Array) -> Iterator[tuple]:
+    """The vectors of each length as a matrix, with the other columns' values of their rows."""
+    lengths = np.diff(np.asarray(column.offsets, dtype=np.int64))
+    for dims in np.unique(lengths):
+        rows = pa.array(np.flatnonzero(lengths == dims))
+        yield int(dims), column.take(rows).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims), *(o.take(rows) for o in others)
+
+
+def _blocks(rows: DataFrame, size: int, edges: dict | None = None, copies: int = 0) -> DataFrame:
+    """Rows (id, num, v) of one partition as rows (block, dims, ids, nums, vals) of at most ``size``, one length each.
+
+    With ``edges`` vals holds the numbers of the cells, one byte each, and of more
+    than ``copies`` equal vectors in a block those with the smallest ids stay.
+    """
 
-        def close(dims: int) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, held = 0, {}
+
+        def close(dims: int, least: int) -> Iterator[pa.RecordBatch]:
             nonlocal made
-            ids, values = open_.pop(dims)
-            made += 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array(row_numbers(made, 1)), pa.array([dims], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([np.array(values, np.int64).tobytes()])],
-                ["block", "dims", "ids", "vals"],
-            )
+            values, ids, nums = (np.concatenate(x) for x in zip(*held[dims], strict=True))
+            while len(ids) >= least:
+                one, some, names = values[:size], ids[:size], nums[:size]
+                if edges is not None:
+                    group = np.unique(one, axis=0, return_inverse=True)[1].ravel()
+                    order = np.lexsort((some, group))
+                    first = np.searchsorted(group[order], np.arange(group.max() + 1))
+                    keep = np.sort(order[np.arange(len(order)) - first[group[order]] < copies])
+                    low, width = edges[dims]
+                    one, some, names = ((one[keep] - low) // width).astype(np.uint8), some[keep], names[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(row_numbers(made, 1)), pa.array([dims], pa.int32()), *(pa.array([np.ascontiguousarray(x).tobytes()]) for x in (some, names, one))], ["block", "dims", "ids", "nums", "vals"])
+                made, values, ids, nums = made + 1, values[size:], ids[size:], nums[size:]
+            held[dims] = [(values, ids, nums)]
 
         for batch in batches:
-            for vec_id, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, values = open_.setdefault(len(vector), ([], []))
-                ids.append(vec_id)
-                values.append(vector)
-                if len(ids) == size:
-                    yield close(len(vector))
-        for dims in list(open_):
-            yield close(dims)
-
-    return rows.mapInArrow(run, "block long, dims int, ids binary, vals binary")
-
-
-class CellFile:
-    """A block's vectors by cell, with the edges of the cells."""
-
-    def __init__(self, values: np.ndarray):
-        low, high = values.min(axis=0), values.max(axis=0)
-        width = np.maximum(1, -(-(high - low + 1) // CELLS))
-        cells = ((values - low) // width).astype(np.uint8)
-        self.floor = (low + cells * width).astype(np.float64)
-        self.ceiling = np.minimum(self.floor + width - 1, high)
-
-    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bound of each query's inner product with each vector."""
-        plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-        return plus @ self.floor.T + minus @ self.ceiling.T, plus @ self.ceiling.T + minus @ self.floor.T
-
-
-def _exactly(query: np.ndarray, values: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Integer inner products."""
-    return values[rows] @ query
-
-
-def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, values: np.ndarray, k: int) -> tuple[list, list, list]:
-    """The k best candidates of a block for each query, the query's own row left out; ties to the smaller id."""
-    file = CellFile(values)
-    # sums beyond 2**53 are not exact in doubles; such vectors are all read exactly
-    safe = np.abs(queries).sum(axis=1).max(initial=0) * max(1, int(np.abs(values).max(initial=0))) < 2**52
-    out = [], [], []
-    for at in range(0, len(queries), 128):
-        lower, upper = file.bounds(queries[at : at + 128].astype(np.float64))
-        for i in range(len(lower)):
-            q = at + i
-            own = np.flatnonzero(ids == query_ids[q])[:1]
-            lo, up = lower[i], upper[i]
-            lo[own], up[own] = -np.inf, -np.inf
-            n = min(k, len(ids) - len(own))
-            if n <= 0:
-                continue
-            if safe:
-                floor = np.partition(lo, len(lo) - n)[len(lo) - n]
-                rows = np.flatnonzero(up >= floor)
-                rows = rows[np.argsort(-up[rows], kind="stable")]
-            else:
-                rows = np.setdiff1d(np.arange(len(ids)), own)
-            best_rows, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for start in range(0, len(rows), READ):
-                if safe and len(best) == n and up[rows[start]] < best[-1]:
-                    break
-                some = rows[start : start + READ]
-                best_rows = np.concatenate([best_rows, some])
-                best = np.concatenate([best, _exactly(queries[q], values, some)])
-                order = np.lexsort((ids[best_rows], -best))[:n]
-                best_rows, best = best_rows[order], best[order]
-            out[0].extend([int(query_ids[q])] * len(best))
-            out[1].extend(ids[best_rows].tolist())
-            out[2].extend(best.tolist())
+            for dims, values, *names in _by_length(batch.column(2), *batch.columns[:2]):
+                held.setdefault(dims, []).append((values, *(x.to_numpy(zero_copy_only=False) for x in names)))
+                yield from close(dims, size)
+        for dims in held:
+            yield from close(dims, 1)
+
+    return rows.mapInArrow(run, "block long, dims int, ids binary, nums binary, vals binary")
+
+
+def scan_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, cells: np.ndarray, low: np.ndarray, width: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Of a block of cells the candidates each query still needs: their rows, lower bounds, and how far above these the upper bounds lie."""
+    asked = queries.astype(np.float64)
+    lowest = (asked * width) @ cells.astype(np.float64).T
+    constant = asked @ low.astype(np.float64) + np.minimum(asked, 0) @ (width - 1).astype(np.float64)
+    # the sums of doubles may be off by a little where the numbers are large
+    reach = np.abs(low).astype(np.float64) + CELLS * width.astype(np.float64)
+    apart = np.abs(asked) @ (width - 1).astype(np.float64) + 2.0**-46 * (np.abs(asked) @ reach)
+    out = []
+    for q in range(len(asked)):
+        bound = lowest[q] + constant[q]
+        own = np.flatnonzero(ids == query_ids[q])[:1]
+        bound[own] = -np.inf
+        n = min(k, len(ids) - len(own))
+        if n <= 0:
+            out.append((np.zeros(0, np.int64), np.zeros(0), 0.0))
+            continue
+        floor = np.partition(bound, len(bound) - n)[len(bound) - n]
+        rows = np.flatnonzero((bound + apart[q] >= floor) & (bound > -np.inf))
+        if not apart[q]:  # the bounds are the scores: of equal ones the smallest ids
+            rows = rows[np.lexsort((ids[rows], -bound[rows]))[:n]]
+        out.append((rows, bound[rows], apart[q]))
     return out
 
 
@@ -128,24 +134,50 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col:
     left out). Components become floor(scale * x); ties go to the smaller id.
     Vectors that are null or hold null or non-finite components, and rows with a
     null id, take no part; vectors of another length than the query's are not
-    compared. Other columns are not read. An empty table gives no rows.
+    compared. Components beyond 64 bits saturate and scores beyond them wrap.
+    Other columns are not read. An empty table gives no rows.
     """
     rows = df.select(F.col(id_col).alias("id"), integers(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).filter("id is not null and v is not null and size(v) > 0")
-    candidates = cut(_blocks(rows.select("id", "v"), CANDIDATES))
-    wanted = rows.filter("q").select("id", "v")
+    rows = cut(rows.withColumn("num", F.monotonically_increasing_id()))
+    edges = _edges(rows)
+    wanted = rows.filter("q").select("id", "num", "v")
+    scanned = cut(_blocks(rows.select("id", "num", "v"), CANDIDATES, edges, k + 1))
     queries = cut(_blocks(wanted.repartition(max(1, -(-wanted.count() // QUERIES))), QUERIES))
-    asked = queries.select(F.col("block").alias("q_block"), "dims", F.col("ids").alias("q_ids"), F.col("vals").alias("q_vals"))
-    named = asked.select("q_block", "dims")
-    meetings = candidates.join(named, "dims").join(asked.drop("dims"), "q_block").repartition("block", "q_block").select("dims", "q_ids", "q_vals", "ids", "vals")
+    order = Window.partitionBy("dims").orderBy("block")  # a row for each thousand queries
+    asked = queries.withColumn("number", F.row_number().over(order)).select("dims", "number", F.col("ids").alias("q_ids"), F.col("vals").alias("q_vals"))
+    each = asked.groupBy("dims").agg(F.max("number").alias("most"))
+    parts = F.broadcast(each)  # a row for each vector length
+    left = scanned.join(parts, "dims").withColumn("number", F.explode(F.expr("sequence(1, most)"))).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(PARTS)))
+    right = asked.withColumn("part", F.explode(F.array(*[F.lit(i).cast("long") for i in range(PARTS)])))
+    meetings = left.join(right, ["dims", "number", "part"]).select("dims", "q_ids", "q_vals", "ids", "nums", "vals")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dims, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                q_ids, q_vals, ids, vals = (np.frombuffer(x, np.int64) for x in packed)
-                found = search_block(q_ids, q_vals.reshape(-1, dims), ids, vals.reshape(-1, dims), k)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["query_id", "id", "score"])
+            for dims, q_ids, q_vals, ids, nums, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                q_ids, q_vals, ids, nums = (np.frombuffer(x, np.int64) for x in (q_ids, q_vals, ids, nums))
+                low, width = edges[dims]
+                for at in range(0, len(q_ids), 128):
+                    found = scan_block(q_ids[at : at + 128], q_vals.reshape(-1, dims)[at : at + 128], ids, np.frombuffer(cells, np.uint8).reshape(-1, dims), low, width, k)
+                    counts = [len(r) for r, _, _ in found]
+                    kept = np.concatenate([r for r, _, _ in found])
+                    bound, apart = np.concatenate([b for _, b, _ in found]), np.repeat([a for *_, a in found], counts)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids[at : at + 128], counts)), pa.array(nums[kept]), pa.array(bound), pa.array(bound + apart)], ["query_id", "num", "lower", "upper"])
+
+    bounds = cut(meetings.mapInArrow(meet, "query_id long, num long, lower double, upper double"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("lower").desc()))
+    floors = bounds.withColumn("place", place).filter(F.col("place") <= k).groupBy("query_id").agg(F.min("lower").alias("floor"))
+    needed = bounds.join(floors, "query_id").filter("upper >= floor").select("query_id", "num")
+    asks = wanted.select(F.col("id").alias("query_id"), F.col("v").alias("x")).dropDuplicates(["query_id"])
+    pairs = needed.join(rows.select("num", "id", "v"), "num").join(asks, "query_id").filter(F.size("x") == F.size("v"))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in (2, 3))
+            starts = np.asarray(batch.column(2).offsets, dtype=np.int64)
+            sums = np.add.reduceat(x * y, (starts - starts[0])[:-1]) if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sums)], ["query_id", "id", "score"])
 
+    found = pairs.select("query_id", "id", "x", "v").mapInArrow(exact, "query_id long, id long, score long")
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    found = meetings.mapInArrow(meet, "query_id long, id long, score long")
     best = found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")

@@ -105,16 +105,16 @@ def brute_top(rows, k):
     return out
 
 
-@pytest.mark.parametrize("sizes", [(1024, 4096, 64), (2, 7, 3)])
+@pytest.mark.parametrize("sizes", [(1024, 4096, 256), (2, 7, 3)])
 def test_top_k(spark, monkeypatch, sizes):
     monkeypatch.setattr(topk, "QUERIES", sizes[0])
     monkeypatch.setattr(topk, "CANDIDATES", sizes[1])
-    monkeypatch.setattr(topk, "READ", sizes[2])
+    monkeypatch.setattr(topk, "CELLS", sizes[2])
     rng = np.random.default_rng(5)
     vectors = rng.normal(size=(130, 6)).round(1).astype(np.float32).tolist() + [[0.5] * 6] * 40
-    vectors += [None, [float("nan")] * 6, [None] * 6, [float("inf")] * 6, [1.0, 2.0], [3.0, 4.0], [1e9] * 6, [-1e9] * 6]
+    vectors += [None, [float("nan")] * 6, [None] * 6, [float("inf")] * 6, [1.0, 2.0], [3.0, 4.0], [1e7] * 6, [-1e7] * 6, []]
     rows = list(enumerate(vectors))
-    df = spark.createDataFrame([(i, v, 0, 1) for i, v in rows], SCHEMA).repartition(3)
+    df = spark.createDataFrame([(i, v, 0, 1) for i, v in rows] + [(None, [0.5] * 6, 0, 1)], SCHEMA).repartition(3)
     got = {}
     for r in topk.top_k(df, F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
@@ -123,6 +123,19 @@ def test_top_k(spark, monkeypatch, sizes):
     assert topk.top_k(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_bounds_hold():
+    """Every score lies between the bounds that the cells give, and they are far closer than the scores' range."""
+    rng = np.random.default_rng(8)
+    values, queries = rng.integers(-5000, 5000, (300, 16)), rng.integers(-5000, 5000, (9, 16))
+    low, width = np.full(16, -5000), np.full(16, 40)
+    cells = ((values - low) // width).astype(np.uint8)
+    for q, (rows, lower, apart) in enumerate(topk.scan_block(np.full(9, -1), queries, np.arange(300), cells, low, width, 300)):
+        scores = values[rows] @ queries[q]
+        assert len(rows) == 300 and (lower <= scores).all() and (scores <= lower + apart).all() and apart < np.ptp(scores) / 5
+    few = topk.scan_block(np.full(9, -1), queries, np.arange(300), cells, low, width, 5)
+    assert all(set(np.argsort(-(values @ q), kind="stable")[:5]) <= set(rows) and len(rows) < 40 for q, (rows, *_) in zip(queries, few, strict=True))
+
+
 def brute_rule(url):
     if url is None or "://" not in url:
         return "", "", None, "allow"
