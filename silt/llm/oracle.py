@@ -6,6 +6,7 @@ tokenizers, XXH64 or a fitted model.
 
 from __future__ import annotations
 
+from silt.llm import pii
 from silt.llm.queries import URL_RULES
 
 # Each base or own kind: its expression as RE2 takes it, what confirms a match x, its score, context words, whether it is a base kind.
@@ -18,7 +19,7 @@ _KINDS = [
     ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(x, '.'), lambda p: NOT (regexp_full_match(p, '0*[0-9]{1,3}') AND right(p, 3)::INT <= 255))) = 0", 0.6, "ip|host|server|address|from", True),
     ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}", 0.8, "card|visa|credit|pay", True),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15", 0.7, "phone|tel|call|mobile|fax", True),
-    ("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", f"length({_FLAT}) BETWEEN 15 AND 34 AND {_MOD97}", 0.9, "iban|account|bank", False),
+    ("iban", rf"\b{pii.IBAN}\b", _MOD97, 0.9, "iban|account|bank", False),
     ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "NOT regexp_matches(x, '^(000|666|9..)-|-00-|-0000$')", 0.3, "ssn|social|security|tax", False),
     ("secret", r"\b(?i:token|secret|password|api[_-]?key)[\x22\x27]?\x20?[:=]\x20?[\x22\x27]?[A-Za-z0-9_/+.-]{16,}", "true", 0.6, "access|auth|login|key", False),
 ]
@@ -31,8 +32,8 @@ def _pii() -> str:
         at = f"list_transform(range(1, len(m_{kind}) + 1), lambda i: {{'s': (list_sum(list_transform(g_{kind}[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m_{kind}[1:i - 1], lambda y: length(y))), 0))::BIGINT, 'x': m_{kind}[i]}})"
         kept = f"list_filter({at}, lambda r: list_transform([r.x], lambda x: {confirm})[1])"
         if not base:
-            before = "lower(substr(t, greatest(r.s - 40, 0) + 1, r.s - greatest(r.s - 40, 0)))"
-            kept = f"list_filter({kept}, lambda r: {score} + CASE WHEN regexp_matches({before}, '\\b({words})') THEN 0.35 ELSE 0 END >= 0.5)"
+            near = "lower(substr(t, greatest(r.s - 40, 0) + 1, r.s - greatest(r.s - 40, 0)) || ' ' || substr(t, r.s + length(r.x) + 1, 40))"
+            kept = f"list_filter({kept}, lambda r: {score} + CASE WHEN regexp_matches({near}, '\\b({words})') THEN 0.35 ELSE 0 END >= 0.5)"
         kinds.append((kind, base, f"list_transform({kept}, lambda r: '{kind}:' || r.s || ':' || (r.s + length(r.x)))"))
     spans = ", ".join(f"{sql} AS s_{kind}" for kind, _, sql in kinds)
     base = " || ".join(f"s_{k}" for k, b, _ in kinds if b)

@@ -69,6 +69,30 @@ def test_pii_own_kinds_and_redaction(spark):
     assert pii.find(rows_of(spark, [])).count() == 0
 
 
+def test_ibans_before_words(spark):
+    texts = ["DE89 3704 0044 0532 0130 00 BIC COBADEFF", "DE89370400440532013000 500 EUR", "DE89370400440532013000 GB82 WEST 1234 5698 7654 32", "DE8937040044053201300", "XX89370400440532013000"]
+    got = {r["doc_id"]: r["text"] for r in pii.redact(rows_of(spark, texts)).collect()}
+    assert [got[i] for i in range(5)] == ["<iban> BIC COBADEFF", "<iban> 500 EUR", "<iban> <iban>", texts[3], texts[4]]
+    after = pii.find(rows_of(spark, ["123-45-6789 is my SSN", "123-45-6789 is my number"])).select("doc_id", F.size("pii").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in after} == {0: 1, 1: 0}
+
+
+def test_very_many_spans(spark):
+    """A hundred thousand addresses in one text, and overlapping spans across blocks and parts."""
+    text = " ".join(f"é{i} u{i}@x{i}.org +4930{i:07d}" for i in range(100_000))
+    small = " ".join(f"😀 u{i}@x.org +49 30 {i:07d} 10.0.0.{i % 300} 4111 1111 1111 1111" for i in range(700))
+    out = {r["doc_id"]: r for r in pii.redact(rows_of(spark, [text, small])).select("doc_id", "text", F.size("pii").alias("n"), pii.listing(F.col("pii"), queries.BASE_KINDS).alias("s")).collect()}
+    assert out[0]["n"] == 200_000 and out[0]["text"] == " ".join(f"é{i} <email> <phone>" for i in range(100_000))
+    assert out[1]["s"] == brute_base(small)
+    spans = sorted((int(a), -int(b), k) for k, a, b in (x.split(":") for x in out[1]["s"].split(",")))
+    want, at = "", 0
+    for a, b, k in spans:
+        if a >= at:
+            want += small[at:a] + f"<{k}>"
+        at = max(at, -b)
+    assert out[1]["text"] == want + small[at:]
+
+
 def test_pieces_equal_the_library(spark, sf):
     import sentencepiece
 
