@@ -50,12 +50,9 @@ def supersessions(slots: DataFrame) -> DataFrame:
     return linked.filter("dst is not null and was <> object").select(F.col("id").alias("src"), F.lit("supersedes").alias("rel"), "dst", F.col("valid_from").alias("at"))
 
 
-def contradictions(slots: DataFrame, newest: int | None = 3) -> DataFrame:
-    """Mutual contradicts links among the answers of a slot that differ: all of them if ``newest`` is None, else those of the newest; a slot of n makes up to n squared."""
-    ranked = slots
-    if newest is not None:
-        ranked = slots.withColumn("_p", F.row_number().over(Window.partitionBy(*SLOT).orderBy(F.col("valid_from").desc(), F.col("id").desc()))).filter(F.col("_p") <= newest)
-    a, b = ranked.alias("a"), ranked.alias("b")
+def contradictions(slots: DataFrame) -> DataFrame:
+    """Mutual contradicts links among the answers of a slot that differ; a slot of n makes up to n squared."""
+    a, b = slots.alias("a"), slots.alias("b")
     pairs = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in SLOT] + [F.col("a.object") != F.col("b.object")])
     return pairs.select(F.col("a.id").alias("src"), F.lit("contradicts").alias("rel"), F.col("b.id").alias("dst"))
 

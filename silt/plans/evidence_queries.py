@@ -113,19 +113,11 @@ def slot_asof(spark, sf_dir):
     return slots.as_of(tables.slots(spark, sf_dir), F.lit(820_454_400)).select("subject", "predicate", "id", "object", "valid_from")
 
 
-@query("""WITH $SLOT, ask AS (SELECT subject, predicate, valid_from + 43200 AS at, id AS ask_id FROM slot WHERE id % 3 = 0)
+@query("""WITH $SLOT, ask AS (SELECT subject, predicate, valid_from + 43200 AS at, id AS ask_id FROM slot)
  SELECT a.ask_id, a.subject, a.predicate, a.at, s.id, s.object FROM ask a JOIN slot s ON a.subject = s.subject AND a.predicate = s.predicate AND s.valid_from <= a.at
  QUALIFY row_number() OVER (PARTITION BY a.ask_id ORDER BY s.valid_from DESC, s.id DESC) = 1""")
 def slot_asof_join(spark, sf_dir):
-    """Half a day after every third answer: what its slot then says. Asks and answers merge in time order."""
-    held = tables.slots(spark, sf_dir)
-    asks = held.filter("id % 3 = 0").select("subject", "predicate", (F.col("valid_from") + 43_200).alias("at"), F.col("id").alias("ask_id"))
-    return slots.as_of_join(asks, held, slots.SLOT).select("ask_id", "subject", "predicate", "at", "id", "object")
-
-
-@query()
-def slot_asof_join_all(spark, sf_dir):
-    """``slot_asof_join`` after every answer."""
+    """Half a day after every answer: what its slot then says. Asks and answers merge in time order."""
     held = tables.slots(spark, sf_dir)
     asks = held.select("subject", "predicate", (F.col("valid_from") + 43_200).alias("at"), F.col("id").alias("ask_id"))
     return slots.as_of_join(asks, held, slots.SLOT).select("ask_id", "subject", "predicate", "at", "id", "object")
@@ -146,14 +138,13 @@ def slot_supersessions(spark, sf_dir):
     return slots.supersessions(tables.slots(spark, sf_dir))
 
 
-LINKS = """r AS (SELECT * FROM slot QUALIFY row_number() OVER (PARTITION BY subject, predicate ORDER BY valid_from DESC, id DESC) <= 3),
- c AS (SELECT a.id AS src, b.id AS dst FROM r a JOIN r b ON a.subject = b.subject AND a.predicate = b.predicate AND a.object <> b.object),
+LINKS = """c AS (SELECT a.id AS src, b.id AS dst FROM slot a JOIN slot b ON a.subject = b.subject AND a.predicate = b.predicate AND a.object <> b.object),
  settled AS (SELECT src, dst FROM c WHERE (src + dst) % 5 = 0)"""
 
 
-def links(spark: SparkSession, sf_dir: str, newest: int | None = 3) -> DataFrame:
-    """Contradictions among the newest three answers of each slot, or all if None; every fifth pair reconciled."""
-    found = slots.contradictions(tables.slots(spark, sf_dir), newest)
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contradictions among all answers of each slot; every fifth pair reconciled."""
+    found = slots.contradictions(tables.slots(spark, sf_dir))
     return found.union(found.filter((F.col("src") + F.col("dst")) % 5 == 0).withColumn("rel", F.lit("reconciled")))
 
 
@@ -170,19 +161,6 @@ def contradiction_pressure(spark, sf_dir):
     return slots.pressure(links(spark, sf_dir), held).select("memory", F.round("pressure", 6).alias("pressure"))
 
 
-@query()
-def open_disagreements_all(spark, sf_dir):
-    """``open_disagreements`` over every answer of a slot, not the newest three."""
-    return slots.open_disagreements(links(spark, sf_dir, None))
-
-
-@query()
-def contradiction_pressure_all(spark, sf_dir):
-    """``contradiction_pressure`` over every answer of a slot."""
-    held = tables.slots(spark, sf_dir).select("id", (F.col("id") % 10 / 10.0).alias("confidence"))
-    return slots.pressure(links(spark, sf_dir, None), held).select("memory", F.round("pressure", 6).alias("pressure"))
-
-
 @query("""WITH $ACTION, last AS (SELECT memory, id AS outcome_id, outcome, at AS outcome_at FROM action_ WHERE outcome IS NOT NULL QUALIFY row_number() OVER (PARTITION BY memory ORDER BY at DESC, id DESC) = 1),
  n AS (SELECT memory, count(*) AS n_actions FROM action_ GROUP BY ALL) SELECT memory, n_actions, outcome_id, outcome, outcome_at FROM n LEFT JOIN last USING (memory)""")
 def latest_outcome(spark, sf_dir):

@@ -13,43 +13,28 @@ from silt.sources.tables import NOW
 
 _STEM = "CASE WHEN length(w) > 5 AND w LIKE '%ing' AND w NOT LIKE '%ss' THEN left(w, length(w) - 3) WHEN length(w) > 4 AND w LIKE '%ed' THEN left(w, length(w) - 2) WHEN length(w) > 4 AND w LIKE '%es' THEN left(w, length(w) - 2) WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN left(w, length(w) - 1) ELSE w END"
 _TOKENS = f"list_transform(list_filter(string_split_regex(lower(t), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: {_STEM})"
-_ASKED = f"""asked AS (SELECT item_id AS qid, array_to_string(string_split(text, ' ')[1:8], ' ') AS query FROM benchmark WHERE item_id % 4 = 0),
+_ASKED = f"""asked AS (SELECT item_id AS qid, text AS query FROM benchmark),
  terms AS (SELECT DISTINCT qid, unnest(list_transform(list_filter(string_split_regex(lower(query), '[^a-z0-9]+'), lambda w: w <> '' AND NOT list_contains({array(W.STOPWORDS)}, w)), lambda w: {_STEM})) AS term FROM asked)"""
-_BM25 = f"""{_ASKED}, d AS (SELECT doc_id AS id, {_TOKENS} AS ws FROM (SELECT doc_id, text AS t FROM documents WHERE lang = 'en')), st AS (SELECT count(*) AS n, avg(len(ws)) AS a FROM d),
+_BM25 = f"""{_ASKED}, d AS (SELECT doc_id AS id, {_TOKENS} AS ws FROM (SELECT doc_id, text AS t FROM documents)), st AS (SELECT count(*) AS n, avg(len(ws)) AS a FROM d),
  e AS (SELECT id, len(ws) AS l, unnest(ws) AS term FROM d), tf AS (SELECT id, l, term, count(*) AS f FROM e WHERE term IN (SELECT term FROM terms) GROUP BY ALL), df AS (SELECT term, count(*) AS n FROM tf GROUP BY term),
  sc AS (SELECT qid, id, round(-sum(greatest(ln((st.n - df.n + 0.5) / (df.n + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / a))), 5) AS rank FROM terms JOIN tf USING (term) JOIN df USING (term), st GROUP BY qid, id),
  top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank, id) AS place FROM sc)"""
 
 
-def english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.memories(spark, sf_dir).filter("lang = 'en'")
-
-
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first eight words of every fourth benchmark passage, as queries."""
-    return tables.table(spark, sf_dir, "benchmark").filter("item_id % 4 = 0").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("query"))
-
-
-def asked_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark passage with its whole text, as queries."""
+    """Every benchmark passage, whole, as a query."""
     return tables.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
 @query(f"WITH {_BM25} SELECT qid, place, id, rank FROM top WHERE place <= 10")
 def bm25_search(spark, sf_dir):
     """The ten best memories of each query by bm25."""
-    return fts.bm25(english(spark, sf_dir), asked(spark, sf_dir), 10).select("qid", F.col("place").cast("long").alias("place"), "id", "rank")
-
-
-@query()
-def bm25_search_all(spark, sf_dir):
-    """``bm25_search`` of every whole passage, over memories in every language."""
-    return fts.bm25(tables.memories(spark, sf_dir), asked_all(spark, sf_dir), 10).select("qid", F.col("place").cast("long").alias("place"), "id", "rank")
+    return fts.bm25(tables.memories(spark, sf_dir), asked(spark, sf_dir), 10).select("qid", F.col("place").cast("long").alias("place"), "id", "rank")
 
 
 _BARE = "lower(regexp_replace(w, '[^\\p{L}\\p{N}./_\\-]', '', 'g'))"
 _LEX = f"""{_BM25}, wanted AS (SELECT qid, list_transform(list_distinct(list_filter(list_transform(string_split_regex(query, '[ \\n]+'), lambda w: {_BARE}), lambda w: w <> '' AND NOT list_contains({array(W.STOPWORDS)}, w))), lambda w: {_STEM}) AS ws FROM asked),
- words_ AS (SELECT doc_id AS id, list_distinct(list_filter(list_transform(list_transform(string_split_regex(text, '[ \\n]+'), lambda w: {_BARE}), lambda w: {_STEM}), lambda w: w <> '')) AS held FROM documents WHERE lang = 'en'),
+ words_ AS (SELECT doc_id AS id, list_distinct(list_filter(list_transform(list_transform(string_split_regex(text, '[ \\n]+'), lambda w: {_BARE}), lambda w: {_STEM}), lambda w: w <> '')) AS held FROM documents),
  best AS (SELECT *, min(rank) OVER (PARTITION BY qid) AS best FROM top WHERE place <= 500),
  lex AS (SELECT b.qid, b.id, CASE WHEN best >= 0 THEN 0.5 ELSE greatest(0, least(1, rank / best)) END * len(list_filter(w.ws, lambda t: len(list_filter(d.held, lambda h: contains(h, t))) > 0)) / len(w.ws) AS lexical FROM best b JOIN wanted w USING (qid) JOIN words_ d ON d.id = b.id)"""
 RATE = "CASE WHEN pinned THEN 0.0 ELSE CASE importance WHEN 'critical' THEN 0.005 WHEN 'high' THEN 0.01 WHEN 'low' THEN 0.1 ELSE 0.05 END / (1 + ln(1.0 + access_count)) END::DOUBLE * CASE tier WHEN 'fact' THEN 0.25 WHEN 'habit' THEN 0.35 WHEN 'episode' THEN 1.4 WHEN 'scratch' THEN 2.0 ELSE 1.0 END::DOUBLE"
@@ -61,16 +46,8 @@ _AGE = "greatest(0, ($NOW - observed_at) / 86400.0)"
  p AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS place FROM blend) SELECT qid, place, id, round(lexical, 6) AS lexical, 0.0::DOUBLE AS entity, score FROM p WHERE place <= 20""")
 def recall_score(spark, sf_dir):
     """The blended recall of each query: twenty memories."""
-    held = english(spark, sf_dir).withColumns({"confidence": F.col("id") % 10 / 10.0, "near": F.col("scope") != "src0"})
-    out = fts.recall(held, asked(spark, sf_dir), F.lit(NOW), 20)
-    return out.withColumn("place", F.col("place").cast("long"))
-
-
-@query()
-def recall_score_all(spark, sf_dir):
-    """``recall_score`` of every whole passage, over memories in every language."""
     held = tables.memories(spark, sf_dir).withColumns({"confidence": F.col("id") % 10 / 10.0, "near": F.col("scope") != "src0"})
-    out = fts.recall(held, asked_all(spark, sf_dir), F.lit(NOW), 20)
+    out = fts.recall(held, asked(spark, sf_dir), F.lit(NOW), 20)
     return out.withColumn("place", F.col("place").cast("long"))
 
 
@@ -83,16 +60,9 @@ def prefix_and_match(spark, sf_dir):
     return fts.prefix_matches(tables.turns(spark, sf_dir), queries)
 
 
-@query("""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.id AS qid, b.id, round((list_cosine_similarity(a.e, b.e) + 1) / 2, 5) AS cosine FROM v a, v b WHERE a.id < 20 AND a.id <> b.id),
+@query("""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.id AS qid, b.id, round((list_cosine_similarity(a.e, b.e) + 1) / 2, 5) AS cosine FROM v a, v b WHERE a.id % 50 = 0 AND a.id <> b.id),
  r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, id) AS place FROM p) SELECT qid, id, cosine, place FROM r WHERE place <= 10""")
 def cosine_topk(spark, sf_dir):
-    """The ten nearest vectors of each of twenty."""
-    vectors = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return fts.cosine_top(vectors, vectors.filter("id < 20"), 10).withColumn("place", F.col("place").cast("long"))
-
-
-@query()
-def cosine_topk_all(spark, sf_dir):
     """The ten nearest vectors of each whose id is divisible by 50."""
     vectors = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return fts.cosine_top(vectors, vectors.filter("id % 50 = 0"), 10).withColumn("place", F.col("place").cast("long"))
@@ -129,22 +99,16 @@ def traverse_2hop(spark, sf_dir):
 
 
 @query("""WITH RECURSIVE l AS (SELECT o_orderkey AS child, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent FROM orders),
- d AS (SELECT o_orderkey AS root, o_orderkey AS node FROM orders WHERE o_orderkey % 100 = 0 UNION SELECT d.root, l.child FROM d JOIN l ON l.parent = d.node) SELECT root, node FROM d""")
-def derived_closure(spark, sf_dir, roots="o_orderkey % 100 = 0"):
-    """Everything derived from every hundredth order, level by level."""
+ d AS (SELECT o_orderkey AS root, o_orderkey AS node FROM orders UNION SELECT d.root, l.child FROM d JOIN l ON l.parent = d.node) SELECT root, node FROM d""")
+def derived_closure(spark, sf_dir):
+    """Everything derived from every order."""
     from pyspark.sql import Window
 
     raw = tables.table(spark, sf_dir, "orders")
     parent = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     links = raw.select(F.col("o_orderkey").alias("src"), F.lit("derived_from").alias("rel"), parent.alias("dst")).filter("dst is not null")
     _ensure_checkpoints(spark)
-    return relations.descendants(links, raw.filter(roots).select(F.col("o_orderkey").alias("id")))
-
-
-@query()
-def derived_closure_all(spark, sf_dir):
-    """Everything derived from every order."""
-    return derived_closure(spark, sf_dir, "true")
+    return relations.descendants(links, raw.select(F.col("o_orderkey").alias("id")))
 
 
 @query("""WITH $MEMORY, r AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY observed_at DESC, id DESC) AS place FROM memory WHERE valid_to IS NULL AND archived_at IS NULL AND tier IN ('fact', 'habit') AND (id % 10) / 10.0 >= 0.35)
@@ -161,7 +125,7 @@ def dispute_fixpoint(spark, sf_dir):
     from silt.plans.evidence_queries import links
 
     _ensure_checkpoints(spark)
-    found = links(spark, sf_dir, None).filter("rel = 'contradicts'").select("src", "dst")
+    found = links(spark, sf_dir).filter("rel = 'contradicts'").select("src", "dst")
     base = tables.slots(spark, sf_dir).select(F.col("id").alias("memory"), ((F.col("id") % 10 + 1) / 10.0).alias("confidence"))
     return slots.dispute_fixpoint(found, base)
 

@@ -17,51 +17,25 @@ BARE = "regexp_replace(w, '^[^\\p{L}\\p{N}''’]+|[^\\p{L}\\p{N}''’]+$', '', '
 NEGATES = f"(list_contains({array(W.NEGATORS + W.CONTRACTED)}, {BARE}) OR {BARE} LIKE '%n''t' OR {BARE} LIKE '%n’t')"
 _CUT = "CASE WHEN length(w) > 5 AND w LIKE '%ing' THEN left(w, length(w) - 3) WHEN length(w) > 4 AND w LIKE '%ed' THEN left(w, length(w) - 2) WHEN length(w) > 4 AND w LIKE '%es' THEN left(w, length(w) - 2) WHEN length(w) > 3 AND w LIKE '%s' THEN left(w, length(w) - 1) ELSE w END"
 CONTENT = f"list_transform(list_transform(list_filter({NORMAL}, lambda w: NOT list_contains({array(W.GRAMMAR)}, w) AND NOT {NEGATES}), lambda w: {_CUT}), lambda s: CASE WHEN length(s) >= 2 AND s[-1] = s[-2] THEN left(s, length(s) - 1) ELSE s END)"
-ENGLISH = "doc AS (SELECT doc_id AS id, source AS scope, left(text, 400) AS t FROM documents WHERE lang = 'en')"
+DOC = "doc AS (SELECT doc_id AS id, source AS scope, doc_id % 50 AS session, 1704067200 + doc_id * 3600 AS observed_at, text AS t FROM documents)"
 
 
-def heads(spark, sf_dir):
-    """The opening 400 characters of English memories, as claims."""
-    return tables.memories(spark, sf_dir).filter("lang = 'en'").select("id", "scope", F.substring("text", 1, 400).alias("text"))
-
-
-@query(f"WITH doc AS (SELECT doc_id AS id, source AS scope, text AS t FROM documents WHERE lang = 'en'), h AS (SELECT id, sha256(array_to_string({NORMAL}, ' ')) AS content_hash FROM doc) SELECT content_hash, count(*) AS n, min(id) AS first_id FROM h GROUP BY content_hash HAVING count(*) > 1")
+@query(f"WITH {DOC}, h AS (SELECT id, sha256(array_to_string({NORMAL}, ' ')) AS content_hash FROM doc) SELECT content_hash, count(*) AS n, min(id) AS first_id FROM h GROUP BY content_hash HAVING count(*) > 1")
 def content_hash_dups(spark, sf_dir):
-    """English texts that are one claim however typed, by content hash."""
-    hashed = tables.memories(spark, sf_dir).filter("lang = 'en'").select("id", text.content_hash(F.col("text")).alias("content_hash"))
+    """Texts that are one claim however typed, by content hash."""
+    hashed = tables.memories(spark, sf_dir).select("id", text.content_hash(F.col("text")).alias("content_hash"))
     return hashed.groupBy("content_hash").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).filter("n > 1")
 
 
-@query(f"WITH doc AS (SELECT doc_id AS id, doc_id % 50 AS session, 1704067200 + doc_id * 3600 AS observed_at, text AS t FROM documents WHERE lang = 'en'), h AS (SELECT *, sha256(array_to_string({NORMAL}, ' ')) AS content_hash FROM doc) SELECT content_hash, min(observed_at) AS first_seen, count(DISTINCT session) AS n_sessions, count(*) AS n_sources FROM h GROUP BY content_hash HAVING count(DISTINCT session) >= 2")
+@query(f"WITH {DOC}, h AS (SELECT *, sha256(array_to_string({NORMAL}, ' ')) AS content_hash FROM doc) SELECT content_hash, min(observed_at) AS first_seen, count(DISTINCT session) AS n_sessions, count(*) AS n_sources FROM h GROUP BY content_hash HAVING count(DISTINCT session) >= 2")
 def scratch_clusters(spark, sf_dir):
     """Texts that two sessions or more have said."""
-    rows = tables.memories(spark, sf_dir).filter("lang = 'en'")
-    return evidence.scratch_clusters(rows, text.content_hash(F.col("text"))).drop("text")
-
-
-@query()
-def content_hash_dups_all(spark, sf_dir):
-    """``content_hash_dups`` in every language."""
-    hashed = tables.memories(spark, sf_dir).select("id", text.content_hash(F.col("text")).alias("content_hash"))
-    return hashed.groupBy("content_hash").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).filter("n > 1")
-
-
-@query()
-def scratch_clusters_all(spark, sf_dir):
-    """``scratch_clusters`` in every language."""
     return evidence.scratch_clusters(tables.memories(spark, sf_dir), text.content_hash(F.col("text"))).drop("text")
 
 
-@query(f"WITH {ENGLISH}, c AS (SELECT id, list_sort(list_distinct({CONTENT})) AS ws FROM doc) SELECT id, len(list_filter(ws, lambda x: x <> ''))::INT AS n_content, sha256(array_to_string(list_filter(ws, lambda x: x <> ''), ' ')) AS content FROM c")
+@query(f"WITH {DOC}, c AS (SELECT id, list_sort(list_distinct({CONTENT})) AS ws FROM doc) SELECT id, len(list_filter(ws, lambda x: x <> ''))::INT AS n_content, sha256(array_to_string(list_filter(ws, lambda x: x <> ''), ' ')) AS content FROM c")
 def claim_content(spark, sf_dir):
-    """What each opening is about: its distinct content words."""
-    ws = F.array_sort(text.content_words(F.col("text")))
-    return heads(spark, sf_dir).select("id", F.size(ws).alias("n_content"), F.sha2(F.array_join(ws, " "), 256).alias("content"))
-
-
-@query()
-def claim_content_all(spark, sf_dir):
-    """``claim_content`` of whole texts in every language."""
+    """What each text is about: its distinct content words."""
     ws = F.array_sort(text.content_words(F.col("text")))
     return tables.memories(spark, sf_dir).select("id", F.size(ws).alias("n_content"), F.sha2(F.array_join(ws, " "), 256).alias("content"))
 
@@ -103,40 +77,20 @@ def token_estimates(spark, sf_dir):
 
 
 _DISTINCTIVE = f"list_sort(list_distinct(list_filter(list_transform(list_filter(string_split_regex(t, '[^\\p{{L}}\\p{{N}}\\-_./]+'), lambda w: strlen(w) > 2), lambda w: lower(w)), lambda w: NOT list_contains({array(W.NOISE)}, w))))"
-PAIRS = f"""doc AS (SELECT doc_id AS id, source AS scope, left(text, 200) AS t FROM documents WHERE lang = 'en'), s AS (SELECT id, scope, {_DISTINCTIVE} AS ws FROM doc),
+PAIRS = f"""{DOC}, s AS (SELECT id, scope, {_DISTINCTIVE} AS ws FROM doc),
  e AS (SELECT id, scope, len(ws) AS n, unnest(ws) AS w FROM s), p AS (SELECT a.scope, a.id AS src, b.id AS dst, count(*) AS shared, min(a.n) AS na, min(b.n) AS nb FROM e a JOIN e b ON a.scope = b.scope AND a.w = b.w AND a.id < b.id GROUP BY ALL)"""
 
 
-def short_heads(spark, sf_dir):
-    return tables.memories(spark, sf_dir).filter("lang = 'en'").select("id", "scope", F.substring("text", 1, 200).alias("text"))
-
-
 @query(f"WITH {PAIRS} SELECT src, dst, shared::INT AS shared, round(shared / least(na, nb)::DOUBLE, 6) AS weight FROM p WHERE 5 * shared >= 3 * least(na, nb)")
 def word_overlap_edges(spark, sf_dir):
-    """Similar-to edges: distinctive words of two openings overlap by three fifths of the smaller."""
-    held = short_heads(spark, sf_dir)
-    return relations.alike(held, text.distinctive(F.col("text")), jaccard=False).select("src", "dst", "shared", F.round("weight", 6).alias("weight"))
+    """Similar-to edges: distinctive words of two texts overlap by three fifths of the smaller."""
+    return relations.alike(tables.memories(spark, sf_dir), text.distinctive(F.col("text")), jaccard=False).select("src", "dst", "shared", F.round("weight", 6).alias("weight"))
 
 
 @query(f"WITH {PAIRS} SELECT src, dst, shared::INT AS shared, round(shared / (na + nb - shared)::DOUBLE, 6) AS weight FROM p WHERE 5 * shared >= 3 * (na + nb - shared)")
 def claim_overlap_pairs(spark, sf_dir):
-    """Openings whose distinctive words overlap by three fifths of their union."""
-    held = short_heads(spark, sf_dir)
-    return relations.alike(held, text.distinctive(F.col("text")), jaccard=True).select("src", "dst", "shared", F.round("weight", 6).alias("weight"))
-
-
-@query()
-def word_overlap_edges_all(spark, sf_dir):
-    """``word_overlap_edges`` between whole texts in every language."""
-    held = tables.memories(spark, sf_dir)
-    return relations.alike(held, text.distinctive(F.col("text")), jaccard=False).select("src", "dst", "shared", F.round("weight", 6).alias("weight"))
-
-
-@query()
-def claim_overlap_pairs_all(spark, sf_dir):
-    """``claim_overlap_pairs`` between whole texts in every language."""
-    held = tables.memories(spark, sf_dir)
-    return relations.alike(held, text.distinctive(F.col("text")), jaccard=True).select("src", "dst", "shared", F.round("weight", 6).alias("weight"))
+    """Texts whose distinctive words overlap by three fifths of their union."""
+    return relations.alike(tables.memories(spark, sf_dir), text.distinctive(F.col("text")), jaccard=True).select("src", "dst", "shared", F.round("weight", 6).alias("weight"))
 
 
 @query("""WITH $MEMORY, p AS (SELECT id AS src, lead(id) OVER w AS dst, observed_at AS at, lead(observed_at) OVER w AS then_ FROM memory WINDOW w AS (PARTITION BY scope ORDER BY observed_at, id))
@@ -161,7 +115,7 @@ def entity_rarity(spark, sf_dir):
     return relations.entity_rarity(entities(spark, sf_dir)).select("scope", "name", "n", F.round("rarity", 6).alias("rarity"))
 
 
-@query(f"WITH {_FOUND}, r AS (SELECT scope, name, count(*) AS n, 1 / (1 + ln(1.0 + count(*))) AS rarity FROM found GROUP BY ALL) SELECT a.id AS src, b.id AS dst, 'same-entity' AS kind, round(max(rarity), 6) AS weight FROM found a JOIN found b ON a.scope = b.scope AND a.name = b.name AND a.id < b.id JOIN r ON r.scope = a.scope AND r.name = a.name WHERE r.n BETWEEN 2 AND 200 GROUP BY a.id, b.id")
+@query(f"WITH {_FOUND}, r AS (SELECT scope, name, count(*) AS n, 1 / (1 + ln(1.0 + count(*))) AS rarity FROM found GROUP BY ALL) SELECT a.id AS src, b.id AS dst, 'same-entity' AS kind, round(max(rarity), 6) AS weight FROM found a JOIN found b ON a.scope = b.scope AND a.name = b.name AND a.id < b.id JOIN r ON r.scope = a.scope AND r.name = a.name GROUP BY a.id, b.id")
 def same_entity_edges(spark, sf_dir):
     """Memories of a scope that share an entity; the rarest carries the weight."""
     return relations.same_entity(entities(spark, sf_dir)).select("src", "dst", "kind", F.round("weight", 6).alias("weight"))

@@ -44,8 +44,8 @@ def commits(spark: SparkSession, path: str) -> DataFrame:
     head = raw.select(parts.alias("p")).filter("size(p) = 3").select(F.col("p")[0].alias("hash"), F.col("p")[1].cast("long").alias("at"), F.split(F.col("p")[2], "\n", 2).alias("rest"))
     body = head.select("hash", "at", F.col("rest")[0].alias("subject"), F.coalesce(F.get("rest", F.lit(1)), F.lit("")).alias("diff"))
     lines = F.filter(F.split("diff", "\n"), lambda x: x.rlike(r"^[+-]") & ~x.rlike(r"^(\+\+\+|---)"))
-    removed = F.transform(F.filter(lines, lambda x: x.startswith("-")), lambda x: F.substring(x, 2, 10_000))
-    added = F.transform(F.filter(lines, lambda x: x.startswith("+")), lambda x: F.substring(x, 2, 10_000))
+    removed = F.transform(F.filter(lines, lambda x: x.startswith("-")), lambda x: F.substr(x, F.lit(2)))
+    added = F.transform(F.filter(lines, lambda x: x.startswith("+")), lambda x: F.substr(x, F.lit(2)))
     swaps = F.regexp_extract_all("diff", F.lit(r"(?m)^@@ [^\n]*@@[^\n]*\n-([^\n]*)\n\+([^\n]*)(?=\n@@|\ndiff|\n?\z)"), F.lit(0))
     pairs = F.transform(swaps, lambda s: F.struct(F.regexp_extract(s, r"\n-([^\n]*)", 1).alias("removed"), F.regexp_extract(s, r"\n\+([^\n]*)", 1).alias("added")))
     return body.select("hash", "at", "subject", removed.alias("removed"), added.alias("added"), pairs.alias("swaps"))

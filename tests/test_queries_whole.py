@@ -8,13 +8,13 @@ from silt.plans.catalogue import QUERIES
 def test_every_row_asks(spark, sf, tmp_path):
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     n = orders.count()
-    assert QUERIES["slot_asof_join_all"](spark, sf).select("ask_id").distinct().count() == n
+    assert QUERIES["slot_asof_join"](spark, sf).select("ask_id").distinct().count() == n
     sizes = orders.groupBy("o_custkey").count().agg(F.sum(F.expr("count * (count + 1) div 2"))).first()[0]
-    assert QUERIES["derived_closure_all"](spark, sf).count() == sizes
+    assert QUERIES["derived_closure"](spark, sf).count() == sizes
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
     asks = {r["vec_id"] for r in vectors.filter("vec_id % 50 = 0").select("vec_id").collect()}
-    assert {r["qid"] for r in QUERIES["cosine_topk_all"](spark, sf).collect()} == asks and max(asks) >= 20
+    assert {r["qid"] for r in QUERIES["cosine_topk"](spark, sf).collect()} == asks and max(asks) >= 20
     spark.createDataFrame([(7, "only the last word tells, whatever came long before: zeppelin", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(3, "b1 b2 b3 b4 b5 b6 b7 b8 b9 zeppelin")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    for name in ("bm25_search_all", "recall_score_all"):
+    for name in ("bm25_search", "recall_score"):
         assert [(r["qid"], r["id"]) for r in QUERIES[name](spark, str(tmp_path)).collect()] == [(3, 7)]

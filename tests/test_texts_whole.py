@@ -14,10 +14,10 @@ def test_words_after_the_opening(spark, tmp_path):
     rows = [(1, f"{opening} {tails[0]}", "en", "s"), (2, f"{opening} {tails[1]}", "en", "s"), (3, f"{tails[0]} other", "de", "s"), (4, f"{tails[0]} more", None, "s")]
     at = documents(spark, tmp_path, rows)
     sets = {i: set(t.split()) for i, t, _, _ in rows}
-    for name, base in (("word_overlap_edges_all", lambda a, b: min(len(a), len(b))), ("claim_overlap_pairs_all", lambda a, b: len(a | b))):
+    for name, base in (("word_overlap_edges", lambda a, b: min(len(a), len(b))), ("claim_overlap_pairs", lambda a, b: len(a | b))):
         want = {(a, b, len(sets[a] & sets[b])) for b in sets for a in range(1, b) if 5 * len(sets[a] & sets[b]) >= 3 * base(sets[a], sets[b])}
         assert {(r["src"], r["dst"], r["shared"]) for r in QUERIES[name](spark, at).collect()} == want and (1, 2) not in {x[:2] for x in want}
-    got = {r["id"]: r["n_content"] for r in QUERIES["claim_content_all"](spark, at).collect()}
+    got = {r["id"]: r["n_content"] for r in QUERIES["claim_content"](spark, at).collect()}
     assert got == {i: len(s) for i, s in sets.items()}
 
 
