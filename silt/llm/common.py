@@ -84,6 +84,25 @@ def hash_sample(df: DataFrame, rows: int, *cols: str) -> DataFrame:
     return below.dropDuplicates(list(cols)).orderBy("_hash", *cols).limit(rows).drop("_hash")
 
 
+#: What a worker holds across batches and tasks: one table, by its key.
+_held: dict = {}
+
+
+def held(key, make):
+    """The worker's table of this key, made if it isn't there; one of another key goes."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Let go of the worker's table: an operator without one shouldn't have to fit beside it."""
+    if _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+
+
 class WordTable:
     """Ids of distinct words, segmented once each; bounded, and kept across batches by a worker.
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silt.llm.common import cut, hash_sample, slices, texts_of
+from silt.llm.common import cut, hash_sample, release, slices, texts_of
 
 UNKNOWN = "und"
 #: Labelled texts that the model is fitted on at most.
@@ -133,6 +133,7 @@ def count_tokens(words: list[str], counts: np.ndarray) -> dict[tuple[int, str],
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (lang, size, token, n) of a batch's (lang, text)."""
+    release()
     for batch in (part for whole in batches for part in slices(whole, 1, STEP)):
         langs = batch.column(0).to_pylist()
         for lang in sorted(set(langs)):
@@ -201,6 +202,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     whole = text_col in names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in (part for b in batches for part in slices(b, 0, STEP)):
             named, scores = classify(shared.value, texts_of(batch, 0))
             yield pa.RecordBatch.from_arrays([*(batch.columns[:1] if whole else []), batch.column(1), pa.array(named, pa.string()), pa.array(scores)], [*["text"] * whole, "kept", "lang_pred", "score"])

@@ -17,7 +17,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from silt.llm.common import WordTable, cut, flat, row_numbers, slices, spread, texts_of
+from silt.llm.common import WordTable, cut, flat, held, row_numbers, slices, spread, texts_of
 
 #: Parts that the pieces of one length are dealt into for ranking.
 SALTS = 512
@@ -93,10 +92,9 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in plain)}
 
 
-@lru_cache(maxsize=2)
 def word_table(tokenizer_path: str) -> WordTable:
     """A worker's distinct words. Tokens never cross a space, so words are segmented alone."""
-    return WordTable(Segmenter(tokenizer_path), limit=450_000)
+    return held(("words", tokenizer_path), lambda: WordTable(Segmenter(tokenizer_path), limit=450_000))
 
 
 def token_ids(texts: pa.Array, known: WordTable) -> tuple[np.ndarray, np.ndarray]:

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silt.llm.common import WordTable, flat, slices, texts_of
+from silt.llm.common import WordTable, flat, held, slices, texts_of
 
 MARK = "▁"
 #: Stands before each chunk while a text is cut; texts that hold it take the slower cut.
@@ -72,10 +71,9 @@ class ChunkTable:
         return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())), pa.array(decoded, pa.string())
 
 
-@lru_cache(maxsize=2)
 def chunk_table(model_path: str) -> ChunkTable:
-    """The worker's table; it lives as long as the worker."""
-    return ChunkTable(model_path)
+    """The worker's table; it lives until another operator runs in the worker."""
+    return held(("chunks", model_path), lambda: ChunkTable(model_path))
 
 
 def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silt.llm.common import cut, hash_sample, slices, texts_of
+from silt.llm.common import cut, hash_sample, release, slices, texts_of
 
 #: Graded rows that the model is fitted on at most; hashed weights.
 SAMPLE_ROWS, BUCKETS = 8_000, 1 << 18
@@ -172,6 +172,7 @@ def fit(docs: DataFrame, graded: DataFrame, grades: int, sample_rows: int = SAMP
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in (part for whole in batches for part in slices(whole, 1, STEP)):
             whose, at, value = features(texts_of(batch, 1))
             ends = np.searchsorted(whose, np.arange(len(batch) + 1))
@@ -225,6 +226,7 @@ def score(df: DataFrame, model: Model, least: float = 0.5, text_col: str = "text
     shared = df.sparkSession.sparkContext.broadcast(model)  # WEIGHTS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in (part for whole in batches for part in slices(whole, 0, STEP)):
             expected, tail = shared.value.grade(texts_of(batch, 0))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected), pa.array(tail)], ["text", "kept", *names[:2]])

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silt.llm.common import components, cut, hash_sample, slices
+from silt.llm.common import components, cut, hash_sample, release, slices
 
 _SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -89,6 +89,7 @@ def fingerprints(df: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_c
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             made = [fingerprint(_bytes(t), shingle) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(made, np.uint64).view(np.int64))], ["id", "fp"])
@@ -234,6 +235,7 @@ def _sets(df: DataFrame, shingle: int, schema: str, row, wanted: np.ndarray | No
     shared = None if wanted is None else df.sparkSession.sparkContext.broadcast(wanted)  # BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in (part for whole in batches for part in slices(whole, 1)):
             if shared is not None:
                 both = [batch.column(c).to_numpy() for c in (2, 3)]
@@ -269,7 +271,11 @@ def _wanted(ids: DataFrame) -> np.ndarray:
 
 
 def _meetings(rows: DataFrame, radius: int, tenths: int) -> DataFrame:
-    """Pairs (a, b) of the members (key, m, ref, fp, n, root) of each key that differ in root and pass the distance tables.
+    """Pairs (a, b) of the members (key, m, ref, fp, n, root) of each key that differ in root, pass the distance tables and share enough keys.
+
+    A pair meets once at each shingle that the prefixes share. Even if all beyond
+    the longer prefix were shared too, a pair of too few can't reach the
+    similarity and goes before any set is made.
 
     The members of a key of at most BLOCK of them meet as one row. Of a larger
     key, a root's many members fill blocks of their own, which needn't meet each
@@ -278,7 +284,7 @@ def _meetings(rows: DataFrame, radius: int, tenths: int) -> DataFrame:
     """
     families, _ = references(ALL, 4)
     members = F.collect_list(F.struct("ref", "fp", "n", "root")).alias("members")
-    few = rows.filter(F.col("m") <= BLOCK).groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), members).filter("r0 <> r1").select("members", F.col("members").alias("others"))
+    few = rows.filter(F.col("m") <= BLOCK).groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), members).filter("r0 <> r1").select("members", F.lit(None).cast(rows.groupBy("key").agg(members).schema["members"].dataType).alias("others"))
     many = rows.filter(F.col("m") > BLOCK).drop("m")
     sized = many.groupBy("key", "root").agg(F.count("*").alias("m"))
     pooled = sized.groupBy("key").agg(F.sum(F.when(F.col("m") <= BLOCK, F.col("m"))).alias("pool"), F.count("*").alias("roots")).filter("roots > 1")
@@ -286,7 +292,7 @@ def _meetings(rows: DataFrame, radius: int, tenths: int) -> DataFrame:
     own = F.when(F.col("large"), F.col("root")).otherwise(F.lit(-1).cast("long"))
     part = F.when(F.col("large"), F.pmod(F.xxhash64("ref"), F.ceil(F.col("m") / BLOCK))).otherwise(F.pmod(F.xxhash64("root"), F.ceil(F.col("pool") / BLOCK)))
     packed = cut(placed.groupBy("key", own.alias("own"), part.alias("part")).agg(members))
-    inner = packed.filter("own = -1 and size(members) > 1").select("members", F.col("members").alias("others"))
+    inner = packed.filter("own = -1 and size(members) > 1").select("members", F.lit(None).cast(packed.schema["members"].dataType).alias("others"))
     left, right = packed.alias("l"), packed.alias("r")
     after = (F.col("l.own") < F.col("r.own")) | ((F.col("l.own") == F.col("r.own")) & (F.col("l.part") < F.col("r.part")) & (F.col("l.own") == -1))
     across = left.join(right, [F.col("l.key") == F.col("r.key"), after]).select("l.members", F.col("r.members").alias("others"))
@@ -294,12 +300,17 @@ def _meetings(rows: DataFrame, radius: int, tenths: int) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                (a, fa, na, ra), (b, fb, nb, rb) = ([c.to_numpy() for c in batch.column(side)[row].values.flatten()] for side in (0, 1))
-                i, j = np.nonzero((ra[:, None] != rb[None, :]) & (10 * np.minimum(na[:, None], nb[None, :]) >= tenths * np.maximum(na[:, None], nb[None, :])))
+                sides = [batch.column(side)[row] for side in (0, 1) if batch.column(side)[row].is_valid]
+                (a, fa, na, ra), (b, fb, nb, rb) = ([c.to_numpy() for c in side.values.flatten()] for side in (sides * 2)[:2])
+                may = (ra[:, None] != rb[None, :]) & (10 * np.minimum(na[:, None], nb[None, :]) >= tenths * np.maximum(na[:, None], nb[None, :]))
+                i, j = np.nonzero(np.triu(may, 1) if len(sides) == 1 else may)
                 i, j = discard(fa.view(np.uint64), fb.view(np.uint64), i, j, families, radius)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], b[j])), pa.array(np.maximum(a[i], b[j]))], ["a", "b"])
+                swap = a[i] > b[j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, x, y)) for x, y in ((b[j], a[i]), (a[i], b[j]), (nb[j], na[i]), (na[i], nb[j]))], ["a", "b", "na", "nb"])
 
-    return few.union(inner).union(across).mapInArrow(meet, "a long, b long").distinct()
+    met = few.union(inner).union(across).mapInArrow(meet, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("w"))
+    beyond = F.greatest(*[F.ceil(F.col(n) * tenths / 10) - 1 for n in ("na", "nb")])
+    return met.filter((10 + tenths) * (F.col("w") + beyond) >= tenths * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def discard(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, families: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
