@@ -30,18 +30,21 @@ def revising(pairs: DataFrame, before: str, after: str) -> DataFrame:
 def resolve(candidates: DataFrame, held: DataFrame) -> DataFrame:
     """What each candidate (cid, scope, tier, text, subject, predicate, object, weight) meets: action and the memory met.
 
-    A single-valued slot decides by its live fact; else equal content, then the
-    newest of eight facts with the same lead whose value it revises. Equal
+    Only live memories are met: neither closed nor archived. A single-valued slot
+    decides by its live fact; else equal content of the same tier, then the newest
+    of eight facts with the same lead whose value it revises. Equal
     objects or texts reinforce; a weaker revision of a many-valued claim
     disputes; any other supersedes; nothing met is added.
     """
     marks = {"_hash": text.content_hash(F.col("text")), "_lead": text.lead(F.col("text")), "_clause": text.clause(F.col("text"))}
+    for ended in ("valid_to", "archived_at"):
+        held = held.filter(F.col(ended).isNull()) if ended in held.columns else held
     held = held.withColumns(marks)
     new = candidates.withColumns(marks | {"_single": F.coalesce(text.single_valued(F.col("predicate")), F.lit(False))})
     m = held.select("scope", F.col("id").alias("mid"), F.col("subject").alias("ms"), F.col("predicate").alias("mp"), F.col("object").alias("mo"), F.col("_clause").alias("mc"), F.col("_hash").alias("mh"), F.col("_lead").alias("ml"), F.col("tier").alias("mtier"), F.col("observed_at").alias("mat"))
-    by_slot = new.filter("_single and subject is not null").join(m, (new.scope == m.scope) & (F.col("subject") == F.col("ms")) & (F.col("predicate") == F.col("mp"))).select(new["*"], "mid", "mo", "mat", F.lit(1).alias("via"))
+    by_slot = new.filter("_single and subject is not null").join(m, (new.scope == m.scope) & (F.col("subject") == F.col("ms")) & (F.col("predicate") == F.col("mp")) & (F.col("mtier") == "fact")).select(new["*"], "mid", "mo", "mat", F.lit(1).alias("via"))
     by_hash = new.filter("not _single").join(m, (new.scope == m.scope) & (F.col("_hash") == F.col("mh")) & (F.col("tier") == F.col("mtier"))).select(new["*"], "mid", "mo", "mat", F.lit(2).alias("via"))
-    newest = m.withColumn("_p", F.row_number().over(Window.partitionBy("scope", "ml").orderBy(F.col("mat").desc(), F.col("mid").desc()))).filter("_p <= 8 and ml <> ''")
+    newest = m.filter("mtier = 'fact' and ml <> ''").withColumn("_p", F.row_number().over(Window.partitionBy("scope", "ml").orderBy(F.col("mat").desc(), F.col("mid").desc()))).filter("_p <= 8")
     # the clauses are columns of their own before they are compared: the rule names them many times
     pairs = new.filter("not _single").join(newest, (new.scope == newest.scope) & (F.col("_lead") == F.col("ml"))).select(new["*"], "mid", "mo", "mat", "mc")
     by_lead = revising(pairs, "mc", "_clause").drop("mc").withColumn("via", F.lit(3))
