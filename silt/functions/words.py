@@ -96,3 +96,48 @@ EDGE = ".,!?;:\"'`()[]{}‘’“”"
 # Programs that build or test.
 BUILDERS = "cargo make oslo just npm pnpm yarn bun pytest python uv go mvn gradle tsc nix bazel cmake ninja meson zig".split()
 WRAPPERS = "sudo env time nice".split()
+
+# Words too common to say what a sentence is about.
+COMMON = (
+    "the and for with this that here from into its are was all any every each new not must should always never project "
+    "use uses used when where which have has will only"
+).split()
+
+# Words that only let a run go on.
+GOING_ON = "ok okay yes yep sure thanks thank you continue go on ahead proceed next please fine good great done do it".split()
+
+# Words that a value follows.
+VALUE_TAKING = "use uses using with to via on".split()
+
+# How the origin of evidence is worded.
+ORIGIN = {
+    "imperative": "you said", "correction": "you corrected", "choice": "you chose", "commit": "the code says",
+    "cost": "learned from a failure", "manual": "noted", "inferred": "inferred", "distillation": "carried from earlier",
+    "repetition": "recurred", "consolidation": "recurred",
+}
+
+# Channels that may instruct, and the channel of each kind of extracted witness.
+IMPERATIVE_CHANNELS = ["user-instruction", "user-correction", "manual-write"]
+CHANNEL_OF = {
+    "imperative": "user-instruction", "correction": "user-correction", "choice": "user-correction", "cost": "tool-observation",
+    "commit": "repository", "inferred": "model-inference", "repetition": "consolidation", "consolidation": "consolidation",
+    "distillation": "distiller-summary", "manual": "peer-assertion",
+}
+
+# The families that relations belong to, and how far each shape of query may search.
+FAMILIES = {
+    "temporal": ["before", "after", "overlaps"], "causal": ["caused", "resolved", "failed-because"],
+    "entity": ["same-entity"], "semantic": ["similar-to", "same-goal", "same-environment"],
+}
+POLICIES = {
+    "plain": {"name": "balanced", "families": [], "hops": 1, "candidates": 500, "archive": False},
+    "current": {"name": "current-fact", "families": [], "hops": 0, "candidates": 200, "archive": False},
+    "temporal": {"name": "temporal", "families": ["temporal"], "hops": 1, "candidates": 400, "archive": True},
+    "causal": {"name": "repair", "families": ["causal", "temporal"], "hops": 1, "candidates": 400, "archive": True},
+    "entity": {"name": "entity", "families": ["entity"], "hops": 1, "candidates": 500, "archive": False},
+    "semantic": {"name": "similar", "families": ["semantic", "entity"], "hops": 1, "candidates": 500, "archive": False},
+    "procedural": {"name": "procedure", "families": ["entity", "causal"], "hops": 1, "candidates": 400, "archive": False},
+}
+
+# What an entity of each kind is worth beside its rarity.
+ENTITY_KINDS = {"path": 1.0, "command": 1.0, "symbol": 0.8, "proper": 0.6}
