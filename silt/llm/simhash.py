@@ -19,8 +19,8 @@ large, and none is treated otherwise for its size.
 ``similar_documents`` links documents by the similarity of their sets of word
 shingles. In any one order of all shingles two sets of similarity t share one of
 the first n - ceil(t n) + 1 of each; documents that do are candidates, whose
-fingerprints' tables discard most within a radius that such sets stay under, and
-the whole sets verify the rest.
+fingerprints' tables discard most within a radius that such sets stay under, as
+parity sketches of the sets do without loss, and the whole sets verify the rest.
 """
 
 from __future__ import annotations
@@ -46,6 +46,8 @@ GROUP, SPLITS = 256, 3
 SAMPLE_ROWS, COMMON_IN, COMMON = 4_000, 3, 100_000
 #: Candidates of one shingle that are compared in one step; words of the bit set that tells whose sets are wanted.
 BLOCK, BITS = 512, 1 << 25
+#: Words of a set's parity sketch.
+SKETCH = ["s0", "s1", "s2", "s3"]
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -227,6 +229,12 @@ def prefix(sorted_hashes: np.ndarray, tenths: int, common: np.ndarray) -> np.nda
     return np.concatenate([sorted_hashes[~late], sorted_hashes[late]])[: n - (n * tenths + 9) // 10 + 1]
 
 
+def parity(hashes: np.ndarray) -> list[int]:
+    """256 bits, each the parity of how many of a set's shingles fall to it: two sets differ in at least as many shingles as their sketches in bits."""
+    odd = np.bincount((hashes.view(np.uint64) >> np.uint64(40) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8").tolist()
+
+
 def _sets(df: DataFrame, shingle: int, schema: str, row, wanted: np.ndarray | None = None) -> DataFrame:
     """Rows made of each (id, text) by ``row(hashes, set)``, after the id; of ids whose two bits are set in ``wanted``, if given."""
     names, kinds = zip(*(f.split(" ", 1) for f in schema.split(", ")), strict=True)
@@ -271,7 +279,7 @@ def _wanted(ids: DataFrame) -> np.ndarray:
 
 
 def _meetings(rows: DataFrame, radius: int, tenths: int) -> DataFrame:
-    """Pairs (a, b) of the members (key, m, ref, fp, n, root) of each key that differ in root, pass the distance tables and share enough keys.
+    """Pairs (a, b) of the members (key, m, ref, fp, n, root, sketch) of each key that differ in root, pass the distance tables and parity sketches and share enough keys.
 
     A pair meets once at each shingle that the prefixes share. Even if all beyond
     the longer prefix were shared too, a pair of too few can't reach the
@@ -283,7 +291,7 @@ def _meetings(rows: DataFrame, radius: int, tenths: int) -> DataFrame:
     spread over many tasks; only surviving pairs leave a meeting.
     """
     families, _ = references(ALL, 4)
-    members = F.collect_list(F.struct("ref", "fp", "n", "root")).alias("members")
+    members = F.collect_list(F.struct("ref", "fp", "n", "root", *SKETCH)).alias("members")
     few = rows.filter(F.col("m") <= BLOCK).groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), members).filter("r0 <> r1").select("members", F.lit(None).cast(rows.groupBy("key").agg(members).schema["members"].dataType).alias("others"))
     many = rows.filter(F.col("m") > BLOCK).drop("m")
     sized = many.groupBy("key", "root").agg(F.count("*").alias("m"))
@@ -301,10 +309,14 @@ def _meetings(rows: DataFrame, radius: int, tenths: int) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 sides = [batch.column(side)[row] for side in (0, 1) if batch.column(side)[row].is_valid]
-                (a, fa, na, ra), (b, fb, nb, rb) = ([c.to_numpy() for c in side.values.flatten()] for side in (sides * 2)[:2])
+                (a, fa, na, ra, *sa), (b, fb, nb, rb, *sb) = ([c.to_numpy() for c in side.values.flatten()] for side in (sides * 2)[:2])
                 may = (ra[:, None] != rb[None, :]) & (10 * np.minimum(na[:, None], nb[None, :]) >= tenths * np.maximum(na[:, None], nb[None, :]))
                 i, j = np.nonzero(np.triu(may, 1) if len(sides) == 1 else may)
                 i, j = discard(fa.view(np.uint64), fb.view(np.uint64), i, j, families, radius)
+                # of sets of that similarity at most this share of the members is not in both
+                apart = sum((np.bitwise_count((x[i] ^ y[j]).view(np.uint64)).astype(np.int64) for x, y in zip(sa, sb, strict=True)), np.zeros(len(i), np.int64))
+                like = (10 + tenths) * apart <= (10 - tenths) * (na[i] + nb[j])
+                i, j = i[like], j[like]
                 swap = a[i] > b[j]
                 yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, x, y)) for x, y in ((b[j], a[i]), (a[i], b[j]), (nb[j], na[i]), (na[i], nb[j]))], ["a", "b", "na", "nb"])
 
@@ -350,12 +362,12 @@ def similar_documents(df: DataFrame, shingle: int = 5, tenths: int = 8, radius:
     common = np.sort(np.array([r["key"] for r in often.orderBy(F.col("n").desc(), "key").limit(COMMON).collect()], np.int64))
     families, _ = references(ALL, 4)
 
-    rows = cut(_sets(docs, shingle, "digest long, n long, fp long, first array<long>", lambda h, s: (_digest(s), len(s), _signed(majority(h)), prefix(s, tenths, common))))
+    rows = cut(_sets(docs, shingle, "digest long, n long, fp long, first array<long>, " + ", ".join(f"{c} long" for c in SKETCH), lambda h, s: (_digest(s), len(s), _signed(majority(h)), prefix(s, tenths, common), *parity(s))))
     same = ["digest", "n"]
-    texts = rows.groupBy(*same).agg(F.min(F.struct("id", "fp")).alias("low"), F.count("*").alias("copies"), F.first("first").alias("first"))
+    texts = rows.groupBy(*same).agg(F.min(F.struct("id", "fp")).alias("low"), F.count("*").alias("copies"), F.first("first").alias("first"), *[F.first(c).alias(c) for c in SKETCH])
     # a row number that sorts texts of many copies first
     ref = F.monotonically_increasing_id() + (31 - F.floor(F.log2("copies"))) * F.lit(1 << 57)
-    texts = cut(texts.select(*same, F.col("low.id").alias("low"), F.col("low.fp").alias("fp"), "first", ref.cast("long").alias("ref")))
+    texts = cut(texts.select(*same, F.col("low.id").alias("low"), F.col("low.fp").alias("fp"), "first", ref.cast("long").alias("ref"), *SKETCH))
     told = texts.select("ref", "fp", "n")
     keyed = texts.filter("n > 0").select(F.explode("first").alias("key"), "ref")
     heads = keyed.groupBy("key").agg(F.min("ref").alias("head"), F.max("ref").alias("last"), F.count("*").alias("m")).filter("head < last").select("key", "head", "m")
@@ -379,7 +391,7 @@ def similar_documents(df: DataFrame, shingle: int = 5, tenths: int = 8, radius:
     star = shared.filter("ref <> head").select(F.col("head").alias("a"), F.col("ref").alias("b")).distinct()
     star = star.join(told.toDF("a", "fa", "na"), "a").join(told.toDF("b", "fb", "nb"), "b").filter(10 * F.least("na", "nb") >= tenths * F.greatest("na", "nb"))
     starred = close(cut(star.select("a", "b", "fa", "fb").mapInArrow(near, "a long, b long")))
-    roots = told.join(components(starred), F.col("ref") == F.col("node"), "left").select("ref", "fp", "n", F.coalesce("root", "ref").alias("root"))
+    roots = texts.select("ref", "fp", "n", *SKETCH).join(components(starred), F.col("ref") == F.col("node"), "left").select("ref", "fp", "n", F.coalesce("root", "ref").alias("root"), *SKETCH)
     apart = shared.select("key", "m", "ref").join(roots, "ref")
     found = starred.union(close(cut(_meetings(apart, radius, tenths))))
     labels = texts.select("ref", *same, "low").join(_labels(texts.select("ref", "low"), components(found), "ref"), "ref").select(*same, "component_id")

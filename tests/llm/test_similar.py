@@ -85,3 +85,16 @@ def test_long_and_repeated_texts(spark):
     rows = [(0, long), (1, long + " end"), (2, "same " * 5000), (3, "same " * 4000)]
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0: 0, 1: 0, 2: 2, 3: 2}
+
+
+def test_parity_sketches_differ_in_no_more_bits_than_sets_in_members():
+    import numpy as np
+
+    from silt.llm.simhash import parity
+
+    rng = np.random.default_rng(3)
+    for n, k in [(0, 0), (1, 1), (50, 6), (400, 90), (3000, 100)]:
+        one = np.unique(rng.integers(-(2**63), 2**63, n))
+        two = np.unique(np.concatenate([one[k:], rng.integers(-(2**63), 2**63, k)]))
+        bits = sum(int(x ^ y).bit_count() for x, y in zip(np.array(parity(one)).view(np.uint64).tolist(), np.array(parity(two)).view(np.uint64).tolist(), strict=True))
+        assert bits <= len(np.setxor1d(one, two)) and (bits - len(np.setxor1d(one, two))) % 2 == 0
