@@ -59,4 +59,27 @@ _LINKS = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM em
  m AS (SELECT node, min(reached) AS component_id FROM c GROUP BY node), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
  SELECT node AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, node = component_id AS kept FROM m LEFT JOIN n ON n.a = m.node"""
 
-ORACLE: dict[str, str] = {"op1_pii": _pii(), "op5_embedding_dedup": _LINKS, "op6_topk": _TOP, "op8_urls": _URLS}
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_DEDUP = f"""WITH l AS (SELECT doc_id, i, list_extract(parts, i) AS line, translate(trim(list_extract(parts, i), {_BLANKS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))),
+ o AS (SELECT k, min(doc_id) AS owner FROM l WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) >= 2),
+ f AS (SELECT l.doc_id, l.i, l.line, coalesce(o.owner <> l.doc_id, false) AS gone FROM l LEFT JOIN o ON o.k = l.k)
+ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM f GROUP BY doc_id"""
+
+# crc32 byte by byte: the table of the 256 remainders, then one step a character of the digits and commas
+_BAND = """WITH t AS MATERIALIZED (SELECT list(r ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS r FROM range(256) AS x(b))),
+ c AS (SELECT sale_id, line_no, item_id, quantity::BIGINT AS q, floor(100 * amount + 0.5)::BIGINT AS a, concat(sale_id, ',', line_no, ',', item_id) AS s FROM sale_lines WHERE sale_id IS NOT NULL AND item_id IS NOT NULL AND quantity > 0 AND amount IS NOT NULL),
+ l AS MATERIALIZED (SELECT sale_id, line_no::BIGINT AS line_no, item_id AS line_item_id, (2 * a + q - ((2 * a + q) % (2 * q) + 2 * q) % (2 * q)) // (2 * q) AS u, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(s) + 1), lambda i: ascii(s[i])::BIGINT)), lambda h, b: xor(h >> 8, t.t[(xor(h, b) & 255) + 1])), 4294967295) AS crc FROM c, t),
+ i AS (SELECT row_number() OVER () AS r, item_id, floor(100 * price + 0.5)::BIGINT AS p FROM items),
+ p AS (SELECT r, abs(u - p) AS gap, u, sale_id, line_no, line_item_id, crc FROM i JOIN l ON u BETWEEN p - greatest(10, 2 * p // 1000) AND p + greatest(10, 2 * p // 1000) AND line_item_id <> item_id),
+ s AS (SELECT r, count(*) AS n_pairs, sum(gap)::BIGINT AS gap_sum, sum(crc)::BIGINT AS lines_crc FROM p GROUP BY r),
+ b AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY gap, u, sale_id, line_no NULLS FIRST, line_item_id) AS k FROM p QUALIFY k <= 5)
+ SELECT item_id, coalesce(k, 0)::INT AS rank, gap, u, sale_id, line_no, line_item_id, coalesce(n_pairs, 0)::BIGINT AS n_pairs, coalesce(gap_sum, 0)::BIGINT AS gap_sum, coalesce(lines_crc, 0)::BIGINT AS lines_crc FROM i LEFT JOIN s ON s.r = i.r LEFT JOIN b ON b.r = i.r"""
+
+ORACLE: dict[str, str] = {
+    "op1_pii": _pii(),
+    "op5_embedding_dedup": _LINKS,
+    "op6_topk": _TOP,
+    "op8_urls": _URLS,
+    "op11_line_dedup": _DEDUP,
+    "op12_price_band": _BAND,
+}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silt.llm import embdedup, langid, licenses, packing, pieces, pii, quality, simhash, topk, urlfilter
+from silt.llm import bandjoin, embdedup, langid, licenses, linededup, packing, pieces, pii, quality, simhash, topk, urlfilter, whitening
 from silt.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -112,6 +112,23 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that a document of a smaller id holds, as a digest."""
+    out = linededup.kept_lines(table(spark, sf_dir, "documents"), least=10)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_price_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item with the sale lines of other items at nearly its price."""
+    return bandjoin.price_neighbours(table(spark, sf_dir, "items"), table(spark, sf_dir, "sale_lines"), k=5)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the first 16 whitened components of all distinct ones."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors, most=16))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
@@ -123,4 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urls": op8_urls,
     "op9_language": op9_language,
     "op10_licenses": op10_licenses,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_price_band": op12_price_band,
+    "op13_whitening": op13_whitening,
 }
