@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from silt.functions import text
-from silt.operators import slots
-from silt.operators.relations import descendants
+from silt.operators import remember, slots
+from silt.operators.graph import cut, reached
 
 
 def revising(pairs: DataFrame, before: str, after: str) -> DataFrame:
@@ -28,8 +28,9 @@ def revising(pairs: DataFrame, before: str, after: str) -> DataFrame:
 
 
 def resolve(candidates: DataFrame, held: DataFrame) -> DataFrame:
-    """What each candidate (cid, scope, tier, text, subject, predicate, object, weight) meets: action and the memory met.
+    """What each candidate (cid, scope, tier, text, subject, predicate, object, weight) would meet by itself: action and the memory met.
 
+    Nothing is written and no candidate meets another; ``land`` does both.
     Only live memories are met: neither closed nor archived. A single-valued slot
     decides by its live fact; else equal content of the same tier, then the newest
     of eight facts with the same lead whose value it revises. Equal
@@ -55,28 +56,41 @@ def resolve(candidates: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def land(candidates: DataFrame, held: DataFrame, now: int) -> dict[str, DataFrame]:
-    """The next snapshot and what changed: memories, links and new witnesses."""
-    met = resolve(candidates, held)
-    closing = met.filter("action = 'superseded'").select(F.col("mid").alias("id"), F.lit(now).alias("closed_at")).distinct()
+    """The next snapshot and what changed: memories, links and new witnesses.
+
+    Candidates land in order, each on what the former left (``remember.actions``);
+    a memory closes when the candidate that supersedes it was seen, or ``now``.
+    """
+    met = cut(candidates.join(remember.actions(candidates, held), "cid"))
+    at = next((F.col(c) for c in ("at", "observed_at") if c in candidates.columns), F.lit(None))
+    closing = met.filter("action = 'superseded'").select(F.col("mid").alias("id"), F.coalesce(at, F.lit(now)).cast("long").alias("closed_at"))
     added = met.filter("action <> 'reinforced'")
-    kept = held.join(closing, "id", "left").withColumn("valid_to", F.coalesce("valid_to", F.col("closed_at"))).drop("closed_at")
-    fresh = added.select(F.col("cid").alias("id"), *[F.col(c) if c in added.columns else F.lit(None).cast(held.schema[c].dataType).alias(c) for c in held.columns if c != "id"])
+    as_held = {"id": "cid", "observed_at": "at"} if "observed_at" not in added.columns else {"id": "cid"}
+    column = lambda c: F.col(as_held.get(c, c)) if as_held.get(c, c) in added.columns else F.lit(None)
+    fresh = added.select(*[column(c).cast(held.schema[c].dataType).alias(c) for c in held.columns])
+    kept = held.unionByName(fresh).join(closing, "id", "left").withColumn("valid_to", F.coalesce("valid_to", "closed_at")).select(held.columns)
     one = lambda rel, src, dst, rows: rows.select(F.col(src).alias("src"), F.lit(rel).alias("rel"), F.col(dst).alias("dst"))
     replaced, disputed = added.filter("action = 'superseded'"), added.filter("action = 'disputed'")
     links = one("supersedes", "cid", "mid", replaced).union(one("contradicts", "mid", "cid", replaced)).union(one("contradicts", "cid", "mid", disputed)).union(one("contradicts", "mid", "cid", disputed))
-    seen = met.select(F.coalesce(F.when(F.col("action") == "reinforced", F.col("mid")), F.col("cid")).alias("memory"), F.col("cid").alias("witness"), "weight")
-    return {"memories": kept.unionByName(fresh), "links": links, "witnesses": seen, "actions": met.select("cid", "mid", "action")}
+    seen = met.select(F.col("landed").alias("memory"), F.col("cid").alias("witness"), "weight")
+    return {"memories": kept, "links": links, "witnesses": seen, "actions": met.select("cid", "mid", "via", "action", "landed")}
+
+
+def _derived(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The roots and all derived from them."""
+    down = links.filter("rel = 'derived_from'").select(F.col("dst").alias("parent"), F.col("src").alias("child"))
+    return reached(down, roots.select(F.col("id").alias("root"))).select(F.col("node").alias("_gone"))
 
 
 def purge(roots: DataFrame, links: DataFrame, tables: dict[str, tuple[DataFrame, str]]) -> dict[str, DataFrame]:
     """Every table without the rows of the roots and of all derived from them; tables are (rows, memory column)."""
-    gone = descendants(links, roots).select(F.col("node").alias("_gone")).distinct()
+    gone = _derived(roots, links)
     return {name: rows.join(gone, F.col(column) == F.col("_gone"), "left_anti") for name, (rows, column) in tables.items()}
 
 
 def purge_preview(roots: DataFrame, links: DataFrame, tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """How many rows of each table a purge of the roots would reach."""
-    gone = descendants(links, roots).select(F.col("node").alias("_gone")).distinct()
+    gone = _derived(roots, links)
     counts = [rows.join(gone, F.col(column) == F.col("_gone"), "left_semi").agg(F.lit(name).alias("table"), F.count("*").alias("n")) for name, (rows, column) in tables.items()]
     out = counts[0]
     for other in counts[1:]:

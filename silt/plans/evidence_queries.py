@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silt.functions import score, text
-from silt.operators import evidence, landing, ledger, slots
+from silt.operators import evidence, landing, ledger, remember, slots
 from silt.plans.registry import query
 from silt.sources import tables
 from silt.sources.tables import NOW
@@ -280,4 +280,28 @@ def landing_actions(spark, sf_dir):
     """How a quarter of the slot facts would land on the rest."""
     facts = tables.slots(spark, sf_dir).select(F.col("id"), F.lit("all").alias("scope"), F.lit("fact").alias("tier"), F.concat_ws(" ", "subject", "predicate", "object").alias("text"), F.col("subject").cast("string").alias("subject"), "predicate", "object", F.col("valid_from").alias("observed_at"), F.lit(None).cast("long").alias("valid_to"))
     new = facts.filter("id % 4 = 0").withColumnRenamed("id", "cid").withColumn("weight", F.lit(1.0))
-    return landing.land(new, facts.filter("id % 4 <> 0"), NOW)["actions"].select("cid", "mid", "action")
+    return landing.resolve(new, facts.filter("id % 4 <> 0")).select("cid", "mid", "action")
+
+
+@query("""WITH c AS (SELECT change_id AS cid, min(source) AS scope, min(client_id)::VARCHAR AS subject, min(floor(epoch(valid_at)))::BIGINT AS at, min(city) AS city FROM client_changes WHERE change_id IS NOT NULL GROUP BY change_id),
+ h AS (SELECT -1 - client_id AS id, min(source) AS scope, client_id::VARCHAR AS subject, min(city) AS city FROM clients WHERE client_id IS NOT NULL GROUP BY client_id),
+ r AS (SELECT id, 0 AS new_, NULL::BIGINT AS at, scope, subject, city FROM h UNION ALL SELECT cid, 1, at, scope, subject, city FROM c),
+ k AS (SELECT *, CASE WHEN subject IS NULL THEN concat('none ', scope, lower(city)) ELSE concat(scope, '|', subject) END AS slot, lower(coalesce(city, '')) AS said FROM r),
+ p AS (SELECT *, said IS DISTINCT FROM lag(said) OVER w AS head, row_number() OVER w AS n FROM k WINDOW w AS (PARTITION BY slot, scope ORDER BY new_, at NULLS FIRST, id)),
+ m AS (SELECT *, max(CASE WHEN head OR n = 1 THEN n END) OVER (PARTITION BY slot, scope ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS met FROM p)
+ SELECT m.id AS cid, CASE WHEN met IS NULL THEN 'added' WHEN m.head THEN 'superseded' ELSE 'reinforced' END AS action, o.id AS mid, CASE WHEN met IS NULL OR m.head THEN m.id ELSE o.id END AS landed
+ FROM m LEFT JOIN p o ON o.slot = m.slot AND o.scope IS NOT DISTINCT FROM m.scope AND o.n = m.met WHERE m.new_ = 1""")
+def landing_batch(spark, sf_dir):
+    """Every client's changes of city landing in one batch on the city held, in order of time: runs of one answer reinforce it."""
+    sent = tables.table(spark, sf_dir, "client_changes").filter("change_id is not null").groupBy(F.col("change_id").alias("cid")).agg(F.min("source").alias("scope"), F.min("client_id").cast("string").alias("subject"), F.min(F.unix_timestamp(F.col("valid_at").cast("timestamp"))).alias("at"), F.min("city").alias("object"))
+    held = tables.table(spark, sf_dir, "clients").filter("client_id is not null").groupBy("client_id").agg(F.min("source").alias("scope"), F.min("city").alias("object")).select((-1 - F.col("client_id")).alias("id"), "scope", F.col("client_id").cast("string").alias("subject"), "object", F.lit(None).cast("long").alias("observed_at"))
+    said = lambda df: df.withColumns({"tier": F.lit("fact"), "predicate": F.lit("city"), "text": F.concat_ws(" ", "subject", F.lit("city"), "object")})
+    return remember.actions(said(sent).withColumn("weight", F.lit(1.0)), said(held)).select("cid", "action", "mid", "landed")
+
+
+@query()
+def landing_claims(spark, sf_dir):
+    """Three quarters of the memories landing in one batch on the open ones of the rest: texts, restatements, revisions."""
+    rows = tables.memories(spark, sf_dir)
+    new = rows.filter("id % 4 <> 0").select(F.col("id").alias("cid"), F.col("observed_at").alias("at"), "scope", "tier", "text", F.when(F.col("access_count") < 4, 0.25).otherwise(1.0).alias("weight"), F.when(F.col("tier") == "habit", F.col("text")).alias("trigger"))
+    return remember.actions(new, rows.filter("id % 4 = 0").withColumn("trigger", F.when(F.col("tier") == "habit", F.col("text"))))
