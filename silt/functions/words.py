@@ -141,3 +141,38 @@ POLICIES = {
 
 # What an entity of each kind is worth beside its rarity.
 ENTITY_KINDS = {"path": 1.0, "command": 1.0, "symbol": 0.8, "proper": 0.6}
+
+# Words that ask for something to be kept, in their order; words that make a rule; words that mean it was asked before.
+KEEP = ["remember", "dont forget", "don t forget", "do not forget", "keep in mind", "make a note", "note that", "from now on"]
+POLARITY = ["always", "never"]
+INSIST = [
+    "stop asking", "every time", "how many times", "for the last time", "i keep telling you", "i already told you",
+    "asking me", "asked you", "times now",
+]
+
+# What may stand before a polarity word in a rule, and past forms after it that only tell.
+LEADING = (
+    "we you i please pls plz ok okay so and also but just then should must shall will ll d hey yeah yes guys now"
+).split()
+NARRATED = (
+    "was were been got did had went came made said saw thought knew found took gave ran wrote broke forgot became left kept "
+    "told felt began brought bought sent built spent lost meant heard held stood mind"
+).split()
+
+# Uses of a marker that report rather than ask; words that point; openings that complain; words that swear.
+REPORTED = [
+    "can never", "cannot", "can not", "can t", "cant", "could never", "couldn t", "do you", "did you", "don t", "dont",
+    "do not", "doesn t", "didn t", "hard to", "difficult to", "trying to", "unable to", "i never", "if you",
+]
+POINTING = "this that it these those them".split()
+COMPLAINT = [
+    "cos", "coz", "because", "since", "you", "u ", "your", "i have", "i already", "i told", "i keep", "im tired",
+    "i am tired", "again", "ffs",
+]
+SWEARING = "fuck fuk shit damn bloody christ goddamn".split()
+
+# Capitalised words that are names, not shouting.
+ACRONYMS = (
+    "README JSON YAML TOML HTML HTTP HTTPS UUID ULID CUDA LLVM MUSL GLIBC POSIX ASCII UTF8 OAUTH CORS CSRF TODO FIXME NOTE "
+    "WARN INFO DEBUG ERROR PATH HOME TMPDIR LICENSE CHANGELOG SQLITE NVIDIA AMD64 ARM64 X86_64 GRPC REST AWS GCP TLS SSH"
+).split()
