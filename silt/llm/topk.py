@@ -8,7 +8,9 @@ bounds of one query are always equally far apart - so one matrix product gives
 both. The file is scanned alone, in blocks: a block leaves the candidates whose
 upper bound reaches its k-th largest lower bound. Over all blocks the k-th
 largest lower bound of a query is a floor under its k-th result, and only
-candidates whose upper bound reaches that floor are read exactly and ranked.
+candidates whose upper bound reaches that floor are left. Their exact vectors are
+read in the order of that bound: first a few times k, and after these only what
+may still reach the k-th exact score among them.
 
 Of equal vectors in a block only the k + 1 with the smallest ids can be results,
 so a vector that a third of all rows have leaves no more than others. Candidate
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 from silt.llm.common import cut, row_numbers
 
-#: Vectors in a block of queries and in a block of candidates; cells of a dimension; parts that a query block is sent to.
-QUERIES, CANDIDATES, CELLS, PARTS = 1024, 4096, 256, 32
+#: Vectors in a block of queries and in a block of candidates; cells of a dimension; parts that a query block is sent to; so many times k vectors of a query are read first.
+QUERIES, CANDIDATES, CELLS, PARTS, FIRST = 1024, 4096, 256, 32, 2
 
 
 def integers(vector: Column, scale: int) -> Column:
@@ -101,8 +103,8 @@ def _blocks(rows: DataFrame, size: int, edges: dict | None = None, copies: int =
     return rows.mapInArrow(run, "block long, dims int, ids binary, nums binary, vals binary")
 
 
-def scan_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, cells: np.ndarray, low: np.ndarray, width: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """Of a block of cells the candidates each query still needs: their rows, lower bounds, and how far above these the upper bounds lie."""
+def scan_block(query_nums: np.ndarray, queries: np.ndarray, ids: np.ndarray, nums: np.ndarray, cells: np.ndarray, low: np.ndarray, width: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Of a block of cells the candidates each query still needs, its own row left out: their rows, lower bounds, and how far above these the upper bounds lie."""
     asked = queries.astype(np.float64)
     lowest = (asked * width) @ cells.astype(np.float64).T
     constant = asked @ low.astype(np.float64) + np.minimum(asked, 0) @ (width - 1).astype(np.float64)
@@ -112,7 +114,7 @@ def scan_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, cell
     out = []
     for q in range(len(asked)):
         bound = lowest[q] + constant[q]
-        own = np.flatnonzero(ids == query_ids[q])[:1]
+        own = np.flatnonzero(nums == query_nums[q])
         bound[own] = -np.inf
         n = min(k, len(ids) - len(own))
         if n <= 0:
@@ -130,8 +132,8 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col:
     """Rows (query_id, rank, id, score): the k highest integer inner products of each query row.
 
     ``is_query`` marks the rows that are queries; every other row of the table is
-    a candidate of each, its own row is not (of several rows with its id, one is
-    left out). Components become floor(scale * x); ties go to the smaller id.
+    a candidate of each, its own row is not; other rows with its id are, and each
+    query row is answered by itself, so several with one id have k rows each. Components become floor(scale * x); ties go to the smaller id.
     Vectors that are null or hold null or non-finite components, and rows with a
     null id, take no part; vectors of another length than the query's are not
     compared. Components beyond 64 bits saturate and scores beyond them wrap.
@@ -143,41 +145,49 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col:
     wanted = rows.filter("q").select("id", "num", "v")
     scanned = cut(_blocks(rows.select("id", "num", "v"), CANDIDATES, edges, k + 1))
     queries = cut(_blocks(wanted.repartition(max(1, -(-wanted.count() // QUERIES))), QUERIES))
-    order = Window.partitionBy("dims").orderBy("block")  # a row for each thousand queries
-    asked = queries.withColumn("number", F.row_number().over(order)).select("dims", "number", F.col("ids").alias("q_ids"), F.col("vals").alias("q_vals"))
+    order = Window.partitionBy("dims").orderBy("block")  # a number for each thousand queries, without their vectors
+    numbers = queries.select("dims", "block").withColumn("number", F.row_number().over(order))
+    asked = queries.join(F.broadcast(numbers), ["dims", "block"]).select("dims", "number", F.col("nums").alias("q_nums"), F.col("vals").alias("q_vals"))
     each = asked.groupBy("dims").agg(F.max("number").alias("most"))
     parts = F.broadcast(each)  # a row for each vector length
     left = scanned.join(parts, "dims").withColumn("number", F.explode(F.expr("sequence(1, most)"))).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(PARTS)))
     right = asked.withColumn("part", F.explode(F.array(*[F.lit(i).cast("long") for i in range(PARTS)])))
-    meetings = left.join(right, ["dims", "number", "part"]).select("dims", "q_ids", "q_vals", "ids", "nums", "vals")
+    meetings = left.join(right, ["dims", "number", "part"]).select("dims", "q_nums", "q_vals", "ids", "nums", "vals")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dims, q_ids, q_vals, ids, nums, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                q_ids, q_vals, ids, nums = (np.frombuffer(x, np.int64) for x in (q_ids, q_vals, ids, nums))
+            for dims, q_nums, q_vals, ids, nums, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                q_nums, q_vals, ids, nums = (np.frombuffer(x, np.int64) for x in (q_nums, q_vals, ids, nums))
                 low, width = edges[dims]
-                for at in range(0, len(q_ids), 128):
-                    found = scan_block(q_ids[at : at + 128], q_vals.reshape(-1, dims)[at : at + 128], ids, np.frombuffer(cells, np.uint8).reshape(-1, dims), low, width, k)
+                for at in range(0, len(q_nums), 128):
+                    found = scan_block(q_nums[at : at + 128], q_vals.reshape(-1, dims)[at : at + 128], ids, nums, np.frombuffer(cells, np.uint8).reshape(-1, dims), low, width, k)
                     counts = [len(r) for r, _, _ in found]
                     kept = np.concatenate([r for r, _, _ in found])
                     bound, apart = np.concatenate([b for _, b, _ in found]), np.repeat([a for *_, a in found], counts)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids[at : at + 128], counts)), pa.array(nums[kept]), pa.array(bound), pa.array(bound + apart)], ["query_id", "num", "lower", "upper"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_nums[at : at + 128], counts)), pa.array(nums[kept]), pa.array(bound), pa.array(bound + apart)], ["query", "num", "lower", "upper"])
 
-    bounds = cut(meetings.mapInArrow(meet, "query_id long, num long, lower double, upper double"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("lower").desc()))
-    floors = bounds.withColumn("place", place).filter(F.col("place") <= k).groupBy("query_id").agg(F.min("lower").alias("floor"))
-    needed = bounds.join(floors, "query_id").filter("upper >= floor").select("query_id", "num")
-    asks = wanted.select(F.col("id").alias("query_id"), F.col("v").alias("x")).dropDuplicates(["query_id"])
-    pairs = needed.join(rows.select("num", "id", "v"), "num").join(asks, "query_id").filter(F.size("x") == F.size("v"))
+    bounds = cut(meetings.mapInArrow(meet, "query long, num long, lower double, upper double"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("lower").desc()))
+    floors = bounds.withColumn("place", place).filter(F.col("place") <= k).groupBy("query").agg(F.min("lower").alias("floor"))
+    turn = F.row_number().over(Window.partitionBy("query").orderBy(F.col("upper").desc(), "num"))
+    needed = cut(bounds.join(floors, "query").filter("upper >= floor").select("query", "num", "upper", (turn <= FIRST * k).alias("first")))
+    asks = wanted.select(F.col("num").alias("query"), F.col("id").alias("query_id"), F.col("v").alias("x"))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in (2, 3))
-            starts = np.asarray(batch.column(2).offsets, dtype=np.int64)
+            x, y = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in (3, 4))
+            starts = np.asarray(batch.column(3).offsets, dtype=np.int64)
             sums = np.add.reduceat(x * y, (starts - starts[0])[:-1]) if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sums)], ["query_id", "id", "score"])
-
-    found = pairs.select("query_id", "id", "x", "v").mapInArrow(exact, "query_id long, id long, score long")
-    ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    best = found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums)], ["query", "query_id", "id", "score"])
+
+    def scores(wanted_pairs: DataFrame) -> DataFrame:
+        pairs = wanted_pairs.join(rows.select("num", "id", "v"), "num").join(asks, "query").filter(F.size("x") == F.size("v"))
+        return pairs.select("query", "query_id", "id", "x", "v").mapInArrow(exact, "query long, query_id long, id long, score long")
+
+    first = cut(scores(needed.filter("first")))
+    ranked = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "id"))
+    kth = first.withColumn("rank", ranked).filter(F.col("rank") == k).select("query", F.col("score").alias("kth"))
+    # what wasn't read may be among the k only if it can reach the k-th read; fewer than k were read only where there are no more
+    found = first.union(scores(needed.filter("not first").join(kth, "query").filter("upper >= kth")))
+    best = found.withColumn("rank", ranked).filter(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")

@@ -123,16 +123,31 @@ def test_top_k(spark, monkeypatch, sizes):
     assert topk.top_k(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_repeated_ids(spark):
+    """Rows of one id are rows: each query row is answered by itself, and only that row is no candidate of its own."""
+    rng = np.random.default_rng(9)
+    same, other = [0.5] * 4, [0.25, -0.5, 1.0, 0.0]
+    rows = [(20, same), (20, same), (40, same), (40, other), (60, other)] + [(int(i), v) for i, v in zip(rng.integers(1, 20, 60), rng.normal(size=(60, 4)).round(1).tolist())]
+    cells = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v in rows]
+    want = []
+    for at, (q, x) in enumerate(cells):
+        if q % 20 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(x, v, strict=True)), i) for place, (i, v) in enumerate(cells) if place != at)
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:10])]
+    df = spark.createDataFrame([(i, v, 0, 1) for i, v in rows], SCHEMA).repartition(3)
+    assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0, 10).collect())) == sorted(want)
+
+
 def test_bounds_hold():
     """Every score lies between the bounds that the cells give, and they are far closer than the scores' range."""
     rng = np.random.default_rng(8)
     values, queries = rng.integers(-5000, 5000, (300, 16)), rng.integers(-5000, 5000, (9, 16))
     low, width = np.full(16, -5000), np.full(16, 40)
     cells = ((values - low) // width).astype(np.uint8)
-    for q, (rows, lower, apart) in enumerate(topk.scan_block(np.full(9, -1), queries, np.arange(300), cells, low, width, 300)):
+    for q, (rows, lower, apart) in enumerate(topk.scan_block(np.full(9, -1), queries, np.arange(300), np.arange(300), cells, low, width, 300)):
         scores = values[rows] @ queries[q]
         assert len(rows) == 300 and (lower <= scores).all() and (scores <= lower + apart).all() and apart < np.ptp(scores) / 5
-    few = topk.scan_block(np.full(9, -1), queries, np.arange(300), cells, low, width, 5)
+    few = topk.scan_block(np.full(9, -1), queries, np.arange(300), np.arange(300), cells, low, width, 5)
     assert all(set(np.argsort(-(values @ q), kind="stable")[:5]) <= set(rows) and len(rows) < 40 for q, (rows, *_) in zip(queries, few, strict=True))
 
 
