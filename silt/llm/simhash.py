@@ -18,9 +18,9 @@ large, and none is treated otherwise for its size.
 
 ``similar_documents`` links documents by the similarity of their sets of word
 shingles. In any one order of all shingles two sets of similarity t share one of
-the first n - ceil(t n) + 1 of each; documents that do are candidates, whose
-fingerprints' tables discard most within a radius that such sets stay under, as
-parity sketches of the sets do without loss, and the whole sets verify the rest.
+the first n - ceil(t n) + 1 of each; documents that do are candidates. Parity sketches
+of the sets discard without loss, large sets' fingerprint tables discard beyond a
+radius that alike sets stay under, and the whole sets verify the rest.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from silt.llm.common import components, cut, hash_sample, release, slices
@@ -46,7 +46,8 @@ GROUP, SPLITS = 256, 3
 SAMPLE_ROWS, COMMON_IN, COMMON = 4_000, 3, 100_000
 #: Candidates of one shingle that are compared in one step; words of the bit set that tells whose sets are wanted.
 BLOCK, BITS = 512, 1 << 25
-#: Words of a set's parity sketch.
+#: Shingles from which on a set's fingerprint discards; words of a set's parity sketch.
+SURE = 100
 SKETCH = ["s0", "s1", "s2", "s3"]
 
 
@@ -301,9 +302,14 @@ def _meetings(rows: DataFrame, radius: int, tenths: int) -> DataFrame:
     part = F.when(F.col("large"), F.pmod(F.xxhash64("ref"), F.ceil(F.col("m") / BLOCK))).otherwise(F.pmod(F.xxhash64("root"), F.ceil(F.col("pool") / BLOCK)))
     packed = cut(placed.groupBy("key", own.alias("own"), part.alias("part")).agg(members))
     inner = packed.filter("own = -1 and size(members) > 1").select("members", F.lit(None).cast(packed.schema["members"].dataType).alias("others"))
-    left, right = packed.alias("l"), packed.alias("r")
-    after = (F.col("l.own") < F.col("r.own")) | ((F.col("l.own") == F.col("r.own")) & (F.col("l.part") < F.col("r.part")) & (F.col("l.own") == -1))
-    across = left.join(right, [F.col("l.key") == F.col("r.key"), after]).select("l.members", F.col("r.members").alias("others"))
+    # a key's blocks have numbers; each is sent to the numbers it meets, so a common key's meetings are dealt by (key, number)
+    along = Window.partitionBy("key").orderBy("own", "part")
+    numbers = packed.select("key", "own", "part").withColumn("number", F.row_number().over(along))
+    most = numbers.groupBy("key").agg(F.max("number").alias("most"))
+    numbered = cut(packed.join(numbers.join(most, "key"), ["key", "own", "part"]))
+    sent = numbered.filter("number < most").withColumn("other", F.explode(F.expr("sequence(number + 1, most)"))).select("key", F.col("other").alias("number"), "own", "members")
+    met = sent.join(numbered.select("key", "number", F.col("own").alias("theirs"), F.col("members").alias("others")), ["key", "number"])
+    across = met.filter("own <> theirs or own = -1").select("members", "others")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,7 +318,7 @@ def _meetings(rows: DataFrame, radius: int, tenths: int) -> DataFrame:
                 (a, fa, na, ra, *sa), (b, fb, nb, rb, *sb) = ([c.to_numpy() for c in side.values.flatten()] for side in (sides * 2)[:2])
                 may = (ra[:, None] != rb[None, :]) & (10 * np.minimum(na[:, None], nb[None, :]) >= tenths * np.maximum(na[:, None], nb[None, :]))
                 i, j = np.nonzero(np.triu(may, 1) if len(sides) == 1 else may)
-                i, j = discard(fa.view(np.uint64), fb.view(np.uint64), i, j, families, radius)
+                i, j = discard(fa.view(np.uint64), fb.view(np.uint64), i, j, families, radius, np.minimum(na[i], nb[j]) >= SURE)
                 # of sets of that similarity at most this share of the members is not in both
                 apart = sum((np.bitwise_count((x[i] ^ y[j]).view(np.uint64)).astype(np.int64) for x, y in zip(sa, sb, strict=True)), np.zeros(len(i), np.int64))
                 like = (10 + tenths) * apart <= (10 - tenths) * (na[i] + nb[j])
@@ -320,19 +326,20 @@ def _meetings(rows: DataFrame, radius: int, tenths: int) -> DataFrame:
                 swap = a[i] > b[j]
                 yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, x, y)) for x, y in ((b[j], a[i]), (a[i], b[j]), (nb[j], na[i]), (na[i], nb[j]))], ["a", "b", "na", "nb"])
 
-    met = few.union(inner).union(across).mapInArrow(meet, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("w"))
+    found = few.union(inner).union(across).mapInArrow(meet, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("w"))
     beyond = F.greatest(*[F.ceil(F.col(n) * tenths / 10) - 1 for n in ("na", "nb")])
-    return met.filter((10 + tenths) * (F.col("w") + beyond) >= tenths * (F.col("na") + F.col("nb"))).select("a", "b")
+    return found.filter((10 + tenths) * (F.col("w") + beyond) >= tenths * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def discard(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, families: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs a[i], b[j] those whose largest coordinate difference, and then whose distance, is within the radius."""
+def discard(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, families: list[np.ndarray], radius: int, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs a[i], b[j] those that are not ``sure``, or whose largest coordinate difference, and then whose distance, is within the radius."""
     left, right = distance_table(a, families), distance_table(b, families)
     out = [], []
     for at in range(0, len(i), 1 << 16):
-        x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-        near = np.abs(left[x] - right[y]).max(axis=1) <= radius
-        near[near] = np.bitwise_count(a[x[near]] ^ b[y[near]]) <= radius
+        x, y, told = (z[at : at + (1 << 16)] for z in (i, j, sure))
+        near = ~told | (np.abs(left[x] - right[y]).max(axis=1) <= radius)
+        close = near & told
+        near[close] = np.bitwise_count(a[x[close]] ^ b[y[close]]) <= radius
         out[0].append(x[near])
         out[1].append(y[near])
     return tuple(np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
@@ -345,9 +352,11 @@ def similar_documents(df: DataFrame, shingle: int = 5, tenths: int = 8, radius:
     that leads a group has its smallest id and, of that, the smallest hash. Equal
     sets always link; texts of fewer words than a shingle are one
     shingle, and null, empty and wordless texts are equal. ``radius`` only
-    discards: sets of similarity 0.8 differ in 9.7 of 64 bits on average with a
-    deviation of 2.9, so 26 loses less than one link in a million, while of
-    unlike documents one in twelve passes. Repeated rows stay, rows without an id
+    discards, and only sets of SURE shingles and more: a bit is what most of the
+    distinct shingles have, so two sets of similarity 0.8 differ in it with a
+    probability of 0.15 whatever they hold, in 9.7 of 64 bits on average; more
+    than 26 is one link in five million, while of unlike documents one in twelve
+    passes. Smaller sets scatter more and are told apart by their sketches alone, without loss. Repeated rows stay, rows without an id
     are left out, other columns are not read. An empty table gives no rows.
 
     The candidates of a shingle first meet one of them, that with the most
@@ -362,7 +371,7 @@ def similar_documents(df: DataFrame, shingle: int = 5, tenths: int = 8, radius:
     common = np.sort(np.array([r["key"] for r in often.orderBy(F.col("n").desc(), "key").limit(COMMON).collect()], np.int64))
     families, _ = references(ALL, 4)
 
-    rows = cut(_sets(docs, shingle, "digest long, n long, fp long, first array<long>, " + ", ".join(f"{c} long" for c in SKETCH), lambda h, s: (_digest(s), len(s), _signed(majority(h)), prefix(s, tenths, common), *parity(s))))
+    rows = cut(_sets(docs, shingle, "digest long, n long, fp long, first array<long>, " + ", ".join(f"{c} long" for c in SKETCH), lambda h, s: (_digest(s), len(s), _signed(majority(s.view(np.uint64))), prefix(s, tenths, common), *parity(s))))
     same = ["digest", "n"]
     texts = rows.groupBy(*same).agg(F.min(F.struct("id", "fp")).alias("low"), F.count("*").alias("copies"), F.first("first").alias("first"), *[F.first(c).alias(c) for c in SKETCH])
     # a row number that sorts texts of many copies first
@@ -376,8 +385,8 @@ def similar_documents(df: DataFrame, shingle: int = 5, tenths: int = 8, radius:
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(c).to_numpy().view(np.uint64) for c in (2, 3))
-            i = np.arange(len(a))
-            yield batch.take(pa.array(discard(a, b, i, i, families, radius)[0])).select([0, 1])
+            i, least = np.arange(len(a)), batch.column(4).to_numpy()
+            yield batch.take(pa.array(discard(a, b, i, i, families, radius, least >= SURE)[0])).select([0, 1])
 
     def close(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) within the radius those whose whole sets, made again from the texts of those alone, have the similarity."""
@@ -390,7 +399,7 @@ def similar_documents(df: DataFrame, shingle: int = 5, tenths: int = 8, radius:
 
     star = shared.filter("ref <> head").select(F.col("head").alias("a"), F.col("ref").alias("b")).distinct()
     star = star.join(told.toDF("a", "fa", "na"), "a").join(told.toDF("b", "fb", "nb"), "b").filter(10 * F.least("na", "nb") >= tenths * F.greatest("na", "nb"))
-    starred = close(cut(star.select("a", "b", "fa", "fb").mapInArrow(near, "a long, b long")))
+    starred = close(cut(star.select("a", "b", "fa", "fb", F.least("na", "nb").alias("least")).mapInArrow(near, "a long, b long")))
     roots = texts.select("ref", "fp", "n", *SKETCH).join(components(starred), F.col("ref") == F.col("node"), "left").select("ref", "fp", "n", F.coalesce("root", "ref").alias("root"), *SKETCH)
     apart = shared.select("key", "m", "ref").join(roots, "ref")
     found = starred.union(close(cut(_meetings(apart, radius, tenths))))

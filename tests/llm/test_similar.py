@@ -98,3 +98,28 @@ def test_parity_sketches_differ_in_no_more_bits_than_sets_in_members():
         two = np.unique(np.concatenate([one[k:], rng.integers(-(2**63), 2**63, k)]))
         bits = sum(int(x ^ y).bit_count() for x, y in zip(np.array(parity(one)).view(np.uint64).tolist(), np.array(parity(two)).view(np.uint64).tolist(), strict=True))
         assert bits <= len(np.setxor1d(one, two)) and (bits - len(np.setxor1d(one, two))) % 2 == 0
+
+
+def test_repeated_phrases(spark):
+    """Repeats change how often a shingle stands, not the set: similarity is of sets."""
+    base = [f"w{k}" for k in range(200)]
+    phrase = "all rights are reserved here".split()
+    rows = [(0, " ".join(base + phrase * 3)), (1, " ".join(base + phrase * 200 + ["end"])), (2, " ".join(phrase * 50)), (3, " ".join(phrase * 90 + ["so"])), (4, " ".join(base[:150] + phrase * 400))]
+    near, roots = brute_roots(word_sets(rows))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == roots and roots[1] == 0 and near
+
+
+def test_short_sets(spark):
+    """Pairs of 4 and 5 shingles at exactly 0.8, and others just below, are all found or all left."""
+    rows = []
+    for n in range(400):
+        words = [f"{c}{n}" for c in "abcdefghi"]
+        rows += [(10 * n, " ".join(words[:8])), (10 * n + 1, " ".join(words)), (10 * n + 2, " ".join(["z", *words[1:7]])), (10 * n + 3, " ".join(words[2:7]))]
+    sets = word_sets(rows)
+    want = {}
+    for n in range(400):
+        _, some = brute_roots({i: sets[i] for i in range(10 * n, 10 * n + 4)})
+        want |= some
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and sum(i != r for i, r in want.items()) >= 400
