@@ -37,18 +37,22 @@ def since(turns: DataFrame, stamps: DataFrame) -> DataFrame:
 def commits(spark: SparkSession, path: str) -> DataFrame:
     """Commits of a log: records end with 0x1e, a head of hash, time and subject is split by 0x1f, a zero-context diff follows.
 
-    A swap is one line removed and one added in its place.
+    A swap is one line removed and one added in its place; lines of files that
+    are deleted or only renamed say nothing.
     """
     raw = spark.read.option("lineSep", "\x1e").text(path).filter(F.trim("value") != "")
     parts = F.split(F.ltrim(F.regexp_replace("value", r"^\s+", "")), "\x1f", 3)
     head = raw.select(parts.alias("p")).filter("size(p) = 3").select(F.col("p")[0].alias("hash"), F.col("p")[1].cast("long").alias("at"), F.split(F.col("p")[2], "\n", 2).alias("rest"))
     body = head.select("hash", "at", F.col("rest")[0].alias("subject"), F.coalesce(F.get("rest", F.lit(1)), F.lit("")).alias("diff"))
-    lines = F.filter(F.split("diff", "\n"), lambda x: x.rlike(r"^[+-]") & ~x.rlike(r"^(\+\+\+|---)"))
-    removed = F.transform(F.filter(lines, lambda x: x.startswith("-")), lambda x: F.substr(x, F.lit(2)))
-    added = F.transform(F.filter(lines, lambda x: x.startswith("+")), lambda x: F.substr(x, F.lit(2)))
-    swaps = F.regexp_extract_all("diff", F.lit(r"(?m)^@@ [^\n]*@@[^\n]*\n-([^\n]*)\n\+([^\n]*)(?=\n@@|\ndiff|\n?\z)"), F.lit(0))
-    pairs = F.transform(swaps, lambda s: F.struct(F.regexp_extract(s, r"\n-([^\n]*)", 1).alias("removed"), F.regexp_extract(s, r"\n\+([^\n]*)", 1).alias("added")))
-    return body.select("hash", "at", "subject", removed.alias("removed"), added.alias("added"), pairs.alias("swaps"))
+    # a file's part of the diff; one that is deleted or only renamed names no file it became
+    parts = F.transform(F.slice(F.split("diff", r"(?m)^diff --git ", -1), 2, 1_000_000), lambda x: F.struct(F.regexp_extract(x, r"(?m)^\+\+\+ b/([^\n]*)", 1).alias("file"), F.slice(F.split(x, r"(?m)^@@[^\n]*\n?", -1), 2, 1_000_000).alias("hunks")))
+    of = lambda hunk, sign, head: F.transform(F.filter(F.split(hunk, "\n"), lambda x: x.startswith(sign) & ~x.startswith(head)), lambda x: F.substr(x, F.lit(2)))
+    each = lambda p: F.transform(p["hunks"], lambda h: F.struct(p["file"].alias("file"), of(h, "-", "---").alias("gone"), of(h, "+", "+++ ").alias("came")))
+    hunks = body.withColumn("hunks", F.flatten(F.transform(F.filter(parts, lambda p: p["file"] != ""), each)))
+    one = F.filter("hunks", lambda h: (F.size(h["gone"]) == 1) & (F.size(h["came"]) == 1))
+    swaps = F.transform(one, lambda h: F.struct(h["file"].alias("file"), h["gone"][0].alias("removed"), h["came"][0].alias("added")))
+    lines = lambda name: F.flatten(F.transform("hunks", lambda h: h[name]))
+    return hunks.select("hash", "at", "subject", lines("gone").alias("removed"), lines("came").alias("added"), swaps.alias("swaps"))
 
 
 def export_memories(memories: DataFrame, path: str) -> None:
