@@ -126,3 +126,13 @@ def test_log_reader(spark, tmp_path):
     got = {r["hash"]: r for r in journals.commits(spark, str(tmp_path / "log")).collect()}
     assert [tuple(s) for s in got["h1"]["swaps"]] == [("x.py", "old = 1", "new = 1")]
     assert got["h1"]["removed"] == ["old = 1", "a", "b"] and got["h1"]["added"] == ["new = 1", "c"] and got["h2"]["swaps"] == []
+
+
+def test_commit_evidence_query(spark, sf):
+    from silt.plans import distil_queries
+
+    log, held, files = distil_queries.city_log(spark, sf)
+    log = [(*r[:6], [tuple(s) for s in r["swaps"]]) for r in log.select("scope", "hash", "at", "subject", "removed", "added", "swaps").collect()]
+    want = plain(log, [tuple(r) for r in held.collect()], [tuple(r) for r in files.collect()])
+    got = distil_queries.commit_evidence(spark, sf).select("scope", "action", "id", "recorded", "text").collect()
+    assert sorted(map(tuple, got), key=str) == want and {r["action"] for r in got} >= {"replaced", "vanished"}

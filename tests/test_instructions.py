@@ -144,3 +144,13 @@ def test_a_long_turn(spark):
     df = spark.createDataFrame([(1, "word " * 100_000 + "remember we use uv"), (2, "é" * 300_000)], "i int, text string")
     got = {r["i"]: r["asked"] for r in instructions.read(df).collect()}
     assert got[1]["claim"] == "we use uv" and got[2] is None
+
+
+def test_asked_to_remember_query(spark, sf):
+    from silt.plans import distil_queries
+
+    turns = distil_queries.opened_turns(spark, sf).filter("role = 'user'").collect()
+    own = {(r["session"], r["cursor"], plain(line)) for r in turns for line in ["\n".join(x.strip().removeprefix("- ") for x in (r["text"] or "").split("\n") if x.strip() and not x.startswith(("    ", "\t")))] if plain(line)}
+    got = distil_queries.asked_to_remember(spark, sf).collect()
+    carried = {(r["session"], r["cursor"], r["claim"]) for r in got if not r["pinned"] or r["claim"] and (r["session"], r["cursor"], r["claim"]) in own}
+    assert own <= {(r["session"], r["cursor"], r["claim"]) for r in got} and len(carried) >= len(own) and any(r["label"] == "insisted" for r in got)
