@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from silt.functions import score, text
+from silt.functions import score, stems, text
+from silt.functions.words import STOPWORDS
 
 K1, B = 1.2, 0.75
 #: Rows of query terms that are broadcast at most; candidates kept for each query.
@@ -18,43 +19,58 @@ MOST_SENT, CANDIDATES = 10_000, 500
 TOKEN = "[^a-z0-9]+"
 
 
-def tokens_of(column: Column) -> Column:
-    """ASCII words, lower-cased and stemmed as the search does."""
-    return F.transform(F.filter(F.split(F.lower(column), TOKEN, -1), lambda w: w != ""), text.search_stem)
+def _crude_words(column: Column) -> Column:
+    return F.filter(F.split(F.lower(column), TOKEN, -1), lambda w: w != "")
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """Rows (qid, term): the distinct stemmed terms of each query, stopwords dropped."""
-    from silt.functions.words import STOPWORDS
-
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    kept = F.filter(F.split(F.lower("query"), TOKEN, -1), lambda w: (w != "") & ~F.array_contains(stop, w))
-    return queries.select("qid", F.explode(F.slice(F.array_distinct(F.transform(kept, text.search_stem)), 1, 64)).alias("term"))
+#: How words are found: the crude rule takes ASCII words and cuts suffixes; Porter's takes those of any script, folded and stemmed.
+WORDS = {"crude": _crude_words, "porter": stems.raw_words}
 
 
-def lengths(memories: DataFrame) -> DataFrame:
-    """One row: how many memories there are and their mean number of tokens."""
-    return memories.agg(F.count("*").alias("n_docs"), F.avg(F.size(tokens_of(F.col("text")))).alias("avg_len"))
+def query_terms(queries: DataFrame, stemmer: str = "crude") -> DataFrame:
+    """Rows (qid, term): the distinct stemmed terms of each query, stopwords dropped, the first 64."""
+    stop = F.array(*[F.lit(w) for w in STOPWORDS])
+    kept = F.filter(WORDS[stemmer](F.col("query")), lambda w: ~F.array_contains(stop, w))
+    if stemmer == "crude":
+        return queries.select("qid", F.explode(F.slice(F.array_distinct(F.transform(kept, text.search_stem)), 1, 64)).alias("term"))
+    asked = queries.select("qid", F.posexplode(kept).alias("pos", "word"))
+    forms = asked.select("word").distinct().withColumn("term", stems.stem_of("word"))
+    first = asked.join(forms, "word").groupBy("qid", "term").agg(F.min("pos").alias("pos"))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("pos"))
+    return first.withColumn("place", place).filter("place <= 64").select("qid", "term")
+
+
+def _occurrences(memories: DataFrame, wanted: DataFrame, stemmer: str) -> DataFrame:
+    """Rows (id, len, term, tf) of the terms wanted: (term).
+
+    Words are parted once. With Porter's rule each distinct word of the table is
+    stemmed once, and the forms that no query asks for are gone before the texts'
+    own words meet them.
+    """
+    words = memories.select("id", WORDS[stemmer](F.col("text")).alias("words")).select("id", F.size("words").alias("len"), F.explode("words").alias("word"))
+    if stemmer == "crude":
+        held = words.withColumn("term", text.search_stem(F.col("word"))).join(wanted, "term")
+    else:
+        forms = words.select("word").distinct().withColumn("term", stems.stem_of("word")).join(wanted, "term")
+        held = words.join(forms, "word")
+    return held.groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(memories: DataFrame, queries: DataFrame, candidates: int = CANDIDATES) -> DataFrame:
+def bm25(memories: DataFrame, queries: DataFrame, candidates: int = CANDIDATES, stemmer: str = "crude") -> DataFrame:
     """Rows (qid, id, rank): every memory that holds a term of a query; rank is negative, smaller is better.
 
     Tokens that no query asks for are dropped before anything is shuffled, so the
-    shuffle carries matches, not the corpus.
+    shuffle carries matches, not the corpus. How many memories there are and how
+    long they are on average is one row beside the plan. A null text holds nothing.
     """
-    terms = query_terms(queries)
-    small = terms.count() <= MOST_SENT
-    sent = F.broadcast if small else (lambda d: d)
-    stats = lengths(memories).first()
-    n_docs, avg_len = stats["n_docs"], stats["avg_len"] or 1.0
-    wanted = terms.select("term").distinct()
-    words = memories.select("id", tokens_of(F.col("text")).alias("words")).select("id", F.size("words").alias("len"), F.explode("words").alias("term"))
-    held = words.join(sent(wanted), "term").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-    df = held.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weighed = terms.join(sent(df.select("term", idf.alias("idf"))), "term")
-    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg_len))
+    terms = query_terms(queries, stemmer)
+    sent = F.broadcast if terms.count() <= MOST_SENT else (lambda d: d)
+    stats = memories.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg(F.size(WORDS[stemmer](F.coalesce("text", F.lit(""))))), F.lit(1.0)).alias("avg_len"))
+    held = _occurrences(memories, sent(terms.select("term").distinct()), stemmer)
+    df = held.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # one row
+    idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    weighed = terms.join(sent(df.select("term", idf.alias("idf"), "avg_len")), "term")
+    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.greatest("avg_len", F.lit(1e-9))))
     ranked = held.join(sent(weighed), "term").groupBy("qid", "id").agg(F.round(-F.sum(gain), 5).alias("rank"))
     place = F.row_number().over(Window.partitionBy("qid").orderBy("rank", "id"))
     return ranked.withColumn("place", place).filter(F.col("place") <= candidates)
@@ -106,11 +122,17 @@ def prefix_matches(turns: DataFrame, queries: DataFrame) -> DataFrame:
     return both.groupBy("qid", "session", "cursor", "n").agg(F.countDistinct("term").alias("hits")).filter("hits = n").select("qid", "session", "cursor")
 
 
-def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Rows (qid, place, id, cosine): the k nearest vectors of each query vector, by cosine in 0..1."""
-    few = queries.count() <= MOST_SENT // 10
-    asked = queries.select(F.col("id").alias("qid"), F.col("vector").alias("qv"))
-    pairs = vectors.join(F.broadcast(asked) if few else asked, F.col("id") != F.col("qid"))
-    scored = pairs.select("qid", "id", F.round(score.cosine01(F.col("qv"), F.col("vector")), 5).alias("cosine")).filter("cosine is not null")
+def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 10, blocks: int = 16) -> DataFrame:
+    """Rows (qid, place, id, cosine): the k nearest vectors of each query vector, by cosine in 0..1.
+
+    Both sides are cut into blocks by id, and a block of vectors meets each block of
+    queries: an equi-join on the pair of blocks, whose tasks hold a part of either.
+    A block's own best k go on to the ranking of all.
+    """
+    numbers = F.array(*[F.lit(i) for i in range(blocks)])
+    asked = queries.select(F.col("id").alias("qid"), F.col("vector").alias("qv"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("qb")).withColumn("vb", F.explode(numbers))
+    held = vectors.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("vb")).withColumn("qb", F.explode(numbers))
+    pairs = held.join(asked, ["vb", "qb"]).filter("id <> qid")
+    scored = pairs.select("qid", "vb", "id", F.round(score.cosine01(F.col("qv"), F.col("vector")), 5).alias("cosine")).filter("cosine is not null")
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("cosine").desc(), "id"))
-    return scored.withColumn("place", place).filter(F.col("place") <= k)
+    return scored.withColumn("place", place).filter(F.col("place") <= k).drop("vb")
