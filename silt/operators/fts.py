@@ -40,20 +40,26 @@ def query_terms(queries: DataFrame, stemmer: str = "crude") -> DataFrame:
     return first.withColumn("place", place).filter("place <= 64").select("qid", "term")
 
 
-def _occurrences(memories: DataFrame, wanted: DataFrame, stemmer: str) -> DataFrame:
-    """Rows (id, len, term, tf) of the terms wanted: (term).
+def occurrences(memories: DataFrame, wanted: DataFrame, stemmer: str, more: list[str] | None = None) -> DataFrame:
+    """Rows (id, len, term, tf, and the columns ``more``) of the terms wanted: (term).
 
     Words are parted once. With Porter's rule each distinct word of the table is
     stemmed once, and the forms that no query asks for are gone before the texts'
     own words meet them.
     """
-    words = memories.select("id", WORDS[stemmer](F.col("text")).alias("words")).select("id", F.size("words").alias("len"), F.explode("words").alias("word"))
+    key = ["id", *(more or [])]
+    words = memories.select(*key, WORDS[stemmer](F.col("text")).alias("words")).select(*key, F.size("words").alias("len"), F.explode("words").alias("word"))
     if stemmer == "crude":
         held = words.withColumn("term", text.search_stem(F.col("word"))).join(wanted, "term")
     else:
         forms = words.select("word").distinct().withColumn("term", stems.stem_of("word")).join(wanted, "term")
         held = words.join(forms, "word")
-    return held.groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    return held.groupBy(*key, "len", "term").agg(F.count("*").alias("tf"))
+
+
+def gain() -> Column:
+    """What one term adds to a memory's rank, of the columns idf, tf, len and avg_len."""
+    return F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.greatest("avg_len", F.lit(1e-9))))
 
 
 def bm25(memories: DataFrame, queries: DataFrame, candidates: int = CANDIDATES, stemmer: str = "crude") -> DataFrame:
@@ -66,12 +72,11 @@ def bm25(memories: DataFrame, queries: DataFrame, candidates: int = CANDIDATES,
     terms = query_terms(queries, stemmer)
     sent = F.broadcast if terms.count() <= MOST_SENT else (lambda d: d)
     stats = memories.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg(F.size(WORDS[stemmer](F.coalesce("text", F.lit(""))))), F.lit(1.0)).alias("avg_len"))
-    held = _occurrences(memories, sent(terms.select("term").distinct()), stemmer)
+    held = occurrences(memories, sent(terms.select("term").distinct()), stemmer)
     df = held.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # one row
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weighed = terms.join(sent(df.select("term", idf.alias("idf"), "avg_len")), "term")
-    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.greatest("avg_len", F.lit(1e-9))))
-    ranked = held.join(sent(weighed), "term").groupBy("qid", "id").agg(F.round(-F.sum(gain), 5).alias("rank"))
+    ranked = held.join(sent(weighed), "term").groupBy("qid", "id").agg(F.round(-F.sum(gain()), 5).alias("rank"))
     place = F.row_number().over(Window.partitionBy("qid").orderBy("rank", "id"))
     return ranked.withColumn("place", place).filter(F.col("place") <= candidates)
 

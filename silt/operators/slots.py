@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from silt.operators.graph import cut
+
 SLOT = ["subject", "predicate"]
 
 
@@ -81,7 +83,7 @@ def dispute_fixpoint(edges: DataFrame, base: DataFrame, passes: int = 16, tolera
     for _ in range(passes):
         pressed = edges.join(now.select(F.col("memory").alias("src"), "confidence"), "src").groupBy(F.col("dst").alias("memory")).agg(F.sum("confidence").alias("d"))
         step = now.join(pressed, "memory", "left").select("memory", "base", F.col("confidence").alias("was"), (F.col("base") * (1 - F.coalesce(F.col("d") / (F.col("d") + 1), F.lit(0.0)))).alias("confidence"))
-        step = step.checkpoint()
+        step = cut(step)
         moved = step.agg(F.max(F.abs(F.col("confidence") - F.col("was")))).first()[0]
         now = step.select("memory", "base", "confidence")
         if moved is None or moved <= tolerance:

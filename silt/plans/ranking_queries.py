@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silt.functions import words as W
-from silt.operators import context, fts, relations, slots
+from silt.operators import context, fts, relations, search, slots
 from silt.plans.registry import array, query
 from silt.sources import tables
 from silt.sources.tables import NOW
@@ -107,7 +107,6 @@ def derived_closure(spark, sf_dir):
     raw = tables.table(spark, sf_dir, "orders")
     parent = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     links = raw.select(F.col("o_orderkey").alias("src"), F.lit("derived_from").alias("rel"), parent.alias("dst")).filter("dst is not null")
-    _ensure_checkpoints(spark)
     return relations.descendants(links, raw.select(F.col("o_orderkey").alias("id")))
 
 
@@ -124,16 +123,26 @@ def dispute_fixpoint(spark, sf_dir):
     """Confidence of contradicting answers, each pressed by all others of its slot."""
     from silt.plans.evidence_queries import links
 
-    _ensure_checkpoints(spark)
     found = links(spark, sf_dir).filter("rel = 'contradicts'").select("src", "dst")
     base = tables.slots(spark, sf_dir).select(F.col("id").alias("memory"), ((F.col("id") % 10 + 1) / 10.0).alias("confidence"))
     return slots.dispute_fixpoint(found, base)
 
 
-def _ensure_checkpoints(spark: SparkSession) -> None:
-    """A checkpoint folder, where the session names none."""
-    import tempfile
+@query()
+def porter_search(spark, sf_dir):
+    """The ten best memories of each query by bm25 over folded, Porter-stemmed words."""
+    return fts.bm25(tables.memories(spark, sf_dir), asked(spark, sf_dir), 10, stemmer="porter").select("qid", F.col("place").cast("long").alias("place"), "id", "rank")
+
 
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+@query()
+def recall_full(spark, sf_dir):
+    """Benchmark passages asked of two stores each, in shapes that walk and read the archive, with vectors where there are any."""
+    vectors = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    held = tables.memories(spark, sf_dir).withColumns({"store": F.col("scope"), "confidence": F.col("id") % 10 / 10.0}).join(vectors, "id", "left")
+    shapes = F.array(*[F.lit(s) for s in ("", "why ", "what do we know of ", "like this ")])
+    passages = tables.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.concat(F.element_at(shapes, (F.col("item_id") % 4 + 1).cast("int")), "text").alias("query"))
+    questions = passages.join(vectors.withColumnRenamed("id", "qid"), "qid", "left")
+    stores = passages.select("qid", F.concat(F.lit("src"), (F.col("qid") % 20).cast("string")).alias("store"), F.lit(True).alias("near")).union(passages.select("qid", F.lit("src0"), F.lit(False)))
+    near = relations.mirrored(relations.temporal(tables.memories(spark, sf_dir).withColumnRenamed("observed_at", "at")))
+    out = search.recall(held, questions, stores, near, F.lit(NOW), 20)
+    return out.withColumn("place", F.col("place").cast("long"))

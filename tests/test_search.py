@@ -81,3 +81,58 @@ def test_cosine_top(spark, blocks):
     for q in range(0, 60, 10):
         best = sorted((-round(float(unit[q] @ unit[i] + 1) / 2, 5), i) for i in range(60) if i != q)[:4]
         assert [r["id"] for r in sorted((r for r in got if r["qid"] == q), key=lambda r: r["place"])] == [i for _, i in best]
+
+
+MEM = "id long, store string, scope string, text string, tier string, importance string, access_count long, pinned boolean, confidence double, observed_at long, valid_to long, archived_at long, vector array<double>"
+
+
+def memory(i, said, store="p", confidence=0.5, closed=None, vector=None):
+    return (i, store, store, said, "fact", "normal", i % 3, False, confidence, 1000, closed, None, vector)
+
+
+def ask_all(spark, memories, queries, asks, edges, **more):
+    from pyspark.sql import functions as F
+
+    from silt.operators import search
+
+    out = search.recall(spark.createDataFrame(memories, MEM), spark.createDataFrame(queries, "qid long, query string, vector array<double>"), spark.createDataFrame(asks, "qid long, store string, near boolean"), spark.createDataFrame(edges, "src long, dst long, kind string, weight double"), F.lit(90_000), **more)
+    got = {}
+    for r in out.orderBy("qid", "place").collect():
+        got.setdefault(r["qid"], []).append(r)
+    return got
+
+
+def test_recall_words_entities_vectors_and_walks(spark):
+    held = [memory(i, f"the deploy script number {i} restarts workers") for i in range(12)]
+    held += [memory(20, "Postgres holds the queue", vector=[1.0, 0.0]), memory(21, "nothing alike", vector=[0.9, 0.1]), memory(22, "nor this", vector=[-1.0, 0.0]), memory(23, "the deploy was in `make ship`", closed=5)]
+    held += [memory(30, "deploying workers elsewhere", store="g"), memory(40, "far away"), memory(41, "farther"), memory(42, "low trust", confidence=0.05)]
+    queries = [(1, "deploy scripts", None), (2, "zzz", [1.0, 0.0]), (3, "why did the deploy of `make ship` break", None), (4, "what about Postgres", None), (5, None, None), (6, "zzz", None), (7, "deploy", [1.0, 0.0])]
+    asks = [(q, "p", True) for q in range(1, 8)] + [(1, "g", False)]
+    edges = [(2, 40, "caused", 0.9), (2, 41, "similar-to", 0.9), (2, 42, "caused", 0.8), (23, 41, "before", 0.3), (1, 30, "caused", 0.1)]
+    got = ask_all(spark, held, queries, asks, edges, floor=0.1)
+    ids = {q: [r["id"] for r in rows] for q, rows in got.items()}
+    assert {30, *range(12)} == set(ids[1]) and {r["store"] for r in got[1]} == {"p", "g"} and ids[1][-1] == 30
+    # a thin query with a vector meets the store's trusted memories, nearest first; without one it finds nothing
+    assert ids[2][:2] == [20, 21] and {r["via"] for r in got[2]} == {"vector"} and 5 not in ids and 6 not in ids and 42 not in ids[2] and 23 not in ids[2]
+    # a causal question reads the archive and walks along causes, to what is trusted
+    assert 23 in ids[3] and (40, "walk") in {(r["id"], r["via"]) for r in got[3]} and 42 not in ids[3]
+    assert (20, 0.0) in {(r["id"], 0.0) for r in got[4] if r["entity"] > 0}
+    # not thin: no memory comes in by vector alone
+    assert set(ids[7]) == set(range(12))
+
+
+def test_recall_of_one_store_scores_words_as_the_plain_search(spark):
+    rng = __import__("random").Random(4)
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    held = [memory(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9))), confidence=rng.random()) for i in range(80)] + [memory(90, None), memory(91, "alpha", store="q")]
+    queries = [(i, f"{a} {b}", None) for i, (a, b) in enumerate(zip(words, words[1:], strict=False))]
+    got = ask_all(spark, held, queries, [(q[0], "p", False) for q in queries], [], limit=500)
+    mine = [(r[0], r[3]) for r in held if r[1] == "p"]
+    plain_lexical = {(r["qid"], r["id"]): round(r["lexical"], 6) for r in fts.lexical(spark.createDataFrame(mine, "id long, text string"), spark.createDataFrame([q[:2] for q in queries], "qid long, query string")).collect()}
+    assert {(q, r["id"]): r["lexical"] for q, rows in got.items() for r in rows if r["lexical"] > 0} == {k: v for k, v in plain_lexical.items() if v > 0}
+    assert all([r["score"] for r in rows] == sorted((r["score"] for r in rows), reverse=True) for rows in got.values())
+
+
+def test_recall_of_nothing(spark):
+    held = [memory(1, "alpha")]
+    assert ask_all(spark, [], [(1, "alpha", [1.0])], [(1, "p", True)], []) == {} and ask_all(spark, held, [], [], []) == {} and ask_all(spark, held, [(1, "alpha", None)], [(1, "other", True)], []) == {}
