@@ -28,6 +28,8 @@ from silt.llm.common import WordTable, cut, flat, held, row_numbers, slices, spr
 
 #: Parts that the pieces of one length are dealt into for ranking.
 SALTS = 512
+#: Distinct words that a worker keeps, and bytes of text it segments in one step.
+WORDS, STEP = 250_000, 4 << 20
 
 
 #: The tokenizer's own split of a word; used only for words of these characters, on which all Unicode versions agree.
@@ -94,7 +96,7 @@ def byte_letters() -> dict[str, int]:
 
 def word_table(tokenizer_path: str) -> WordTable:
     """A worker's distinct words. Tokens never cross a space, so words are segmented alone."""
-    return held(("words", tokenizer_path), lambda: WordTable(Segmenter(tokenizer_path), limit=450_000))
+    return held(("words", tokenizer_path), lambda: WordTable(Segmenter(tokenizer_path), limit=WORDS))
 
 
 def token_ids(texts: pa.Array, known: WordTable) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +179,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, end_id: int, window: int, p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, made = word_table(tokenizer_path), 0
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, STEP):
                 ids, bounds = token_ids(texts_of(part, 1), known)
                 rows, starts, lengths, totals, extra = [], [], [], [], []
                 for row, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
