@@ -2,58 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silt.functions import text
 from silt.operators import evidence
-
-#: Leaders that a cluster is compared with: a fixed value that results depend on.
-COMPARED = 300
+from silt.operators.graph import components, cut
+from silt.operators.remember import containing, revises
 
 
 def lead_clusters(clusters: DataFrame) -> DataFrame:
     """Clusters (scope, content_hash, text, first_seen, n_sessions) with the leader each joins, oldest and best established first.
 
-    Greedy and not transitive, so it runs in order within a scope; a scope's rows
-    are its recurring claims, not its memories. Content words and polarity are
-    columns by then.
+    A cluster joins the first leader that states the same: one's content words hold
+    the other's, three fifths and more are shared, both deny or neither does, and
+    none only changes the other's value. That is greedy and not transitive, so it
+    runs in order - but only among clusters that some chain of such contents
+    connects. A text without content words leads itself.
     """
-    held = clusters.withColumns({"words": text.content_words(F.col("text")), "no": text.negative(F.col("text")), "clause": text.clause(F.col("text"))})
-
-    def revises(a: list[str], b: list[str]) -> bool:
-        n = 0
-        while n < min(len(a), len(b)) and a[n] == b[n]:
-            n += 1
-        x, y, tail = a[n:], b[n:], 0
-        while tail < min(len(x), len(y)) and x[-1 - tail] == y[-1 - tail]:
-            tail += 1
-        p, q = len(x) - tail, len(y) - tail
-        if min(len(a), len(b)) < 2 or n < 2 or 2 * (n + tail) < min(len(a), len(b)) or p + q == 0:
-            return False
-        return max(p, q) <= 3 if min(p, q) == 0 else max(p, q) <= 2
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_sessions", "first_seen", "content_hash"], ascending=[False, True, True])
-        leaders, out = [], []
-        for row in pdf.itertuples():
-            mine = set(row.words)
-            found = None
-            for words, no, clause, name in leaders[:COMPARED]:
-                both = len(mine & words)
-                same = mine and words and 5 * both >= 3 * (len(mine) + len(words) - both)
-                if same and no == row.no and not (mine - words and words - mine) and not revises(list(clause), list(row.clause)):
-                    found = name
-                    break
-            if found is None:
-                found = row.content_hash
-                leaders.append((mine, row.no, row.clause, found))
-            out.append(found)
-        return pdf.assign(leader=out)[["scope", "content_hash", "leader", "first_seen", "n_sessions"]]
+    held = clusters.withColumns({"words": F.array_sort(text.content_words(F.col("text"))), "no": text.negative(F.col("text")), "clause": text.clause(F.col("text"))})
+    held = held.withColumns({"part": F.to_json(F.array(F.col("scope").cast("string"), F.col("no").cast("string"))), "node": F.sha2(F.to_json(F.struct("scope", "no", "words")), 256)})
+    held = cut(held.select("scope", "content_hash", "first_seen", "n_sessions", "words", "no", "clause", "part", "node"))
+    sets = held.filter("size(words) > 0").select("part", F.col("node").alias("id"), "words").distinct()
+    groups = components(containing(sets).select("a", "b"))
+    placed = held.filter("size(words) > 0").join(groups, "node", "left").withColumn("group", F.coalesce("root", "node"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, leaders = None, []
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples():
+                if row.group != now:
+                    now, leaders = row.group, []
+                mine, clause = set(row.words), list(row.clause)
+                found = next((name for words, said, name in leaders if (mine <= words or words <= mine) and 5 * len(mine & words) >= 3 * len(mine | words) and not revises(said, clause)), None)
+                if found is None:
+                    found = row.content_hash
+                    leaders.append((mine, clause, found))
+                out.append(found)
+            yield pdf.assign(leader=out)[["scope", "content_hash", "leader", "first_seen", "n_sessions"]]
 
     schema = f"scope {clusters.schema['scope'].dataType.simpleString()}, content_hash string, leader string, first_seen long, n_sessions long"
-    return held.groupBy("scope").applyInPandas(run, schema)
+    ordered = placed.repartition("group").sortWithinPartitions("group", F.col("n_sessions").desc(), "first_seen", "content_hash")
+    joined = ordered.select("group", "scope", "content_hash", "first_seen", "n_sessions", "words", "clause").mapInPandas(run, schema)
+    alone = held.filter("size(words) = 0").select("scope", "content_hash", F.col("content_hash").alias("leader"), "first_seen", "n_sessions")
+    return joined.union(alone)
 
 
 def consolidate(memories: DataFrame, least_sessions: int = 2) -> DataFrame:

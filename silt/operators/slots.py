@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from silt.operators.graph import cut
+from silt.operators.graph import components, cut
 
 SLOT = ["subject", "predicate"]
 
@@ -89,3 +89,13 @@ def dispute_fixpoint(edges: DataFrame, base: DataFrame, passes: int = 16, tolera
         if moved is None or moved <= tolerance:
             break
     return now.select("memory", "confidence")
+
+
+def dispute_groups(links: DataFrame) -> DataFrame:
+    """Rows (memory, dispute, members): each memory that contradicts another, the smallest id of all it is connected with, and how many they are.
+
+    Groups are whole, however large; what settles a group should say how many of it it looks at.
+    """
+    named = components(links.filter("rel = 'contradicts'").select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    sizes = named.groupBy("root").agg(F.count("*").alias("members"))
+    return named.join(sizes, "root").select(F.col("node").alias("memory"), F.col("root").alias("dispute"), "members")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from silt.functions import score, text
@@ -305,3 +306,14 @@ def landing_claims(spark, sf_dir):
     rows = tables.memories(spark, sf_dir)
     new = rows.filter("id % 4 <> 0").select(F.col("id").alias("cid"), F.col("observed_at").alias("at"), "scope", "tier", "text", F.when(F.col("access_count") < 4, 0.25).otherwise(1.0).alias("weight"), F.when(F.col("tier") == "habit", F.col("text")).alias("trigger"))
     return remember.actions(new, rows.filter("id % 4 = 0").withColumn("trigger", F.when(F.col("tier") == "habit", F.col("text"))))
+
+
+@query("""WITH s AS (SELECT o_orderkey AS id, o_custkey AS c, o_orderstatus, lag(o_orderkey) OVER w AS was, lag(o_orderstatus) OVER w AS before FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+ g AS (SELECT *, sum(CASE WHEN before IS NULL OR before = o_orderstatus THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY n) AS island FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY (SELECT o_orderdate FROM orders o WHERE o.o_orderkey = s.id), id) AS n FROM s))
+ SELECT id AS memory, min(id) OVER (PARTITION BY c, island) AS dispute, count(*) OVER (PARTITION BY c, island) AS members FROM g QUALIFY members > 1""")
+def dispute_groups(spark, sf_dir):
+    """The groups in which memories contradict each other, through however many others: an order and the customer's next of another status."""
+    raw = tables.table(spark, sf_dir, "orders")
+    along = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    next_ = raw.select(F.col("o_orderkey").alias("src"), "o_orderstatus", F.lead("o_orderkey").over(along).alias("dst"), F.lead("o_orderstatus").over(along).alias("then"))
+    return slots.dispute_groups(next_.filter("then <> o_orderstatus").select("src", F.lit("contradicts").alias("rel"), "dst"))

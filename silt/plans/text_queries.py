@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from silt.functions import text
 from silt.functions import words as W
-from silt.operators import context, evidence, relations
+from silt.operators import context, evidence, relations, remember
 from silt.plans.registry import array, query
 from silt.sources import tables
 
@@ -146,3 +146,19 @@ def external_domains(spark, sf_dir):
     """The trust domain of each page: a digest of its host."""
     host = F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)
     return tables.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), host.alias("host"), F.concat(F.lit("ext:"), F.substring(F.sha2(host, 256), 1, 12)).alias("domain"))
+
+
+_NEGATIVE = f"len(list_filter({NORMAL}, lambda w: {NEGATES})) > 0"
+
+
+@query(f"""WITH {DOC}, c AS (SELECT scope, {_NEGATIVE} AS denied, list_sort(list_distinct(list_filter({CONTENT}, lambda s: s <> ''))) AS ws, min(id) AS id, count(*) AS copies FROM doc GROUP BY ALL)
+ SELECT a.scope, a.id AS a, b.id AS b, len(a.ws)::INT AS na, len(b.ws)::INT AS nb, a.copies * b.copies AS pairs FROM c a JOIN c b ON a.scope = b.scope AND a.denied = b.denied AND a.id <> b.id AND len(a.ws) > 0 AND 5 * len(a.ws) >= 3 * len(b.ws) AND len(a.ws) <= len(b.ws) AND list_has_all(b.ws, a.ws)""")
+def restated_contents(spark, sf_dir):
+    """Contents of texts that hold another's whole, three fifths at least: what may restate a claim. Texts about the same are one, by their smallest id."""
+    said = tables.memories(spark, sf_dir).select("scope", "id", text.negative(F.col("text")).alias("denied"), F.array_sort(text.content_words(F.col("text"))).alias("words"))
+    once = said.groupBy("scope", "denied", "words").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    part = F.concat_ws("|", "scope", F.col("denied").cast("string"))
+    pairs = remember.containing(once.select(part.alias("part"), "id", "words"))
+    named = once.select("scope", "id", "copies")
+    both = pairs.join(named.toDF("scope", "a", "ca"), "a").join(named.select(F.col("id").alias("b"), F.col("copies").alias("cb")), "b")
+    return both.select("scope", "a", "b", "na", "nb", (F.col("ca") * F.col("cb")).alias("pairs"))

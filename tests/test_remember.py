@@ -200,3 +200,47 @@ def test_below_reads_its_own_tree(spark):
     df = spark.createDataFrame(links, "parent long, child long")
     root = spark.createDataFrame([(0,)], "root long")
     assert graph.below(df, root).count() == 1001 and graph.reached(df, root).count() == 1001
+
+
+def test_lead_clusters_as_one_scope_at_a_time(spark):
+    """Groups of connected contents give the leaders that a walk over the whole scope gives."""
+    from silt.operators import consolidation
+
+    rng = random.Random(12)
+    words = "deploy the api with fly staging never box port push main".split()
+    said = [(rng.choice("st"), f"h{i:03}", " ".join(rng.choice(words) for _ in range(rng.randrange(0, 6))), rng.randrange(50), rng.randrange(1, 4)) for i in range(250)]
+    df = spark.createDataFrame(said, "scope string, content_hash string, text string, first_seen long, n_sessions long")
+    got = {r["content_hash"]: r["leader"] for r in consolidation.lead_clusters(df).collect()}
+    marks = {r["content_hash"]: r for r in df.select("content_hash", text.content_words(F.col("text")).alias("w"), text.negative(F.col("text")).alias("no"), text.clause(F.col("text")).alias("c")).collect()}
+    want, leaders = {}, {}
+    for scope, name, *_ in sorted(said, key=lambda r: (-r[4], r[3], r[1])):
+        m = marks[name]
+        mine = set(m["w"])
+        for lead in leaders.setdefault(scope, []):
+            o = marks[lead]
+            theirs = set(o["w"])
+            if mine and theirs and o["no"] == m["no"] and not (mine - theirs and theirs - mine) and 5 * len(mine & theirs) >= 3 * len(mine | theirs) and not remember.revises(o["c"], m["c"]):
+                want[name] = lead
+                break
+        else:
+            want[name] = name
+            leaders[scope].append(name)
+    assert got == want and len(set(want.values())) < len(want) - 10
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 400)] + [(5, 5), (None, 3)]
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    at = {}
+
+    def root(x):
+        while at.setdefault(x, x) != x:
+            x = at[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = sorted((root(a), root(b)))
+            at[y] = x
+    assert got == {x: root(x) for x in at}
