@@ -114,3 +114,13 @@ def test_evidence_is_all_or_nothing(spark):
     cited = [("a", *turns[0][:2], mark(turns[0]), "port is"), ("a", *turns[1][:2], mark(turns[1]), None), ("b", *turns[0][:2], mark(turns[0]), None), ("b", 9, 9, "x", None), ("c", *turns[0][:2], "amended", None), ("d", *turns[0][:2], mark(turns[0]), "not there"), ("e", *turns[0][:2], mark(turns[0]), ""), ("f", None, None, None, None), ("g", *turns[2][:2], mark(turns[2]), None), ("h", *turns[3][:2], mark(turns[3]), None)]
     got = {r["note"]: (r["intact"], r["eligible"], r["sources"]) for r in notelog.restored(spark.createDataFrame(cited, "note string, session long, cursor long, fingerprint string, quote string"), spark.createDataFrame(turns, "session long, cursor long, role string, kind string, tool string, text string")).collect()}
     assert got == {"a": (True, 1, 2), "b": (False, 1, 2), "c": (False, 0, 1), "d": (False, 0, 1), "e": (False, 0, 1), "f": (False, 0, 1), "g": (True, 0, 1), "h": (True, 1, 1)}
+
+
+def test_note_log_query(spark, sf):
+    from silt.plans import distil_queries
+
+    rows = [tuple(r) for r in distil_queries.change_log(spark, sf).select("scope", "n", "kind", "op", "note", "change", "title", "text", "description", "pinned", "intact", "at").collect()]
+    assert all(r[0] is not None for r in rows)
+    notes, _, _ = check(spark, rows, False)
+    got = distil_queries.note_log(spark, sf).collect()
+    assert {(r["scope"], r["note"]): r["text"] for r in got} == {k: v["text"] for k, v in notes.items()} and len(got) > 50
