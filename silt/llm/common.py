@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import itertools
 import tempfile
 from collections.abc import Iterator
@@ -92,6 +94,7 @@ def held(key, make):
     """The worker's table of this key, made if it isn't there; one of another key goes."""
     if key not in _held:
         _held.clear()
+        give_back()
         _held[key] = make()
     return _held[key]
 
@@ -100,7 +103,16 @@ def release() -> None:
     """Let go of the worker's table: an operator without one shouldn't have to fit beside it."""
     if _held:
         _held.clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
+
+
+def give_back() -> None:
+    """Return what a worker has freed to the system; workers live on between stages, and so would the memory of the last one."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
 
 
 class WordTable:

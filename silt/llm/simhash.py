@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from silt.llm.common import components, cut, hash_sample, release, slices
+from silt.llm.common import components, cut, give_back, hash_sample, release, slices
 
 _SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -255,6 +255,7 @@ def _sets(df: DataFrame, shingle: int, schema: str, row, wanted: np.ndarray | No
                 hashes = shingle_hashes(_bytes(text), shingle)
                 made.append(row(hashes, np.unique(hashes).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([m[i] for m in made], kind) for i, kind in enumerate(arrow))], ["id", *names])
+        give_back()
 
     return df.select("id", "text", *([] if wanted is None else _bits())).mapInArrow(run, f"id {id_type}, {schema}")
 
