@@ -207,9 +207,9 @@ def single_valued(predicate: Column) -> Column:
 
 def distinctive(text: Column) -> Column:
     """Distinct, sorted words of three bytes or more that tell memories apart."""
-    parts = F.split(text, r"[^\p{L}\p{N}\-_./]+")
+    parts = F.array_distinct(F.split(text, r"[^\p{L}\p{N}\-_./]+"))
     kept = F.filter(parts, lambda w: F.octet_length(w) > 2)
-    return F.array_sort(F.array_distinct(F.filter(F.transform(kept, F.lower), lambda w: ~_in(w, W.NOISE))))
+    return F.array_sort(F.array_except(F.transform(kept, F.lower), F.array(*[F.lit(w) for w in W.NOISE])))
 
 
 def line_words(text: Column) -> Column:
@@ -276,9 +276,18 @@ def quoted_commands(text: Column) -> Column:
 
 
 def fit(text: Column, limit: int) -> Column:
-    """A line cut to ``limit`` bytes at a word boundary with an ellipsis; null where under 24 bytes are left."""
+    """A line cut to ``limit`` bytes at a word boundary with an ellipsis; null where it doesn't fit and under 24 bytes are allowed.
+
+    Characters of one to four bytes: of those that could fit, as many are kept as
+    do, counted from the front.
+    """
+    whole = F.octet_length(text) <= limit
     if limit < 24:
-        return F.when(F.octet_length(text) <= limit, text)
-    cut = F.substr(text, F.lit(1), F.lit(limit - 1))
+        return F.when(whole, text)
+    room = limit - 3  # the ellipsis takes three bytes
+    head = F.substr(text, F.lit(1), F.lit(room))
+    # the longest start of at most that many bytes: its characters' number is where the running bytes pass it
+    fitting = F.filter(F.sequence(F.lit(1), F.greatest(F.char_length(head), F.lit(1))), lambda i: F.octet_length(F.substr(head, F.lit(1), i)) <= room)
+    cut = F.substr(text, F.lit(1), F.size(fitting))
     word = F.regexp_replace(cut, r"\s+\S*$", "")
-    return F.when(F.octet_length(text) <= limit, text).otherwise(F.concat(F.rtrim(word), F.lit("…")))
+    return F.when(whole, text).otherwise(F.concat(F.rtrim(word), F.lit("…")))

@@ -136,3 +136,24 @@ def test_recall_of_one_store_scores_words_as_the_plain_search(spark):
 def test_recall_of_nothing(spark):
     held = [memory(1, "alpha")]
     assert ask_all(spark, [], [(1, "alpha", [1.0])], [(1, "p", True)], []) == {} and ask_all(spark, held, [], [], []) == {} and ask_all(spark, held, [(1, "alpha", None)], [(1, "other", True)], []) == {}
+
+
+def test_lines_are_cut_by_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from silt.functions import text
+
+    said = ["short", "a line of plain words that is far too long to be shown whole", "行" * 40, "été " * 20, "\U0001f600 " * 30, "", None]
+    got = [r[0] for r in spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, t string").orderBy("i").select(text.fit(F.col("t"), 32)).collect()]
+    assert got[0] == "short" and got[1] == "a line of plain words that…" and got[5] == "" and got[6] is None
+    assert all(len(g.encode()) <= 32 for g in got if g) and got[2] == "行" * 9 + "…" and got[3].startswith("été été") and got[4].count("\U0001f600") == 5
+    assert [r[0] for r in spark.createDataFrame([("x" * 12,), ("x",)], "t string").select(text.fit(F.col("t"), 10)).collect()] == [None, "x"]
+
+
+def test_distinctive_words(spark):
+    from pyspark.sql import functions as F
+
+    from silt.functions import text
+
+    df = spark.createDataFrame([("The Build-server at 10.0.0.7, build-server! a/b İstanbul of ab ABC abc",)], "t string")
+    assert df.select(text.distinctive(F.col("t"))).first()[0] == sorted(["build-server", "10.0.0.7", "a/b", "i̇stanbul", "abc"])
