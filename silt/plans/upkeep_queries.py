@@ -190,12 +190,12 @@ def relation_census(spark, sf_dir):
 
 @query()
 def entity_recall(spark, sf_dir):
-    """Live memories about what each benchmark passage is about, in one scope."""
+    """Live memories about what each benchmark passage is about, in the scope it is asked in."""
     from silt.operators import evidence
 
     held = tables.memories(spark, sf_dir)
-    asked = tables.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.lit("src0").alias("scope"), "text")
-    return relations.by_entity(relations.entities(held), asked, evidence.live(held), 20).select("qid", "id", F.round("entity", 6).alias("entity"))
+    asked = tables.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("scope"), "text")
+    return relations.by_entity(relations.entities(held), asked, evidence.live(held)).select("qid", "id", F.round("entity", 6).alias("entity"))
 
 
 @query("""WITH $MEMORY, $WITNESS, w AS (SELECT memory, arg_max(kind, weight::DOUBLE * 1e12 + at * 10.0 + id / 1e7) AS kind, count(DISTINCT session) AS runs FROM witness GROUP BY memory)

@@ -51,11 +51,12 @@ def plain(spark, new, held):
     for c in sorted(new, key=lambda r: (r[1], r[0])):
         cid, _, scope, tier, _, subject, predicate, *_, trigger, steps, weight = c
         m = marks[cid]
-        peers = [r for r in reversed(live) if r[2] == scope and r[3] == tier]
+        newest = sorted(enumerate(live), key=lambda x: (float("-inf") if x[1][1] is None else x[1][1], x[0]), reverse=True)
+        peers = [r for _, r in newest if r[2] == scope and r[3] == tier]
         slot = tier == "fact" and bool(m["single"]) and subject is not None
         in_slot = lambda r: r[3] == "fact" and bool(marks[r[0]]["single"]) and r[5] is not None
         if slot:
-            met = next((r for r in peers if in_slot(r) and r[5:7] == (subject, predicate)), None)
+            met = next((r for r in reversed(live) if r[2] == scope and r[3] == tier and in_slot(r) and r[5:7] == (subject, predicate)), None)
         else:
             peers = [r for r in peers if not in_slot(r)]
             met = next((r for r in peers if marks[r[0]]["hash"] == m["hash"]), None)
@@ -64,7 +65,7 @@ def plain(spark, new, held):
             elif met is None:
                 like = [r for r in peers if same(r[0], cid, tier)]
                 share = lambda r: min(len(marks[r[0]]["words"]), len(m["words"])) / max(len(marks[r[0]]["words"]), len(m["words"]))
-                met = max(like, key=lambda r: (share(r), live.index(r))) if like else None
+                met = max(like, key=lambda r: (share(r), -like.index(r))) if like else None
                 if met is None and tier == "fact" and m["lead"]:
                     met = next((r for r in [r for r in peers if marks[r[0]]["lead"] == m["lead"]][:8] if remember.revises(marks[r[0]]["clause"], m["clause"])), None)
         if met is None:
