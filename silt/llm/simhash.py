@@ -19,8 +19,8 @@ large, and none is treated otherwise for its size.
 ``similar_documents`` links documents by the similarity of their sets of word
 shingles. In any one order of all shingles two sets of similarity t share one of
 the first n - ceil(t n) + 1 of each; documents that do are candidates. Parity sketches
-of the sets discard without loss, large sets' fingerprint tables discard beyond a
-radius that alike sets stay under, and the whole sets verify the rest.
+of small sets discard without loss, large sets' fingerprint tables and majority
+sketches discard beyond radii that alike sets stay under, and the whole sets verify the rest.
 """
 
 from __future__ import annotations
@@ -46,9 +46,11 @@ GROUP, SPLITS = 256, 3
 SAMPLE_ROWS, COMMON_IN, COMMON = 4_000, 3, 100_000
 #: Candidates of one shingle that are compared in one step; words of the bit set that tells whose sets are wanted.
 BLOCK, BITS = 512, 1 << 25
-#: Shingles from which on a set's fingerprint discards; words of a set's parity sketch.
+#: Shingles from which on a set's fingerprint discards; words of a set's sketch.
 SURE = 100
 SKETCH = ["s0", "s1", "s2", "s3"]
+#: Shingles from which on a sketch holds majorities instead of parities, and the bits that those of two alike sets differ in at most.
+BROAD, BROAD_RADIUS = 400, 80
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -236,6 +238,22 @@ def parity(hashes: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(bool), bitorder="little").view("<i8").tolist()
 
 
+def majorities(hashes: np.ndarray) -> list[int]:
+    """256 bits, each what most of a set's shingles have, by hashes of their hashes."""
+    odd = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+    out = []
+    for factor in odd:
+        mixed = hashes.view(np.uint64) * np.uint64(factor)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(odd[3])
+        out.append(_signed(majority(mixed ^ (mixed >> np.uint64(29)))))
+    return out
+
+
+def sketch(hashes: np.ndarray) -> list[int]:
+    """What a set is told apart by before it is made again: parities of a small set, majorities of one of BROAD shingles and more."""
+    return parity(hashes) if len(hashes) < BROAD else majorities(hashes)
+
+
 def _sets(df: DataFrame, shingle: int, schema: str, row, wanted: np.ndarray | None = None) -> DataFrame:
     """Rows made of each (id, text) by ``row(hashes, set)``, after the id; of ids whose two bits are set in ``wanted``, if given."""
     names, kinds = zip(*(f.split(" ", 1) for f in schema.split(", ")), strict=True)
@@ -281,7 +299,7 @@ def _wanted(ids: DataFrame) -> np.ndarray:
 
 
 def _meetings(rows: DataFrame, radius: int, tenths: int) -> DataFrame:
-    """Pairs (a, b) of the members (key, m, ref, fp, n, root, sketch) of each key that differ in root, pass the distance tables and parity sketches and share enough keys.
+    """Pairs (a, b) of the members (key, m, ref, fp, n, root, sketch) of each key that differ in root, pass the distance tables and sketches and share enough keys.
 
     A pair meets once at each shingle that the prefixes share. Even if all beyond
     the longer prefix were shared too, a pair of too few can't reach the
@@ -320,9 +338,10 @@ def _meetings(rows: DataFrame, radius: int, tenths: int) -> DataFrame:
                 may = (ra[:, None] != rb[None, :]) & (10 * np.minimum(na[:, None], nb[None, :]) >= tenths * np.maximum(na[:, None], nb[None, :]))
                 i, j = np.nonzero(np.triu(may, 1) if len(sides) == 1 else may)
                 i, j = discard(fa.view(np.uint64), fb.view(np.uint64), i, j, families, radius, np.minimum(na[i], nb[j]) >= SURE)
-                # of sets of that similarity at most this share of the members is not in both
+                # of sets of that similarity at most this share of the members is not in both, which parities can't exceed
                 apart = sum((np.bitwise_count((x[i] ^ y[j]).view(np.uint64)).astype(np.int64) for x, y in zip(sa, sb, strict=True)), np.zeros(len(i), np.int64))
-                like = (10 + tenths) * apart <= (10 - tenths) * (na[i] + nb[j])
+                broad = (na[i] >= BROAD).astype(np.int64) + (nb[j] >= BROAD)
+                like = np.where(broad == 2, apart <= BROAD_RADIUS, (broad == 1) | ((10 + tenths) * apart <= (10 - tenths) * (na[i] + nb[j])))
                 i, j = i[like], j[like]
                 swap = a[i] > b[j]
                 yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, x, y)) for x, y in ((b[j], a[i]), (a[i], b[j]), (nb[j], na[i]), (na[i], nb[j]))], ["a", "b", "na", "nb"])
@@ -357,7 +376,10 @@ def similar_documents(df: DataFrame, shingle: int = 5, tenths: int = 8, radius:
     distinct shingles have, so two sets of similarity 0.8 differ in it with a
     probability of 0.15 whatever they hold, in 9.7 of 64 bits on average; more
     than 26 is one link in five million, while of unlike documents one in twelve
-    passes. Smaller sets scatter more and are told apart by their sketches alone, without loss. Repeated rows stay, rows without an id
+    passes. Smaller sets scatter more and are told apart by the parities of their
+    sketches alone, without loss; those of BROAD shingles and more, which parities
+    tell badly, by 256 majorities: of two alike sets 39 differ on average, and more than 80
+    in less than one link in a thousand million. Repeated rows stay, rows without an id
     are left out, other columns are not read. An empty table gives no rows.
 
     The candidates of a shingle first meet one of them, that with the most
@@ -372,7 +394,7 @@ def similar_documents(df: DataFrame, shingle: int = 5, tenths: int = 8, radius:
     common = np.sort(np.array([r["key"] for r in often.orderBy(F.col("n").desc(), "key").limit(COMMON).collect()], np.int64))
     families, _ = references(ALL, 4)
 
-    rows = cut(_sets(docs, shingle, "digest long, n long, fp long, first array<long>, " + ", ".join(f"{c} long" for c in SKETCH), lambda h, s: (_digest(s), len(s), _signed(majority(s.view(np.uint64))), prefix(s, tenths, common), *parity(s))))
+    rows = cut(_sets(docs, shingle, "digest long, n long, fp long, first array<long>, " + ", ".join(f"{c} long" for c in SKETCH), lambda h, s: (_digest(s), len(s), _signed(majority(s.view(np.uint64))), prefix(s, tenths, common), *sketch(s))))
     same = ["digest", "n"]
     texts = rows.groupBy(*same).agg(F.min(F.struct("id", "fp")).alias("low"), F.count("*").alias("copies"), F.first("first").alias("first"), *[F.first(c).alias(c) for c in SKETCH])
     # a row number that sorts texts of many copies first
