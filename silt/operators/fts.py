@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from silt.functions import score, stems, text
 from silt.functions.words import STOPWORDS
+from silt.operators.graph import cut
 
 K1, B = 1.2, 0.75
-#: Rows of query terms that are broadcast at most; candidates kept for each query.
-MOST_SENT, CANDIDATES = 10_000, 500
+#: Rows of query terms, and of their forms in the table, that are broadcast at most; candidates kept for each query.
+MOST_SENT, MOST_FORMS, CANDIDATES = 10_000, 100_000, 500
 TOKEN = "[^a-z0-9]+"
 
 
@@ -45,15 +46,16 @@ def occurrences(memories: DataFrame, wanted: DataFrame, stemmer: str, more: list
 
     Words are parted once. With Porter's rule each distinct word of the table is
     stemmed once, and the forms that no query asks for are gone before the texts'
-    own words meet them.
+    own words meet them. Up to MOST_FORMS forms are sent to every executor, so
+    only matches are shuffled; more are met by shuffle.
     """
     key = ["id", *(more or [])]
     words = memories.select(*key, WORDS[stemmer](F.col("text")).alias("words")).select(*key, F.size("words").alias("len"), F.explode("words").alias("word"))
     if stemmer == "crude":
         held = words.withColumn("term", text.search_stem(F.col("word"))).join(wanted, "term")
     else:
-        forms = words.select("word").distinct().withColumn("term", stems.stem_of("word")).join(wanted, "term")
-        held = words.join(forms, "word")
+        forms = cut(words.select("word").distinct().withColumn("term", stems.stem_of("word")).join(wanted, "term"))
+        held = words.join(F.broadcast(forms) if forms.count() <= MOST_FORMS else forms, "word")
     return held.groupBy(*key, "len", "term").agg(F.count("*").alias("tf"))
 
 

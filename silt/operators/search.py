@@ -30,19 +30,24 @@ def policies(queries: DataFrame) -> DataFrame:
 def by_words(memories: DataFrame, asked: DataFrame, stemmer: str) -> DataFrame:
     """Rows (qid, store, id, lexical) of each store as if it stood alone: its own lengths, frequencies and best rank; ``candidates`` a query and store at most.
 
-    ``asked`` has (qid, store, query, candidates): a row for each store a query asks.
+    ``asked`` has (qid, store, query, candidates, archive): a row for each store a
+    query asks. Live memories and the archive are two indexes: what a query may
+    not see doesn't count in its statistics. Both are counted in one pass.
     """
     questions = asked.select("qid", "query").distinct()
-    terms = fts.query_terms(questions, stemmer)
-    held = fts.occurrences(memories, terms.select("term").distinct(), stemmer, ["store"])
+    terms = cut(fts.query_terms(questions, stemmer))
+    held = cut(fts.occurrences(memories, terms.select("term").distinct(), stemmer, ["store", "live"]))
     length = F.size(fts.WORDS[stemmer](F.coalesce("text", F.lit(""))))
-    stats = memories.groupBy("store").agg(F.count("*").alias("n_docs"), F.avg(length).alias("avg_len"))
-    df = held.groupBy("store", "term").agg(F.count("*").alias("df")).join(stats, "store")
-    idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weighed = terms.join(df.select("store", "term", idf.alias("idf"), "avg_len"), "term").join(asked.select("qid", "store", "candidates"), ["qid", "store"])
-    ranked = held.join(weighed, ["store", "term"]).groupBy("qid", "store", "id").agg(F.round(-F.sum(fts.gain()), 5).alias("rank"), F.first("candidates").alias("candidates"))
+    both = [("", F.lit(True)), ("live_", F.col("live"))]
+    stats = memories.groupBy("store").agg(*[F.count(F.when(c, 1)).alias(f"{n}docs") for n, c in both], *[F.avg(F.when(c, length)).alias(f"{n}len") for n, c in both])
+    df = held.groupBy("store", "term").agg(*[F.count(F.when(c, 1)).alias(f"{n}df") for n, c in both]).join(stats, "store")
+    weighed = terms.join(df, "term").join(asked.select("qid", "store", "candidates", "archive"), ["qid", "store"])
+    seen = {c: F.when(F.col("archive"), F.col(c)).otherwise(F.col(f"live_{c}")) for c in ("docs", "df", "len")}
+    idf = F.greatest(F.log((seen["docs"] - seen["df"] + 0.5) / (seen["df"] + 0.5)), F.lit(1e-6))
+    weighed = weighed.select("qid", "store", "term", "candidates", "archive", idf.alias("idf"), seen["len"].alias("avg_len"))
+    ranked = held.join(weighed, ["store", "term"]).filter("live or archive").groupBy("qid", "store", "id").agg(F.round(-F.sum(fts.gain()), 5).alias("rank"), F.first("candidates").alias("candidates"))
     along = Window.partitionBy("qid", "store").orderBy("rank", "id")
-    top = ranked.withColumn("place", F.row_number().over(along)).filter(F.col("place") <= F.col("candidates"))
+    top = cut(ranked.withColumn("place", F.row_number().over(along)).filter(F.col("place") <= F.col("candidates")))
     best = F.min("rank").over(Window.partitionBy("qid", "store"))
     wanted = questions.select("qid", F.transform(text.terms_of(F.coalesce("query", F.lit(""))), text.search_stem).alias("wanted"))
     said = memories.join(top.select("store", "id").distinct(), ["store", "id"], "left_semi").select("store", "id", text.held_words(F.coalesce("text", F.lit(""))).alias("held"))
@@ -73,11 +78,7 @@ def recall(memories: DataFrame, queries: DataFrame, asks: DataFrame, edges: Data
     held = held.withColumn("live", F.col("valid_to").isNull() & F.col("archived_at").isNull())
     told = policies(has(queries, "vector", "array<double>"))
     asked = cut(asks.select("qid", "store", F.coalesce("near", F.lit(False)).alias("near")).dropDuplicates(["qid", "store"]).join(told, "qid"))
-    # live memories and the archive are two indexes: what a query may not see doesn't count in its statistics
-    lexical = None
-    for archive in (False, True):
-        found = by_words(held if archive else held.filter("live"), asked.filter(F.col("archive") == archive), stemmer)
-        lexical = found if lexical is None else lexical.union(found)
+    lexical = by_words(held, asked, stemmer)
     entity = relations.entities(held.select(F.col("store").alias("scope"), "id", "text"))
     about = relations.by_entity(entity, asked.select("qid", F.col("store").alias("scope"), F.coalesce("query", F.lit("")).alias("text")), None, WIDE)
     about = about.join(held.select("id", "store", "live"), "id").join(asked.select("qid", "store", "archive"), ["qid", "store"]).filter("live or archive").select("qid", "store", "id", "entity")
