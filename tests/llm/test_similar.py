@@ -123,31 +123,3 @@ def test_short_sets(spark):
         want |= some
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want and sum(i != r for i, r in want.items()) >= 400
-
-
-def test_sketches_of_large_sets_keep_alike_pairs():
-    rng = np.random.default_rng(11)
-    word = lambda hashes: np.array(simhash.sketch(np.unique(hashes))).view(np.uint64)
-    for n in (simhash.BROAD, 1500):
-        for _ in range(60):
-            every = rng.integers(-(2**63), 2**63, size=n + n // 9, dtype=np.int64)
-            apart = np.bitwise_count(word(every[:n]) ^ word(every[n // 9 :])).sum()
-            assert apart <= simhash.BROAD_RADIUS
-    unlike = [word(rng.integers(-(2**63), 2**63, size=500, dtype=np.int64)) for _ in range(60)]
-    assert min(np.bitwise_count(a ^ b).sum() for k, a in enumerate(unlike) for b in unlike[:k]) > simhash.BROAD_RADIUS
-
-
-def test_large_sets_around_the_sketches_bound(spark):
-    rng = np.random.default_rng(3)
-    rows, line = [], " ".join(f"p{k}" for k in range(60))
-    for family in range(12):
-        base = [f"f{family}w{k}" for k in range(int(rng.integers(330, 700)))]
-        for copy in range(4):
-            text = list(base)
-            for at in rng.choice(len(text), int(rng.integers(0, 9)), replace=False):
-                text[at] = f"c{copy}"
-            text = text[: len(text) - int(rng.integers(0, 60))]
-            rows.append((len(rows), " ".join([*text, line] if family % 2 else text)))
-    near, roots = brute_roots(word_sets(rows))
-    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert near and len(near) < 72 and {r["doc_id"]: r["component_id"] for r in got} == roots
