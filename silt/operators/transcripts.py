@@ -73,12 +73,18 @@ def plan(rows: DataFrame, size: int, reserve: int, inject: int, mask_over: int,
 
 
 def coverage(ranges: DataFrame) -> DataFrame:
-    """How far each session is covered without a gap, by acknowledged ranges (first, last) from 0 on in any order."""
-    along = Window.partitionBy("session").orderBy("first", "last")
-    reach = F.coalesce(F.max("last").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
-    gap = ranges.withColumn("_gap", (F.col("first") > reach + 1).cast("int"))
-    broken = F.sum("_gap").over(along.rowsBetween(Window.unboundedPreceding, 0))
-    return gap.withColumn("_broken", broken).groupBy("session").agg(F.coalesce(F.max(F.when(F.col("_broken") == 0, F.col("last"))), F.lit(-1)).alias("through"))
+    """How far each session is covered without a gap, by acknowledged ranges (first, last) from 0 on in any order.
+
+    Nothing counts from the smallest start on that no earlier range reaches. Of
+    equal ranges only one can be seen to start there, so that start is looked up,
+    not counted along the order, which leaves them open.
+    """
+    by = Window.partitionBy("session")
+    reach = F.coalesce(F.max("last").over(by.orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    gap = ranges.withColumn("_gap", F.when(F.col("first") > reach + 1, F.col("first")))
+    broken = gap.withColumn("_broken", F.min("_gap").over(by))
+    whole = F.col("_broken").isNull() | (F.col("first") < F.col("_broken"))
+    return broken.groupBy("session").agg(F.coalesce(F.max(F.when(whole, F.col("last"))), F.lit(-1)).alias("through"))
 
 
 def islands(rows: DataFrame, key: str, at: str, quiet: int = QUIET) -> DataFrame:

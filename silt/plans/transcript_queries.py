@@ -109,7 +109,7 @@ def coverage_islands(spark, sf_dir):
     """How far acknowledged ranges reach without a gap."""
     raw = tables.table(spark, sf_dir, "lineitem")
     first = (F.col("l_linenumber").cast("long") - 1) * 10
-    ranges = raw.select(F.col("l_orderkey").alias("session"), first.alias("first"), (first + F.col("l_quantity").cast("long") % 14).alias("last"))
+    ranges = raw.select(F.col("l_orderkey").alias("session"), first.alias("first"), (first + F.rint("l_quantity").cast("long") % 14).alias("last"))
     return transcripts.coverage(ranges)
 
 
