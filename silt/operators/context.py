@@ -1,7 +1,7 @@
 """Context assembly and window layout: what of a session and its memories goes into a request.
 
-Greedy packing and layout look at one session's rows in order and are not
-prefix-closed; they run per session on its own bounded rows.
+Greedy packing looks at one session's rows in order and is not prefix-closed; it
+runs per session on its own bounded rows. A layout is running sums over windows.
 """
 
 from __future__ import annotations
@@ -65,31 +65,24 @@ def lay_out(rows: DataFrame, room: int, cold: bool = False) -> DataFrame:
     Over STUB_AT of the room, unprotected tool rows are stubbed from the largest
     down until under it (COLD_TO when cold); over COMPACT_AT, the oldest
     unprotected run is compacted; over the room, the oldest unprotected rows are
-    dropped.
+    dropped. Each stops at the first row that suffices, so each is a running sum
+    of what the rows before it freed; token counts are not negative.
     """
-    marked = protected(rows)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cursor").reset_index(drop=True)
-        cost, action = pdf["tokens"].to_numpy(np.int64).copy(), np.array(["keep"] * len(pdf), object)
-        free = ~pdf["protected"].to_numpy(bool)
-        goal = room * (COLD_TO if cold else STUB_AT)
-        if cost.sum() > room * STUB_AT:
-            saves = pdf["tokens"].to_numpy() - pdf["stub_tokens"].to_numpy()
-            tools = np.flatnonzero(free & pdf["is_tool"].to_numpy(bool) & (saves > 0))
-            for i in sorted(tools, key=lambda i: (-cost[i], pdf["cursor"][i])):
-                if cost.sum() <= goal:
-                    break
-                cost[i], action[i] = pdf["stub_tokens"][i], "stub"
-        for share, name in ((COMPACT_AT, "compact"), (1.0, "drop")):
-            for i in np.flatnonzero(free):
-                if cost.sum() <= room * share or (name == "compact" and not free[: i + 1].all()):
-                    break
-                if action[i] in ("keep", "stub"):
-                    cost[i], action[i] = 0, name
-        return pdf.assign(action=action, used=int(cost.sum()), warn=bool(cost.sum() > room * WARN_AT))[["session", "cursor", "action", "used", "warn"]]
-
-    return marked.groupBy("session").applyInPandas(run, f"session {rows.schema['session'].dataType.simpleString()}, cursor long, action string, used long, warn boolean")
+    by, goal = Window.partitionBy("session"), room * (COLD_TO if cold else STUB_AT)
+    oldest = by.orderBy("cursor").rowsBetween(Window.unboundedPreceding, -1)
+    largest = by.orderBy(F.col("tokens").desc(), "cursor").rowsBetween(Window.unboundedPreceding, -1)
+    freed = lambda cost, taken, along: F.coalesce(F.sum(F.when(taken, cost)).over(along), F.lit(0))
+    out = protected(rows).withColumns({"_free": ~F.col("protected"), "_saves": F.col("tokens") - F.col("stub_tokens"), "_was": F.sum("tokens").over(by)})
+    may = F.col("_free") & F.col("is_tool") & (F.col("_saves") > 0)
+    out = out.withColumn("_stub", may & (F.col("_was") > room * STUB_AT) & (F.col("_was") - freed(F.col("_saves"), may, largest) > goal))
+    out = out.withColumns({"_cost": F.when(F.col("_stub"), F.col("stub_tokens")).otherwise(F.col("tokens")), "_left": F.col("_was") - freed(F.col("_saves"), F.col("_stub"), by)})
+    run = F.coalesce(F.max(F.col("protected").cast("int")).over(by.orderBy("cursor").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) == 0
+    out = out.withColumn("_compact", run & (F.col("_left") - freed(F.col("_cost"), F.lit(True), oldest) > room * COMPACT_AT))
+    out = out.withColumns({"_rest": F.col("_free") & ~F.col("_compact"), "_left": F.col("_left") - freed(F.col("_cost"), F.col("_compact"), by)})
+    out = out.withColumn("_drop", F.col("_rest") & (F.col("_left") - freed(F.col("_cost"), F.col("_rest"), oldest) > room))
+    out = out.withColumn("used", F.col("_left") - freed(F.col("_cost"), F.col("_drop"), by))
+    action = F.when(F.col("_drop"), "drop").when(F.col("_compact"), "compact").when(F.col("_stub"), "stub").otherwise("keep")
+    return out.select("session", F.col("cursor").cast("long").alias("cursor"), action.alias("action"), F.col("used").cast("long").alias("used"), (F.col("used") > room * WARN_AT).alias("warn"))
 
 
 def sections(scored: DataFrame, weights: dict[str, float], tokens: int) -> DataFrame:

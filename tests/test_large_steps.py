@@ -1,6 +1,9 @@
+import random
+
 import duckdb
 import pandas as pd
 
+from silt.operators import context
 from silt.plans.catalogue import ORACLE, QUERIES
 
 
@@ -18,3 +21,38 @@ def test_coverage_rounds_as_its_sql_does(spark, tmp_path):
     assert got == sorted(con.sql(ORACLE["coverage_islands"]).fetchall()) == [(1, 13), (2, 8), (3, 2), (4, -1)]
     pd.concat([rows] * 2).to_parquet(tmp_path / "lineitem.parquet")
     assert sorted(tuple(r) for r in QUERIES["coverage_islands"](spark, str(tmp_path)).collect()) == got
+
+
+def laid_out(rows, room, cold):
+    """One session's rows (cursor, tokens, stub_tokens, is_tool, protected), row by row."""
+    rows = sorted(rows)
+    cost, action = [r[1] for r in rows], ["keep"] * len(rows)
+    free = [i for i, r in enumerate(rows) if not r[4]]
+    if sum(cost) > room * context.STUB_AT:
+        for i in sorted((i for i in free if rows[i][3] and rows[i][1] > rows[i][2]), key=lambda i: (-rows[i][1], i)):
+            if sum(cost) > room * (context.COLD_TO if cold else context.STUB_AT):
+                cost[i], action[i] = rows[i][2], "stub"
+    for share, name in ((context.COMPACT_AT, "compact"), (1.0, "drop")):
+        for i in free:
+            if sum(cost) <= room * share or (name == "compact" and any(r[4] for r in rows[: i + 1])):
+                break
+            if action[i] in ("keep", "stub"):
+                cost[i], action[i] = 0, name
+    return [(r[0], a, sum(cost), sum(cost) > room * context.WARN_AT) for r, a in zip(rows, action, strict=True)]
+
+
+def test_lay_out_by_running_sums(spark):
+    rng = random.Random(8)
+    rows = [(s, c, rng.choice([0, 10, 40, 200, 900]), 40, rng.random() < 0.6, rng.random() < 0.3) for s in range(60) for c in range(rng.randrange(1, 25))]
+    df = spark.createDataFrame(rows, "session long, cursor long, tokens long, stub_tokens long, is_tool boolean, is_user boolean")
+    held = {}
+    for r in context.protected(df).collect():
+        held.setdefault(r["session"], []).append((r["cursor"], r["tokens"], r["stub_tokens"], r["is_tool"], r["protected"]))
+    seen = set()
+    for room, cold in ((2000, False), (900, True)):
+        out = context.lay_out(df, room, cold)
+        got = {(r["session"], r["cursor"], r["action"], r["used"], r["warn"]) for r in out.collect()}
+        assert got == {(s, *row) for s, mine in held.items() for row in laid_out(mine, room, cold)}
+        assert "InPandas" not in shown(out)
+        seen |= {r[2] for r in got}
+    assert seen == {"keep", "stub", "compact", "drop"}
