@@ -5,6 +5,7 @@ import pandas as pd
 
 from silt.operators import context
 from silt.plans.catalogue import ORACLE, QUERIES
+from silt.sources import tables
 
 
 def shown(df):
@@ -56,3 +57,11 @@ def test_lay_out_by_running_sums(spark):
         assert "InPandas" not in shown(out)
         seen |= {r[2] for r in got}
     assert seen == {"keep", "stub", "compact", "drop"}
+
+
+def test_tool_rows_are_dealt_by_their_number(spark, sf, monkeypatch):
+    before = sorted(tables.tool_rows(spark, sf).collect())
+    monkeypatch.setattr(tables, "TASK_ROWS", 200)
+    dealt = tables.tool_rows(spark, sf)
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert dealt.rdd.getNumPartitions() == -(-n // 200) and sorted(dealt.collect()) == before
