@@ -7,6 +7,8 @@ MOST_SENT rows they are joined by shuffle instead.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from silt.operators.graph import cut
 K1, B = 1.2, 0.75
 #: Rows of query terms, and of their forms in the table, that are broadcast at most; candidates kept for each query.
 MOST_SENT, MOST_FORMS, CANDIDATES = 10_000, 100_000, 500
+#: Vectors in a block, and queries of a block that meet it in one step.
+BLOCK_ROWS, STEP = 16_384, 128
 TOKEN = "[^a-z0-9]+"
 
 
@@ -129,17 +133,63 @@ def prefix_matches(turns: DataFrame, queries: DataFrame) -> DataFrame:
     return both.groupBy("qid", "session", "cursor", "n").agg(F.countDistinct("term").alias("hits")).filter("hits = n").select("qid", "session", "cursor")
 
 
-def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 10, blocks: int = 16) -> DataFrame:
+def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 10, blocks: int | None = None) -> DataFrame:
     """Rows (qid, place, id, cosine): the k nearest vectors of each query vector, by cosine in 0..1.
 
     Both sides are cut into blocks by id, and a block of vectors meets each block of
-    queries: an equi-join on the pair of blocks, whose tasks hold a part of either.
-    A block's own best k go on to the ranking of all.
+    queries of its length: a task holds a part of either, however many there are. A
+    matrix product tells which of a block may be among a query's first k, rounding
+    allowed for; only those are summed in order and go on to the ranking of all.
+    Vectors that are empty, zero or hold a null compare with nothing.
     """
-    numbers = F.array(*[F.lit(i) for i in range(blocks)])
-    asked = queries.select(F.col("id").alias("qid"), F.col("vector").alias("qv"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("qb")).withColumn("vb", F.explode(numbers))
-    held = vectors.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("vb")).withColumn("qb", F.explode(numbers))
-    pairs = held.join(asked, ["vb", "qb"]).filter("id <> qid")
-    scored = pairs.select("qid", "vb", "id", F.round(score.cosine01(F.col("qv"), F.col("vector")), 5).alias("cosine")).filter("cosine is not null")
+    vb = blocks or max(16, -(-vectors.count() // BLOCK_ROWS))
+    qb = blocks or max(1, -(-queries.count() // BLOCK_ROWS))
+    whole = lambda c: (F.size(c) > 0) & ~F.exists(c, lambda x: x.isNull()) & F.exists(c, lambda x: x != 0)
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.filter(whole("vector")).select(F.col("id").alias("qid"), F.col("vector").alias("wanted"), F.size("vector").alias("dim"), dealt(qb).alias("qb")).withColumn("vb", every(vb))
+    held = vectors.filter(whole("vector")).select("id", "vector", F.size("vector").alias("dim"), dealt(vb).alias("vb")).withColumn("qb", every(qb))
+
+    def rows(column: pa.ChunkedArray) -> np.ndarray:
+        return np.asarray(column.combine_chunks().flatten()).astype(np.float64).reshape(len(column), -1)
+
+    def fold(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x))
+        for i in range(x.shape[1]):
+            out += x[:, i] * y[:, i]
+        return out
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("qid", right.schema.field("qid").type), ("id", left.schema.field("id").type), ("cosine", pa.float64())])
+        if not len(left) or not len(right):
+            return schema.empty_table()
+        left = left.sort_by("id")
+        ids, qids = left["id"].to_numpy(), right["qid"].to_numpy()
+        x, y = rows(left["vector"]), rows(right["wanted"])
+        a, b = np.sqrt(fold(x, x)), np.sqrt(fold(y, y))
+        out = []
+        with np.errstate(all="ignore"):
+            unit = (x / a[:, None]).T
+            for at in range(0, len(y), STEP):
+                near = ((y[at : at + STEP] / b[at : at + STEP, None]) @ unit + 1) / 2
+                near = np.where(np.isnan(near), 2, near)  # not a number comes before all
+                near[qids[at : at + STEP, None] == ids[None, :]] = -1
+                most = min(k, len(ids))
+                least = np.partition(near, len(ids) - most, axis=1)[:, len(ids) - most]
+                q, v = np.nonzero((near >= least[:, None] - 2.1e-5) & (near >= 0 - 1e-6))
+                # places after rounding, at worst and at best: who is behind k others in any case goes
+                low, high = (np.rint((near[q, v] + by) * 1e5).astype(np.int64) for by in (-1e-9, 1e-9))
+                order = np.lexsort((v, -low, q))
+                begin = np.searchsorted(q, np.arange(len(near)))
+                last = order[np.minimum(begin[q] + most, np.searchsorted(q, np.arange(len(near)), side="right")[q]) - 1]
+                may = (high > low[last]) | ((high == low[last]) & (v <= v[last]))
+                q, v = q[may] + at, v[may]
+                out.append((q, v, (fold(y[q], x[v]) / (b[q] * a[v]) + 1) / 2))
+        q, v, cosine = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table([right["qid"].take(pa.array(q)), left["id"].take(pa.array(v)), pa.array(cosine)], schema=schema)
+
+    key, kind = ["vb", "qb", "dim"], lambda df: df.schema["id"].dataType.simpleString()
+    met = held.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(meet, f"qid {kind(queries)}, id {kind(vectors)}, cosine double")
+    scored = met.select("qid", "id", F.round("cosine", 5).alias("cosine"))
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("cosine").desc(), "id"))
-    return scored.withColumn("place", place).filter(F.col("place") <= k).drop("vb")
+    return scored.withColumn("place", place).filter(F.col("place") <= k)

@@ -1,9 +1,12 @@
 import random
 
 import duckdb
+import numpy as np
 import pandas as pd
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
-from silt.operators import context
+from silt.operators import context, fts
 from silt.plans.catalogue import ORACLE, QUERIES
 from silt.sources import tables
 
@@ -65,3 +68,20 @@ def test_tool_rows_are_dealt_by_their_number(spark, sf, monkeypatch):
     dealt = tables.tool_rows(spark, sf)
     n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
     assert dealt.rdd.getNumPartitions() == -(-n // 200) and sorted(dealt.collect()) == before
+
+
+def test_cosine_top_by_blocks(spark):
+    """Copies, vectors of two lengths, halves of the last place: as by summing every pair."""
+    rng = np.random.default_rng(5)
+    base = [rng.normal(size=6) for _ in range(20)]
+    vectors = base + [base[3]] * 30 + [v + rng.normal(size=6) * 1e-5 for v in base for _ in range(6)] + [rng.normal(size=4) for _ in range(9)] + [-base[3]]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(900, [1.0, None, 2.0, 0.0, 0.0, 1.0]), (901, [])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    from silt.functions import score
+
+    pairs = df.filter("id % 7 = 3").toDF("qid", "qv").join(df, F.col("qid") != F.col("id"))
+    scored = pairs.select("qid", "id", F.round(score.cosine01(F.col("qv"), F.col("vector")), 5).alias("cosine")).filter("cosine is not null")
+    want = scored.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("cosine").desc(), "id"))).filter("place <= 5")
+    out = fts.cosine_top(df, df.filter("id % 7 = 3"), 5)
+    assert sorted(tuple(r) for r in out.collect()) == sorted(tuple(r) for r in want.collect())
+    assert "CoGroupsInArrow" in shown(out)
