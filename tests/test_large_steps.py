@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from silt.operators import context, fts
+from silt.operators import context, fts, remember
 from silt.plans.catalogue import ORACLE, QUERIES
 from silt.sources import tables
 
@@ -85,3 +85,19 @@ def test_cosine_top_by_blocks(spark):
     out = fts.cosine_top(df, df.filter("id % 7 = 3"), 5)
     assert sorted(tuple(r) for r in out.collect()) == sorted(tuple(r) for r in want.collect())
     assert "CoGroupsInArrow" in shown(out)
+
+
+def test_containing_discards_as_sets_meet(spark, monkeypatch):
+    """Many sets around one word meet there; those that can't hold each other go in that join, whatever order a sample gives."""
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(400)]
+    sets = [("p", i, sorted({"shared", *rng.sample(words, 30)})) for i in range(200)]
+    sets += [("p", 1000 + i, sorted({*s[2], *rng.sample(words, 10)})) for i, s in enumerate(sets[:40])] + [("q", 2000, sets[0][2])]
+    df = spark.createDataFrame(sets, "part string, id long, words array<string>")
+    want = {(a, b) for p, a, x in sets for q, b, y in sets if a != b and p == q and set(x) <= set(y) and 5 * len(x) >= 3 * len(y)}
+    assert len(want) >= 40
+    for sample, common in ((20_000, 200_000), (5, 3)):
+        monkeypatch.setattr(remember, "SAMPLE", sample)
+        monkeypatch.setattr(remember, "COMMON", common)
+        out = remember.containing(df)
+        assert {(r["a"], r["b"]) for r in out.collect()} == want and "& ~" in shown(out)
