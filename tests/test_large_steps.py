@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from silt.operators import context, fts, remember
+from silt.functions import text
+from silt.operators import context, fts, relations, remember
 from silt.plans.catalogue import ORACLE, QUERIES
 from silt.sources import tables
 
@@ -101,3 +102,30 @@ def test_containing_discards_as_sets_meet(spark, monkeypatch):
         monkeypatch.setattr(remember, "COMMON", common)
         out = remember.containing(df)
         assert {(r["a"], r["b"]) for r in out.collect()} == want and "& ~" in shown(out)
+
+
+def test_alike_counts_in_blocks(spark, monkeypatch):
+    """Word sets of all sizes, copies and near copies, in one block or many: as by comparing all, and no row is shuffled for a pair."""
+    rng = random.Random(7)
+    names = [f"word{i:03d}" for i in range(300)]
+    sets = [sorted({"shared", *rng.sample(names, rng.choice([1, 2, 9, 20, 60]))}) for _ in range(90)]
+    sets += [sorted({*s[: len(s) * 4 // 5], *rng.sample(names, max(1, len(s) // 6))}) for s in sets[:60]] + [sets[3]] * 5
+    rows = [(f"s{i % 2}", i, " ".join(s)) for i, s in enumerate(sets)] + [("s0", 900, ""), ("s0", 901, None), (None, 902, "shared"), (None, 903, "shared")]
+    df = spark.createDataFrame(rows, "scope string, id long, text string")
+    for jaccard in (False, True):
+        want = set()
+        for i, x in enumerate(sets):
+            for j in range(i + 2, len(sets), 2):
+                a, b = set(x), set(sets[j])
+                base = len(a | b) if jaccard else min(len(a), len(b))
+                if 5 * len(a & b) >= 3 * base:
+                    want.add((f"s{i % 2}", i, j, len(a & b), len(a & b) / base))
+        assert len(want) > 40
+        for words, cells, sample in ((8_000_000, 4_000_000, 5_000), (200, 50, 10)):
+            monkeypatch.setattr(relations, "BLOCK_WORDS", words)
+            monkeypatch.setattr(relations, "CELLS", cells)
+            monkeypatch.setattr(relations, "SAMPLE", sample)
+            out = relations.alike(df, text.distinctive(F.col("text")), jaccard)
+            got = [tuple(r) for r in out.collect()]
+            assert len(got) == len(want) and set(got) == want
+            assert "CoGroupsInArrow" in shown(out) and "Aggregate" not in shown(out)
