@@ -29,7 +29,7 @@ from silt.llm.common import WordTable, cut, flat, held, row_numbers, slices, spr
 #: Parts that the pieces of one length are dealt into for ranking.
 SALTS = 512
 #: Distinct words that a worker keeps, and bytes of text it segments in one step.
-WORDS, STEP = 250_000, 4 << 20
+WORDS, STEP = 100_000, 1 << 20
 
 
 #: The tokenizer's own split of a word; used only for words of these characters, on which all Unicode versions agree.

@@ -75,3 +75,20 @@ def test_run_on_empty_documents(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/documents.parquet").filter("false").write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{sf}/labels.parquet").filter("false").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_packing_worker_keeps_few_words():
+    """More distinct words than a worker keeps: ids as by the tokenizer, and the table stays small."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from silt.llm import packing
+    from silt.llm.queries import WORD_TOKENIZER
+
+    known = packing.word_table(WORD_TOKENIZER)
+    known.clear()
+    texts = [" ".join(f"w{i * 3000 + k:x}" for k in range(3000)) for i in range(50)]
+    for text in texts:
+        ids, bounds = packing.token_ids(pa.array([text], pa.large_string()), known)
+        assert len(known.at) <= 100_000
+    assert ids.tolist() == Tokenizer.from_file(WORD_TOKENIZER).encode(texts[-1], add_special_tokens=False).ids
