@@ -19,6 +19,8 @@ from silt.operators.graph import cut
 K1, B = 1.2, 0.75
 #: Rows of query terms, and of their forms in the table, that are broadcast at most; candidates kept for each query.
 MOST_SENT, MOST_FORMS, CANDIDATES = 10_000, 100_000, 500
+#: Texts whose matches a task sums.
+TASK_TEXTS = 5_000
 #: Vectors in a block, and queries of a block that meet it in one step.
 BLOCK_ROWS, STEP = 16_384, 128
 TOKEN = "[^a-z0-9]+"
@@ -60,7 +62,9 @@ def occurrences(memories: DataFrame, wanted: DataFrame, stemmer: str, more: list
     else:
         forms = cut(words.select("word").distinct().withColumn("term", stems.stem_of("word")).join(wanted, "term"))
         held = words.join(F.broadcast(forms) if forms.count() <= MOST_FORMS else forms, "word")
-    return held.groupBy(*key, "len", "term").agg(F.count("*").alias("tf"))
+    # dealt by text alone: what is summed by query and text later stays where it is, and a task's texts don't grow with the table
+    tasks = max(int(memories.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-memories.count() // TASK_TEXTS))
+    return held.repartition(tasks, "id").groupBy(*key, "len", "term").agg(F.count("*").alias("tf"))
 
 
 def gain() -> Column:
@@ -72,7 +76,9 @@ def bm25(memories: DataFrame, queries: DataFrame, candidates: int = CANDIDATES,
     """Rows (qid, id, rank): every memory that holds a term of a query; rank is negative, smaller is better.
 
     Tokens that no query asks for are dropped before anything is shuffled, so the
-    shuffle carries matches, not the corpus. How many memories there are and how
+    shuffle carries matches, not the corpus, and each match once: those of a text
+    are summed for every query in the task it was dealt to, and of each task only a
+    query's first are ranked with others. How many memories there are and how
     long they are on average is one row beside the plan. A null text holds nothing.
     """
     terms = query_terms(queries, stemmer)

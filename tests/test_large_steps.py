@@ -129,3 +129,17 @@ def test_alike_counts_in_blocks(spark, monkeypatch):
             got = [tuple(r) for r in out.collect()]
             assert len(got) == len(want) and set(got) == want
             assert "CoGroupsInArrow" in shown(out) and "Aggregate" not in shown(out)
+
+
+def test_bm25_sums_where_a_texts_matches_are(spark):
+    """A text's matches are dealt once, by the text; no row is shuffled for a query and text but a task's first for each query."""
+    rng = random.Random(3)
+    words = [f"term{i}" for i in range(30)]
+    held = spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.randrange(1, 40)))) for i in range(300)] + [(900, None)], "id long, text string")
+    asked = spark.createDataFrame([(q, " ".join(rng.sample(words, 6))) for q in range(12)], "qid long, query string")
+    for stemmer in ("crude", "porter"):
+        out = fts.bm25(held, asked, 5, stemmer)
+        got = [(r["qid"], r["place"]) for r in out.collect()]
+        assert sorted(got) == [(q, p) for q in range(12) for p in range(1, 6)]
+        plan = shown(out).split("== Physical Plan ==")[1]
+        assert "hashpartitioning(qid" in plan and not any("hashpartitioning(qid#" in x and ", id#" in x for x in plan.splitlines())
