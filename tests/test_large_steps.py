@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from silt.functions import text
-from silt.operators import context, fts, relations, remember
+from silt.operators import context, fts, graph, relations, remember
 from silt.plans.catalogue import ORACLE, QUERIES
 from silt.sources import tables
 
@@ -143,3 +143,25 @@ def test_bm25_sums_where_a_texts_matches_are(spark):
         assert sorted(got) == [(q, p) for q in range(12) for p in range(1, 6)]
         plan = shown(out).split("== Physical Plan ==")[1]
         assert "hashpartitioning(qid" in plan and not any("hashpartitioning(qid#" in x and ", id#" in x for x in plan.splitlines())
+
+
+def test_small_components_share_walks(spark, monkeypatch):
+    """Chains, a cycle and a fork, walked together or a few at a time, and the large ones level by level."""
+    links = [(c * 100 + i, c * 100 + i + 1) for c in range(20) for i in range(c % 5 + 1)] + [(5000, 5001), (5001, 5002), (5002, 5000), (5000, 5003)]
+    nodes = sorted({n for link in links for n in link}) + [9000]
+    under = {n: {c for p, c in links if p == n} for n in nodes}
+    want = set()
+    for n in nodes:
+        seen, queue = {n}, [n]
+        while queue:
+            fresh = under[queue.pop()] - seen
+            seen |= fresh
+            queue += fresh
+        want |= {(n, m) for m in seen}
+    df, roots = spark.createDataFrame(links, "parent long, child long"), spark.createDataFrame([(n,) for n in nodes], "root long")
+    for local in (2_000_000, 12):
+        monkeypatch.setattr(graph, "LOCAL", local)
+        out = graph.below(df, roots)
+        got = [tuple(r) for r in out.collect()]
+        assert len(got) == len(want) and set(got) == want
+        assert "FlatMapCoGroupsInPandas [deal" in shown(out)
