@@ -49,6 +49,8 @@ BLOCK, BITS = 512, 1 << 25
 #: Shingles from which on a set's fingerprint discards; words of a set's parity sketch.
 SURE = 100
 SKETCH = ["s0", "s1", "s2", "s3"]
+#: Shingles before a set's shingle in the order, by which a pair is known to have met already.
+PRIOR = ["p0", "p1", "p2", "p3"]
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -281,11 +283,12 @@ def _wanted(ids: DataFrame) -> np.ndarray:
 
 
 def _meetings(rows: DataFrame, radius: int, tenths: int) -> DataFrame:
-    """Pairs (a, b) of the members (key, m, ref, fp, n, root, sketch) of each key that differ in root, pass the distance tables and parity sketches and share enough keys.
+    """Pairs (a, b) of the members (key, m, ref, pos, prior keys, fp, n, root, sketch) of each key that differ in root and pass the distance tables and parity sketches.
 
-    A pair meets once at each shingle that the prefixes share. Even if all beyond
-    the longer prefix were shared too, a pair of too few can't reach the
-    similarity and goes before any set is made.
+    A pair meets at each shingle that the prefixes share, and is wanted once. Where
+    one of the last few keys before this is in both prefixes, it has met there; the
+    first that they share is never told so. If that one comes too late in one of the
+    sets for enough to follow, the pair can't reach the similarity.
 
     The members of a key of at most BLOCK of them meet as one row. Of a larger
     key, a root's many members fill blocks of their own, which needn't meet each
@@ -293,7 +296,7 @@ def _meetings(rows: DataFrame, radius: int, tenths: int) -> DataFrame:
     spread over many tasks; only surviving pairs leave a meeting.
     """
     families, _ = references(ALL, 4)
-    members = F.collect_list(F.struct("ref", "fp", "n", "root", *SKETCH)).alias("members")
+    members = F.collect_list(F.struct("ref", "fp", "n", "root", "pos", *PRIOR, *SKETCH)).alias("members")
     few = rows.filter(F.col("m") <= BLOCK).groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), members).filter("r0 <> r1").select("members", F.lit(None).cast(rows.groupBy("key").agg(members).schema["members"].dataType).alias("others"))
     many = rows.filter(F.col("m") > BLOCK).drop("m")
     sized = many.groupBy("key", "root").agg(F.count("*").alias("m"))
@@ -316,20 +319,32 @@ def _meetings(rows: DataFrame, radius: int, tenths: int) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 sides = [batch.column(side)[row] for side in (0, 1) if batch.column(side)[row].is_valid]
-                (a, fa, na, ra, *sa), (b, fb, nb, rb, *sb) = ([c.to_numpy() for c in side.values.flatten()] for side in (sides * 2)[:2])
-                may = (ra[:, None] != rb[None, :]) & (10 * np.minimum(na[:, None], nb[None, :]) >= tenths * np.maximum(na[:, None], nb[None, :]))
+                (a, fa, na, ra, ta, *ca), (b, fb, nb, rb, tb, *cb) = ([c.to_numpy() for c in side.values.flatten()] for side in (sides * 2)[:2])
+                after = np.minimum((na - ta)[:, None], (nb - tb)[None, :])  # also says that the sizes are alike
+                may = (ra[:, None] != rb[None, :]) & ((10 + tenths) * after >= tenths * (na[:, None] + nb[None, :]))
                 i, j = np.nonzero(np.triu(may, 1) if len(sides) == 1 else may)
-                i, j = discard(fa.view(np.uint64), fb.view(np.uint64), i, j, families, radius, np.minimum(na[i], nb[j]) >= SURE)
                 # of sets of that similarity at most this share of the members is not in both
-                apart = sum((np.bitwise_count((x[i] ^ y[j]).view(np.uint64)).astype(np.int64) for x, y in zip(sa, sb, strict=True)), np.zeros(len(i), np.int64))
-                like = (10 + tenths) * apart <= (10 - tenths) * (na[i] + nb[j])
+                like = (10 + tenths) * differing(ca[len(PRIOR) :], cb[len(PRIOR) :], i, j) <= (10 - tenths) * (na[i] + nb[j])
                 i, j = i[like], j[like]
-                swap = a[i] > b[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, x, y)) for x, y in ((b[j], a[i]), (a[i], b[j]), (nb[j], na[i]), (na[i], nb[j]))], ["a", "b", "na", "nb"])
+                met = np.zeros(len(i), bool)
+                for x in ca[: len(PRIOR)]:
+                    for y in cb[: len(PRIOR)]:
+                        met |= (x[i] == y[j]) & (x[i] != 0)
+                i, j = i[~met], j[~met]
+                if not len(i):
+                    continue
+                i, j = discard(fa.view(np.uint64), fb.view(np.uint64), i, j, families, radius, np.minimum(na[i], nb[j]) >= SURE)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], b[j])), pa.array(np.maximum(a[i], b[j]))], ["a", "b"])
+
+    return few.union(inner).union(across).mapInArrow(meet, "a long, b long").distinct()
 
-    found = few.union(inner).union(across).mapInArrow(meet, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("w"))
-    beyond = F.greatest(*[F.ceil(F.col(n) * tenths / 10) - 1 for n in ("na", "nb")])
-    return found.filter((10 + tenths) * (F.col("w") + beyond) >= tenths * (F.col("na") + F.col("nb"))).select("a", "b")
+
+def differing(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The bits in which the sketches of the pairs i, j differ."""
+    out = np.zeros(len(i), np.int64)
+    for x, y in zip(left, right, strict=True):
+        out += np.bitwise_count((x[i] ^ y[j]).view(np.uint64))
+    return out
 
 
 def discard(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, families: list[np.ndarray], radius: int, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -379,7 +394,7 @@ def similar_documents(df: DataFrame, shingle: int = 5, tenths: int = 8, radius:
     ref = F.monotonically_increasing_id() + (31 - F.floor(F.log2("copies"))) * F.lit(1 << 57)
     texts = cut(texts.select(*same, F.col("low.id").alias("low"), F.col("low.fp").alias("fp"), "first", ref.cast("long").alias("ref"), *SKETCH))
     told = texts.select("ref", "fp", "n")
-    keyed = texts.filter("n > 0").select(F.explode("first").alias("key"), "ref")
+    keyed = texts.filter("n > 0").select(F.posexplode("first").alias("pos", "key"), "ref")
     heads = keyed.groupBy("key").agg(F.min("ref").alias("head"), F.max("ref").alias("last"), F.count("*").alias("m")).filter("head < last").select("key", "head", "m")
     shared = cut(keyed.join(heads, "key"))
 
@@ -401,8 +416,9 @@ def similar_documents(df: DataFrame, shingle: int = 5, tenths: int = 8, radius:
     star = shared.filter("ref <> head").select(F.col("head").alias("a"), F.col("ref").alias("b")).distinct()
     star = star.join(told.toDF("a", "fa", "na"), "a").join(told.toDF("b", "fb", "nb"), "b").filter(10 * F.least("na", "nb") >= tenths * F.greatest("na", "nb"))
     starred = close(cut(star.select("a", "b", "fa", "fb", F.least("na", "nb").alias("least")).mapInArrow(near, "a long, b long")))
-    roots = texts.select("ref", "fp", "n", *SKETCH).join(components(starred), F.col("ref") == F.col("node"), "left").select("ref", "fp", "n", F.coalesce("root", "ref").alias("root"), *SKETCH)
-    apart = shared.select("key", "m", "ref").join(roots, "ref")
+    roots = texts.select("ref", "fp", "n", "first", *SKETCH).join(components(starred), F.col("ref") == F.col("node"), "left").select("ref", "fp", "n", "first", F.coalesce("root", "ref").alias("root"), *SKETCH)
+    prior = [F.when(F.col("pos") > i, F.element_at("first", F.greatest(F.col("pos") - i, F.lit(1)))).otherwise(F.lit(0)).alias(p) for i, p in enumerate(PRIOR)]
+    apart = shared.select("key", "m", "ref", "pos").join(roots, "ref").select("key", "m", "ref", F.col("pos").cast("long").alias("pos"), *prior, "fp", "n", "root", *SKETCH)
     found = starred.union(close(cut(_meetings(apart, radius, tenths))))
     labels = texts.select("ref", *same, "low").join(_labels(texts.select("ref", "low"), components(found), "ref"), "ref").select(*same, "component_id")
     return rows.join(labels, same).select(F.col("id.id").alias(id_col), F.col("id.hash").alias("text_hash"), _hex("fp"), F.col("component_id.id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("leads"))

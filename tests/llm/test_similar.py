@@ -73,6 +73,30 @@ def test_many_near_copies_without_their_base(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == roots
 
 
+def handed_on(spark, name):
+    """Rows that a MapInArrow of this name has made in the session's queries so far."""
+    store, out = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for run in (runs.apply(k).executionId() for k in range(runs.size())):
+        nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            metrics = node.metrics()
+            for metric in (metrics.apply(k) for k in range(metrics.size())) if node.desc().startswith(f"MapInArrow {name}(") else ():
+                if metric.name() == "number of output rows":
+                    out += int(values.getOrElse(metric.accumulatorId(), None).replace(",", "")) if values.contains(metric.accumulatorId()) else 0
+    return out
+
+
+def test_a_pair_is_handed_on_once(spark):
+    """Texts that share most of their prefixes and still don't link meet at many shingles."""
+    rows = [(n, " ".join(f"x{n}y{k}" if 40 * n <= k < 40 * n + 40 else f"w{k}" for k in range(500))) for n in range(12)]
+    near, roots = brute_roots(word_sets(rows))
+    before = handed_on(spark, "meet")
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == roots
+    assert 0 < handed_on(spark, "meet") - before <= 4 * 66
+
+
 def test_rows_of_one_id(spark, sf):
     rows = [(1, "one two three four five six", "b"), (1, "one two three four five six", "a"), (1, "another text of the same id", "c"), (2, "another  text of the SAME id", "d"), (None, "no id", "e"), (None, "no id", "e")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
