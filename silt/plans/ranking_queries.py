@@ -121,11 +121,8 @@ def catalog_page(spark, sf_dir):
 @query()
 def dispute_fixpoint(spark, sf_dir):
     """Confidence of contradicting answers, each pressed by all others of its slot."""
-    from silt.plans.evidence_queries import links
-
-    found = links(spark, sf_dir).filter("rel = 'contradicts'").select("src", "dst")
-    base = tables.slots(spark, sf_dir).select(F.col("id").alias("memory"), ((F.col("id") % 10 + 1) / 10.0).alias("confidence"))
-    return slots.dispute_fixpoint(found, base)
+    held = tables.slots(spark, sf_dir)
+    return slots.slot_fixpoint(held, held.select(F.col("id").alias("memory"), ((F.col("id") % 10 + 1) / 10.0).alias("confidence")))
 
 
 @query()
