@@ -165,3 +165,18 @@ def test_small_components_share_walks(spark, monkeypatch):
         got = [tuple(r) for r in out.collect()]
         assert len(got) == len(want) and set(got) == want
         assert "FlatMapCoGroupsInPandas [deal" in shown(out)
+
+
+def test_same_entity_makes_a_pair_once(spark, monkeypatch):
+    """Pairs are made in blocks at their rarest entity: none is grouped, and one that meets in two scopes is one edge, as in SQL."""
+    monkeypatch.setattr(relations, "MEETING", 3)
+    rng = random.Random(4)
+    rows = {(f"s{rng.randrange(2)}", rng.choice("abcdefgh"), rng.randrange(40)) for _ in range(260)} | {(s, n, i) for s in ("s0", "s1") for n in "yz" for i in (50, 51)} | {(None, "y", 52), (None, "y", 53)}
+    found = pd.DataFrame([*rows, ("s0", "a", 1)], columns=["scope", "name", "id"])
+    out = relations.same_entity(spark.createDataFrame([tuple(r) for r in found.itertuples(index=False)], "scope string, name string, id long"))
+    got = sorted((r["src"], r["dst"], round(r["weight"], 9)) for r in out.collect())
+    con = duckdb.connect()
+    con.register("found", found)
+    want = con.sql("WITH r AS (SELECT scope, name, 1 / (1 + ln(1.0 + count(*))) AS w FROM found GROUP BY ALL) SELECT a.id, b.id, round(max(w), 9) FROM found a JOIN found b ON a.scope = b.scope AND a.name = b.name AND a.id < b.id JOIN r ON r.scope = a.scope AND r.name = a.name GROUP BY ALL").fetchall()
+    assert len(got) > 300 and got == sorted(want)
+    assert "Aggregate" not in shown(out)
