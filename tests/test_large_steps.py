@@ -180,3 +180,32 @@ def test_same_entity_makes_a_pair_once(spark, monkeypatch):
     want = con.sql("WITH r AS (SELECT scope, name, 1 / (1 + ln(1.0 + count(*))) AS w FROM found GROUP BY ALL) SELECT a.id, b.id, round(max(w), 9) FROM found a JOIN found b ON a.scope = b.scope AND a.name = b.name AND a.id < b.id JOIN r ON r.scope = a.scope AND r.name = a.name GROUP BY ALL").fetchall()
     assert len(got) > 300 and got == sorted(want)
     assert "Aggregate" not in shown(out)
+
+
+def test_entities_hand_on_no_more_than_are_kept(spark):
+    """Words that no rule can tag are passed over, and a text's first are chosen before anything is shuffled."""
+    rng = random.Random(6)
+    pool = "the Paris a/b src/x.rs //no snake_case camelCase ALLCAPS Ünder. end. ...odd.md .env x.y.zz (Quoted) naïve ÉCOLE Paris, This `cargo test` `run` _ / . .. -Dash- 3.14 v2.Beta ﬁN Ab Straße. X ßA".split(" ")
+    rows = [("s", i, rng.choice([" ", "\n", "\t "]).join(rng.choice(pool) for _ in range(rng.randrange(0, 60)))) for i in range(300)] + [("s", 900, None), ("s", 901, "x" * 300_000 + "Y"), ("s", 902, "." * 300_000), ("t", 1, "Lyon Paris"), ("s", 5, "Rome Paris a/b")]
+    held = spark.createDataFrame(rows, "scope string, id long, text string")
+    quoted, plain = F.regexp_extract_all("text", F.lit("`([^`]+)`"), F.lit(1)), F.regexp_replace("text", "`[^`]*`", " ")
+    words = F.transform(text.split_words(plain), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}/._\-]+|[^\p{L}\p{N}/._\-]+$", ""))
+    is_path = lambda w: (F.contains(w, F.lit("/")) & ~w.startswith("//")) | w.rlike(r"^[^.]*\.[A-Za-z]{2,5}$")
+    kind = lambda w: F.when(is_path(w), "path").when(F.contains(w, F.lit("_")) | w.rlike(r"\p{Ll}.*\p{Lu}"), "symbol").when(w.rlike(r"^\p{Lu}.*\p{Ll}"), "proper")
+    bare = lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}/.]+|[^\p{L}\p{N}/.]+$", ""))
+    every = held.select("scope", "id", F.transform(quoted, lambda q: bare(F.trim(q))).alias("q"), F.transform(F.filter(words, lambda w: F.octet_length(w) >= 2), lambda w: F.struct(bare(w).alias("name"), kind(w).alias("kind"))).alias("w"))
+    want = {}
+    for r in every.collect():
+        tagged = [(q, "command") for q in r["q"] or []] + [(w["name"], w["kind"]) for w in r["w"] or [] if w["kind"]]
+        for pos, (name, k) in enumerate((n, k) for n, k in tagged if len(n.encode()) >= 2 and n not in relations.NOT_A_NAME):
+            want.setdefault((r["scope"], r["id"]), []).append((pos, name, k))
+    best = set()
+    for (scope, i), seen in want.items():
+        first = {}
+        for pos, name, k in sorted(seen, key=lambda x: (x[0], x[2])):
+            first.setdefault(name, (pos, name, k))
+        best |= {(scope, i, name, k) for _, name, k in sorted(first.values())[:7]}
+    out = relations.entities(held, 7)
+    got = out.collect()
+    assert len(got) == len(best) and {tuple(r) for r in got} == best and len(best) > 1000
+    assert shown(out).count("Exchange") == shown(out).count("REPARTITION_BY_COL") > 0
