@@ -56,11 +56,12 @@ def occurrences(memories: DataFrame, wanted: DataFrame, stemmer: str, more: list
     only matches are shuffled; more are met by shuffle.
     """
     key = ["id", *(more or [])]
-    words = memories.select(*key, WORDS[stemmer](F.col("text")).alias("words")).select(*key, F.size("words").alias("len"), F.explode("words").alias("word"))
+    words = memories.select(*key, WORDS[stemmer](F.col("text")).alias("words")).select(*key, F.size("words").alias("len"), F.explode_outer("words").alias("word")).filter("word is not null")  # an inner one would part the texts again for a filter
     if stemmer == "crude":
         held = words.withColumn("term", text.search_stem(F.col("word"))).join(wanted, "term")
     else:
-        forms = cut(words.select("word").distinct().withColumn("term", stems.stem_of("word")).join(wanted, "term"))
+        distinct = cut(words.select("word").distinct())  # else the join's filter on stems moves below, to every word of every text
+        forms = cut(cut(distinct.withColumn("term", stems.stem_of("word"))).join(wanted, "term"))
         held = words.join(F.broadcast(forms) if forms.count() <= MOST_FORMS else forms, "word")
     # dealt by text alone: what is summed by query and text later stays where it is, and a task's texts don't grow with the table
     tasks = max(int(memories.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-memories.count() // TASK_TEXTS))

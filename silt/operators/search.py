@@ -55,14 +55,15 @@ def by_words(memories: DataFrame, asked: DataFrame, stemmer: str) -> DataFrame:
     return covered.select("qid", "store", "id", (score.relative(F.col("rank"), F.col("best")) * text.covered(F.col("wanted"), F.col("held"))).alias("lexical"))
 
 
-def recall(memories: DataFrame, queries: DataFrame, asks: DataFrame, edges: DataFrame, now: Column, limit: int = 20, floor: float = 0.0, least_relevance: float = 0.0, stemmer: str = "porter") -> DataFrame:
+def recall(memories: DataFrame, queries: DataFrame, asks: DataFrame, edges: DataFrame, now: Column, limit: int = 20, floor: float = 0.0, least_relevance: float = 0.0, stemmer: str = "porter", vectors: DataFrame | None = None) -> DataFrame:
     """Rows (qid, place, id, store, via, lexical, semantic, entity, score): the best ``limit`` answers of each query.
 
     ``memories``: (id, store, scope, text, tier, importance, access_count, pinned,
     confidence, observed_at), and perhaps valid_to, archived_at, vector; ids are
     unique over all stores. ``queries``: (qid, query) and perhaps vector. ``asks``:
     (qid, store, near): the stores a query asks, and whether their answers are near.
-    ``edges``: (src, dst, kind, weight).
+    ``edges``: (src, dst, kind, weight). ``vectors`` (id, vector), one an id, may hold the
+    memories' vectors in place of their column: only what is scored meets them, no text does.
 
     In each store a query meets what shares words with it, and what is about
     the same as it, up to its policy's number of candidates; memories that ended are met only
@@ -92,7 +93,9 @@ def recall(memories: DataFrame, queries: DataFrame, asks: DataFrame, edges: Data
     wide = thin.join(few, "store").filter("live or archive").withColumn("place", F.row_number().over(seen)).filter(F.col("place") <= WIDE).join(both.select("qid", "store", "id"), ["qid", "store", "id"], "left_anti")
     every = both.withColumn("via", F.lit("words")).union(wide.select("qid", "store", "id", F.lit(0.0), F.lit(0.0), F.lit("vector")))
     # signals
-    rows = every.join(held.drop("text", "scope"), ["store", "id"]).join(asked.select("qid", "store", "near", F.col("vector").alias("asked_vector")), ["qid", "store"])
+    signals = every.join(held.drop("text", "scope", *([] if vectors is None else ["vector"])), ["store", "id"])
+    signals = signals if vectors is None else signals.join(vectors.select("id", "vector"), "id", "left")
+    rows = signals.join(asked.select("qid", "store", "near", F.col("vector").alias("asked_vector")), ["qid", "store"])
     rate = score.decay_rate(F.col("importance"), F.col("access_count"), F.col("pinned"))
     strong = score.strength(F.lit(1.0), rate, F.col("observed_at"), now, F.col("tier"))
     frequent = score.frecency(F.col("access_count"), F.col("observed_at"), now)

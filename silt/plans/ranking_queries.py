@@ -135,11 +135,11 @@ def porter_search(spark, sf_dir):
 def recall_full(spark, sf_dir):
     """Benchmark passages asked of two stores each, in shapes that walk and read the archive, with vectors where there are any."""
     vectors = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
-    held = tables.memories(spark, sf_dir).withColumns({"store": F.col("scope"), "confidence": F.col("id") % 10 / 10.0}).join(vectors, "id", "left")
+    held = tables.memories(spark, sf_dir).withColumns({"store": F.col("scope"), "confidence": F.col("id") % 10 / 10.0})
     shapes = F.array(*[F.lit(s) for s in ("", "why ", "what do we know of ", "like this ")])
     passages = tables.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.concat(F.element_at(shapes, (F.col("item_id") % 4 + 1).cast("int")), "text").alias("query"))
     questions = passages.join(vectors.withColumnRenamed("id", "qid"), "qid", "left")
     stores = passages.select("qid", F.concat(F.lit("src"), (F.col("qid") % 20).cast("string")).alias("store"), F.lit(True).alias("near")).union(passages.select("qid", F.lit("src0"), F.lit(False)))
     near = relations.mirrored(relations.temporal(tables.memories(spark, sf_dir).withColumnRenamed("observed_at", "at")))
-    out = search.recall(held, questions, stores, near, F.lit(NOW), 20)
+    out = search.recall(held, questions, stores, near, F.lit(NOW), 20, vectors=vectors)
     return out.withColumn("place", F.col("place").cast("long"))

@@ -157,3 +157,37 @@ def test_distinctive_words(spark):
 
     df = spark.createDataFrame([("The Build-server at 10.0.0.7, build-server! a/b İstanbul of ab ABC abc",)], "t string")
     assert df.select(text.distinctive(F.col("t"))).first()[0] == sorted(["build-server", "10.0.0.7", "a/b", "i̇stanbul", "abc"])
+
+
+def test_each_word_is_stemmed_once(spark, monkeypatch):
+    """A word is stemmed once for the table, not where it stands, and the texts meet only its forms."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    seen, stem = spark.sparkContext.accumulator(0), stems.porter
+
+    @F.pandas_udf("string")
+    def counted(words: pd.Series) -> pd.Series:
+        seen.add(len(words))
+        return words.map(stem)
+
+    monkeypatch.setattr(stems, "stem_of", counted)
+    held = spark.createDataFrame([(i, " ".join(f"running{chr(97 + n)}" for n in range(20))) for i in range(200)] + [(900, ""), (901, None), (902, "runninga")], "id long, text string").repartition(3)
+    rows = fts.occurrences(held, spark.createDataFrame([("runninga",)], "term string"), "porter").collect()
+    assert {(r["id"], r["len"], r["tf"]) for r in rows} == {(i, 20, 1) for i in range(200)} | {(902, 1, 1)}
+    assert seen.value <= 40
+
+
+def test_vectors_beside_the_memories(spark):
+    """Vectors may come as rows of their own; texts needn't meet them."""
+    from pyspark.sql import functions as F
+
+    from silt.operators import search
+
+    held = [memory(i, f"the deploy number {i}", vector=[1.0, i / 10] if i % 3 else None) for i in range(12)]
+    df, edges = spark.createDataFrame(held, MEM), spark.createDataFrame([(1, 2, "before", 0.5)], "src long, dst long, kind string, weight double")
+    queries = spark.createDataFrame([(1, "deploy number 4", [1.0, 0.3]), (2, "zzz", [0.0, 1.0])], "qid long, query string, vector array<double>")
+    asks = spark.createDataFrame([(1, "p", True), (2, "p", False)], "qid long, store string, near boolean")
+    want = search.recall(df, queries, asks, edges, F.lit(90_000)).collect()
+    got = search.recall(df.drop("vector"), queries, asks, edges, F.lit(90_000), vectors=df.select("id", "vector").filter("vector is not null")).collect()
+    assert sorted(got, key=str) == sorted(want, key=str) and {r["via"] for r in got} >= {"words", "vector"}
