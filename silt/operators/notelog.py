@@ -7,6 +7,7 @@ order of the log.
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -48,6 +49,8 @@ class Log:
         self.review = review
         self.notes: dict[int, dict] = {}
         self.changes: dict[int, dict] = {}
+        #: heaps of the notes that a title may name; what has died or is called otherwise leaves when it comes up
+        self.titled: dict[str, list[int]] = {}
 
     def fields(self, note: int | None) -> dict | None:
         held = self.notes.get(note)
@@ -58,7 +61,10 @@ class Log:
         if e["note"] is not None and self.fields(e["note"]):
             return e["note"]
         title = (e["title"] or "").strip().lower()
-        return next((n for n in sorted(self.notes) if title and self.fields(n) and self.notes[n]["title"].lower() == title), None)
+        held = self.titled.get(title, []) if title else []
+        while held and not (self.fields(held[0]) and self.notes[held[0]]["title"].lower() == title):
+            heapq.heappop(held)
+        return held[0] if held else None
 
     def merged(self, e: dict, base: dict | None) -> dict | None:
         """A note's fields after a proposal: what it says, else what the note had."""
@@ -96,6 +102,7 @@ class Log:
             self.notes[note] |= {"retired": at, "updated": at}
         else:
             self.notes[note] = after | {"retired": None, "updated": at}
+            heapq.heappush(self.titled.setdefault(after["title"].lower(), []), note)
 
     def apply(self, change: dict, at: int) -> None:
         if self.fields(change["note"]) != change["before"]:

@@ -124,3 +124,19 @@ def test_note_log_query(spark, sf):
     notes, _, _ = check(spark, rows, False)
     got = distil_queries.note_log(spark, sf).collect()
     assert {(r["scope"], r["note"]): r["text"] for r in got} == {k: v["text"] for k, v in notes.items()} and len(got) > 50
+
+
+def test_a_title_is_looked_up_among_its_own(monkeypatch):
+    """Notes of a title that were retired, or are called otherwise by now, aren't gone through again at each proposal."""
+    looked = [0]
+    fields = notelog.Log.fields
+    monkeypatch.setattr(notelog.Log, "fields", lambda self, note: looked.__setitem__(0, looked[0] + 1) or fields(self, note))
+    held, nothing = notelog.Log(False), {"note": None, "change": None, "text": "x", "description": None, "pinned": None, "intact": True, "at": 1, "kind": "propose"}
+    for n in range(3000):
+        held.take(nothing | {"n": n, "op": "retire" if n % 2 else "add", "title": "Lyon"})
+    assert len(held.notes) == 1500 and looked[0] < 30_000
+    # an undone retiring lives again, under the title it has
+    held.take(nothing | {"n": 3000, "op": None, "kind": "undo", "change": 1, "title": None})
+    assert held.target(nothing | {"title": "LYON "}) == 0
+    held.take(nothing | {"n": 3001, "op": "update", "note": 0, "title": "Rome"})
+    assert held.target(nothing | {"title": "lyon"}) is None and held.target(nothing | {"title": "rome"}) == 0
