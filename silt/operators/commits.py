@@ -129,25 +129,26 @@ def evidence(commits: DataFrame, held: DataFrame, tracked: DataFrame) -> DataFra
     swap = base.select("scope", "hash", "at", "subject", F.explode(place("swaps")).alias("s")).select("scope", "hash", "at", "subject", F.col("s.place").alias("place"), "s.x.*")
     gone, came = tokens(F.col("removed")), tokens(F.col("added"))
     swap = swap.withColumns({"gone": gone, "came": came}).withColumns({"lost": F.array_except("gone", "came"), "new": F.filter("came", lambda v: ~F.array_contains("gone", v)), "line": F.substring(F.trim("added"), 1, CLIPPED)})
-    swap = swap.withColumn("brought", F.array_distinct(F.concat("new", offered.values_in(F.concat("file", F.lit(" "), "line")))))
+    # lines are parted here and nowhere else: all that follows reads what was found
+    swap = cut(swap.withColumn("brought", F.array_distinct(F.concat("new", offered.values_in(F.concat("file", F.lit(" "), "line"))))).drop("removed", "added", "gone", "came"))
     lines = lambda c: F.flatten(F.transform(c, tokens))
     off = base.select("scope", "hash", "at", "subject", F.array_distinct(F.array_except(lines("removed"), lines("added"))).alias("words"))
-    off = off.select("scope", "hash", "at", "subject", F.posexplode("words").alias("place", "word"))
-    facts = held.select("scope", F.col("id").cast("string").alias("id"), F.col("observed_at").cast("long").alias("at"), F.coalesce("text", F.lit("")).alias("text")).withColumn("lost", offered.values_in(F.col("text"))).filter("size(lost) > 0")
+    off = cut(off.select("scope", "hash", "at", "subject", F.posexplode("words").alias("place", "word")))
+    facts = cut(held.select("scope", F.col("id").cast("string").alias("id"), F.col("observed_at").cast("long").alias("at"), F.coalesce("text", F.lit("")).alias("text")).withColumn("lost", offered.values_in(F.col("text"))).filter("size(lost) > 0"))
 
     # words that can be a value: spelled like one, or in few files
     named = facts.select("scope", F.explode("lost").alias("word")).union(swap.select("scope", F.explode("lost"))).union(swap.select("scope", F.explode("brought"))).union(off.select("scope", "word")).distinct()
-    counted = cut(named.join(tracked, ["scope", "word"], "left").withColumn("n", F.coalesce("n", F.lit(0))).filter(offered.name_like(F.col("word")) | (F.col("n") <= VALUE_FILES)))
-    nodes = counted.select("scope", "word", F.sha2(F.to_json(F.array("scope", "word")), 256).alias("node"), "n")
+    counted = named.join(tracked, ["scope", "word"], "left").withColumn("n", F.coalesce("n", F.lit(0))).filter(offered.name_like(F.col("word")) | (F.col("n") <= VALUE_FILES))
+    nodes = cut(counted.select("scope", "word", F.sha2(F.to_json(F.array("scope", "word")), 256).alias("node"), "n"))
 
     def valued(rows: DataFrame, key: list[str], words: str) -> DataFrame:
         """(key, word, node) of those words of a row that can be values."""
         return rows.select("scope", *key, F.explode(words).alias("word")).join(nodes, ["scope", "word"])
 
     losing = cut(valued(swap, ["hash", "place"], "lost").select("scope", "hash", "place", "word", "node"))
-    by_swap = losing.groupBy("scope", "hash", "place").agg(F.min("node").alias("group"), F.collect_list("word").alias("kept"))
+    by_swap = cut(losing.groupBy("scope", "hash", "place").agg(F.min("node").alias("group"), F.collect_list("word").alias("kept")))
     bringing = valued(swap, ["hash", "place"], "brought").select("scope", "hash", "place", "node")
-    naming = valued(facts, ["id"], "lost").select("scope", "id", "node")
+    naming = cut(valued(facts, ["id"], "lost").select("scope", "id", "node"))
     by_fact = naming.groupBy("scope", "id").agg(F.min("node").alias("group"))
     # a revert reaches all that its commit may have recorded
     undone = base.withColumn("of", reverted(F.col("subject"))).filter("of is not null")

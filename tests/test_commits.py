@@ -136,3 +136,13 @@ def test_commit_evidence_query(spark, sf):
     want = plain(log, [tuple(r) for r in held.collect()], [tuple(r) for r in files.collect()])
     got = distil_queries.commit_evidence(spark, sf).select("scope", "action", "id", "recorded", "text").collect()
     assert sorted(map(tuple, got), key=str) == want and {r["action"] for r in got} >= {"replaced", "vanished"}
+
+
+def test_lines_are_parted_once(spark):
+    """What follows the parting of lines reads what it found: no step parts them again."""
+    held = [("r", "m1", 10, "we deploy to fly"), ("r", "m2", 11, "the port is app-8080")]
+    log = [swap("r", "aaaaaaaa1", 100, "Move", ("deploy.sh", "target = fly", "target = render")), swap("r", "bbbbbbbb1", 101, 'Revert "Move"', removed=["app-8080"])]
+    tracked = commits.word_files(spark.createDataFrame([("r", "deploy.sh", "target = fly")], "scope string, file string, text string"))
+    out = commits.evidence(spark.createDataFrame(log, LOG), spark.createDataFrame(held, HELD), tracked)
+    assert {(r["action"], r["id"]) for r in out.collect()} == {("replaced", "m1"), ("reverted", "commit-aaaaaaaa-0"), ("vanished", "m2")}
+    assert "lambdafunction" not in out._jdf.queryExecution().toString()
