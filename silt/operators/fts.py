@@ -35,11 +35,11 @@ WORDS = {"crude": _crude_words, "porter": stems.raw_words}
 
 
 def query_terms(queries: DataFrame, stemmer: str = "crude") -> DataFrame:
-    """Rows (qid, term): the distinct stemmed terms of each query, stopwords dropped, the first 64."""
+    """Rows (qid, term): the distinct stemmed terms of each query, stopwords dropped."""
     stop = F.array(*[F.lit(w) for w in STOPWORDS])
     kept = F.filter(WORDS[stemmer](F.col("query")), lambda w: ~F.array_contains(stop, w))
     if stemmer == "crude":
-        return queries.select("qid", F.explode(F.slice(F.array_distinct(F.transform(kept, text.search_stem)), 1, 64)).alias("term"))
+        return queries.select("qid", F.explode(F.array_distinct(F.transform(kept, text.search_stem))).alias("term"))
     asked = queries.select("qid", F.posexplode(kept).alias("pos", "word"))
     forms = asked.select("word").distinct().withColumn("term", stems.stem_of("word"))
     first = asked.join(forms, "word").groupBy("qid", "term").agg(F.min("pos").alias("pos"))
