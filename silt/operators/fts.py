@@ -40,11 +40,9 @@ def query_terms(queries: DataFrame, stemmer: str = "crude") -> DataFrame:
     kept = F.filter(WORDS[stemmer](F.col("query")), lambda w: ~F.array_contains(stop, w))
     if stemmer == "crude":
         return queries.select("qid", F.explode(F.array_distinct(F.transform(kept, text.search_stem))).alias("term"))
-    asked = queries.select("qid", F.posexplode(kept).alias("pos", "word"))
+    asked = queries.select("qid", F.explode(kept).alias("word"))
     forms = asked.select("word").distinct().withColumn("term", stems.stem_of("word"))
-    first = asked.join(forms, "word").groupBy("qid", "term").agg(F.min("pos").alias("pos"))
-    place = F.row_number().over(Window.partitionBy("qid").orderBy("pos"))
-    return first.withColumn("place", place).filter("place <= 64").select("qid", "term")
+    return asked.join(forms, "word").select("qid", "term").distinct()
 
 
 def occurrences(memories: DataFrame, wanted: DataFrame, stemmer: str, more: list[str] | None = None) -> DataFrame:

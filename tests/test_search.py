@@ -191,3 +191,13 @@ def test_vectors_beside_the_memories(spark):
     want = search.recall(df, queries, asks, edges, F.lit(90_000)).collect()
     got = search.recall(df.drop("vector"), queries, asks, edges, F.lit(90_000), vectors=df.select("id", "vector").filter("vector is not null")).collect()
     assert sorted(got, key=str) == sorted(want, key=str) and {r["via"] for r in got} >= {"words", "vector"}
+
+
+def test_every_stem_of_a_long_query_asks(spark):
+    """Porter's search and the full recall look for the hundredth word of a query as for its first."""
+    words = [f"q{chr(97 + n // 26)}{chr(97 + n % 26)}" for n in range(100)]
+    held, asked = [(1, words[-1]), (2, words[0]), (3, "nothing of it"), (4, "nor here")], [(5, " ".join(words))]
+    got = fts.bm25(spark.createDataFrame(held, "id long, text string"), spark.createDataFrame(asked, "qid long, query string"), 10, stemmer="porter").collect()
+    assert sorted((r["place"], r["id"]) for r in got) == [(1, 1), (2, 2)]
+    full = ask_all(spark, [memory(i, t) for i, t in held], [(5, asked[0][1], None)], [(5, "p", True)], [])
+    assert {r["id"]: r["lexical"] for r in full[5]} == {1: 0.01, 2: 0.01}
