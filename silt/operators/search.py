@@ -65,8 +65,8 @@ def recall(memories: DataFrame, queries: DataFrame, asks: DataFrame, edges: Data
     ``edges``: (src, dst, kind, weight). ``vectors`` (id, vector), one an id, may hold the
     memories' vectors in place of their column: only what is scored meets them, no text does.
 
-    In each store a query meets what shares words with it, and what is about
-    the same as it, up to its policy's number of candidates; memories that ended are met only
+    In each store a query meets what shares words with it, up to its policy's number
+    of candidates, and all that is about the same as it; memories that ended are met only
     where the policy reads the archive. A thin query that has a vector meets the
     store's 500 most trusted as well. Scores blend seven signals; answers under
     ``floor`` in confidence or ``least_relevance`` go. From the five best of all
@@ -81,7 +81,7 @@ def recall(memories: DataFrame, queries: DataFrame, asks: DataFrame, edges: Data
     asked = cut(asks.select("qid", "store", F.coalesce("near", F.lit(False)).alias("near")).dropDuplicates(["qid", "store"]).join(told, "qid"))
     lexical = by_words(held, asked, stemmer)
     entity = relations.entities(held.select(F.col("store").alias("scope"), "id", "text"))
-    about = relations.by_entity(entity, asked.select("qid", F.col("store").alias("scope"), F.coalesce("query", F.lit("")).alias("text")), None, WIDE)
+    about = relations.by_entity(entity, asked.select("qid", F.col("store").alias("scope"), F.coalesce("query", F.lit("")).alias("text")))
     about = about.join(held.select("id", "store", "live"), "id").join(asked.select("qid", "store", "archive"), ["qid", "store"]).filter("live or archive").select("qid", "store", "id", "entity")
     both = cut(lexical.join(about, ["qid", "store", "id"], "full").select("qid", "store", "id", F.coalesce("lexical", F.lit(0.0)).alias("lexical"), F.coalesce("entity", F.lit(0.0)).alias("entity")))
     # the wider path: thin queries with a vector only

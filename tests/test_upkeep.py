@@ -168,3 +168,14 @@ def test_entity_recall(spark):
 
     rare = 1 / (1 + math.log(3))
     assert set(got) == {1, 2} and math.isclose(got[1], rare / (rare + 1)) and math.isclose(got[2], 2 * rare / (2 * rare + 1))
+
+
+def test_entity_recall_of_all_that_is_asked(spark):
+    """A query's twelfth entity asks too, and of an entity every memory answers, the six hundredth like the first."""
+    names = [f"src/f{n}.rs" for n in range(12)]
+    rows = [("p", i, f"see {names[0]}") for i in range(1, 601)] + [("p", 700, f"see {names[-1]}")]
+    entity = relations.entities(spark.createDataFrame(rows, "scope string, id long, text string"))
+    asked = spark.createDataFrame([("p", 9, " ".join(names)), ("p", 10, "nothing")], "scope string, qid long, text string")
+    got = relations.by_entity(entity, asked).collect()
+    assert sorted((r["qid"], r["id"]) for r in got) == [(9, i) for i in range(1, 601)] + [(9, 700)]
+    assert max(got, key=lambda r: r["entity"])["id"] == 700
