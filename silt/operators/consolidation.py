@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silt.functions import text
-from silt.operators import evidence
+from silt.functions.words import ACKNOWLEDGING
+from silt.operators import claims, evidence
 from silt.operators.graph import components, cut
 from silt.operators.remember import containing, revises
 
@@ -23,7 +24,7 @@ def lead_clusters(clusters: DataFrame) -> DataFrame:
     runs in order - but only among clusters that some chain of such contents
     connects. A text without content words leads itself.
     """
-    held = clusters.withColumns({"words": F.array_sort(text.content_words(F.col("text"))), "no": text.negative(F.col("text")), "clause": text.clause(F.col("text"))})
+    held = claims.marked(clusters, {"words": "words", "denied": "no", "clause": "clause"})
     held = held.withColumns({"part": F.to_json(F.array(F.col("scope").cast("string"), F.col("no").cast("string"))), "node": F.sha2(F.to_json(F.struct("scope", "no", "words")), 256)})
     held = cut(held.select("scope", "content_hash", "first_seen", "n_sessions", "words", "no", "clause", "part", "node"))
     sets = held.filter("size(words) > 0").select("part", F.col("node").alias("id"), "words").distinct()
@@ -54,14 +55,17 @@ def lead_clusters(clusters: DataFrame) -> DataFrame:
 
 def consolidate(memories: DataFrame, least_sessions: int = 2) -> DataFrame:
     """Facts that recurring scratch texts of a scope become: said in two sessions or more, under any wording, with substance."""
-    hashed = memories.withColumn("content_hash", text.content_hash(F.col("text")))
+    hashed = claims.marked(memories.select("scope", "session", "observed_at", "text"), {"hash": "content_hash"})
     clusters = hashed.groupBy("scope", "content_hash").agg(F.min("text").alias("text"), F.min("observed_at").alias("first_seen"), F.countDistinct("session").alias("n_sessions"))
-    led = lead_clusters(clusters)
+    clusters = cut(clusters)  # texts are parted once
+    led = cut(lead_clusters(clusters))
     sessions = hashed.select("scope", "content_hash", "session").distinct().join(led.select("scope", "content_hash", "leader"), ["scope", "content_hash"])
     counted = sessions.groupBy("scope", "leader").agg(F.countDistinct("session").alias("n_sessions")).filter(F.col("n_sessions") >= least_sessions)
     first = led.groupBy("scope", "leader").agg(F.min("first_seen").alias("first_seen"), F.count("*").alias("n_wordings"))
     named = counted.join(first, ["scope", "leader"]).join(clusters.select("scope", F.col("content_hash").alias("leader"), "text"), ["scope", "leader"])
-    return named.filter(text.substantial(F.col("text")))
+    # the words of leaders alone: a filter by text would move below the join, to every text
+    told = claims.marked(named, {"words": "words"})
+    return told.filter(F.size(F.filter("words", lambda w: ~w.isin(*ACKNOWLEDGING))) >= 2).drop("words")
 
 
 def measures(encounters: DataFrame, keys: list[str]) -> DataFrame:
