@@ -245,3 +245,14 @@ def test_components(spark):
             x, y = sorted((root(a), root(b)))
             at[y] = x
     assert got == {x: root(x) for x in at}
+
+
+def test_a_group_stays_in_one_task(spark):
+    """The same text far apart in time meets itself, whatever joins Spark turns into others at run time."""
+    new = [claim(f"{c}{i:02}", at + i, f"text{i} of its own", tier="episode") for i in range(40) for c, at in (("a", 0), ("b", 1000))]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = check(spark, new, [])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(action == "reinforced" for action, *_ in got.values()) >= 40
