@@ -256,3 +256,13 @@ def test_a_group_stays_in_one_task(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sum(action == "reinforced" for action, *_ in got.values()) >= 40
+
+
+def test_landing_claims_meets_every_tier(spark, tmp_path):
+    """Facts land on facts held and habits on habits: openings are looked up, and what is held is met."""
+    from silt.plans.catalogue import QUERIES
+
+    said = {16: "we deploy the api with fly", 4: "we deploy the api with render", 1: "run all tests", 5: "run all tests", 6: "quite another thing"}
+    spark.createDataFrame([(i, t, "en", "s") for i, t in said.items()], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["cid"]: (r["action"], r["mid"], r["via"]) for r in QUERIES["landing_claims"](spark, str(tmp_path)).collect()}
+    assert got == {4: ("superseded", 16, "revised"), 5: ("reinforced", 1, "text"), 6: ("added", None, None)}
