@@ -209,3 +209,15 @@ def test_entities_hand_on_no_more_than_are_kept(spark):
     got = out.collect()
     assert len(got) == len(best) and {tuple(r) for r in got} == best and len(best) > 1000
     assert shown(out).count("Exchange") == shown(out).count("REPARTITION_BY_COL") > 0
+
+
+def test_alike_parts_no_text_to_filter_its_sample(spark, monkeypatch):
+    """Which texts tell the order of words is decided before any is parted."""
+    monkeypatch.setattr(relations, "SAMPLE", 20)
+    df = spark.createDataFrame([("s", i, f"own{i} word{i % 150} shared") for i in range(300)], "scope string, id long, text string")
+    plans, fetch = [], type(df).toPandas
+    monkeypatch.setattr(type(df), "toPandas", lambda self: plans.append(shown(self)) or fetch(self))
+    out = relations.alike(df, text.distinctive(F.col("text")), False)
+    assert {(r["src"], r["dst"]) for r in out.collect()} == {(i, i + 150) for i in range(150)}
+    told = plans[0].split("== Optimized Logical Plan ==")[1].splitlines()
+    assert any("split(" in x for x in told) and not any("Filter" in x and "split(" in x for x in told)
